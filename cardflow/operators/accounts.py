@@ -11,6 +11,7 @@ from cardflow.functions.exprs import safe_div, sum0, sum_where
 from cardflow.operators import skew
 from cardflow.operators.ranks import nearest_quantile
 from cardflow.operators.timeline import SLICE_SECONDS, with_slices
+from cardflow.sources.store import materialize
 
 # Order inside an account.
 ACCOUNT_ORDER = ["tms", "accno_txn_sn"]
@@ -87,7 +88,7 @@ def _residuals(txn: DataFrame, heavy_rows: int, slice_seconds: int) -> DataFrame
 def balance_consistency(
     txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
-    residuals = _residuals(txn, heavy_rows, slice_seconds)
+    residuals = materialize(_residuals(txn, heavy_rows, slice_seconds), "residuals")
     sides = []
     for side in ("after", "before"):
         sides.append(nearest_quantile(residuals, ACCOUNT, f"resid_{side}", 0.9, "p90"))

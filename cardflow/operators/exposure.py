@@ -15,6 +15,7 @@ from cardflow.constants import LOW_DEGREE_LIMIT, N_FOLDS
 from cardflow.functions.exprs import safe_div, sum0
 from cardflow.operators import skew
 from cardflow.operators.edges import Variant
+from cardflow.sources.store import materialize
 
 TRAIN, TARGET = "train", "target"
 
@@ -52,10 +53,14 @@ def whole_reference_roles(reference: DataFrame, target: DataFrame) -> DataFrame:
 def edges_with_roles(
     edges: DataFrame, roles: DataFrame, heavy_rows: int = skew.HEAVY_ROWS
 ) -> DataFrame:
-    """Edges with the role of their card; cards in no set keep null roles and only count for degree."""
+    """Edges with the role of their card; cards in no set keep null roles and only count for degree.
+
+    Written to the shared folder: key counts and encodings both start from it.
+    """
     sizes = edges.groupBy("card_no").agg(F.count(F.lit(1)).alias("_edges"))
     lookup = roles.join(sizes, "card_no")
-    return skew.spread_join(edges, lookup, ["card_no"], "_edges", ["key"], heavy_rows).drop("_edges")
+    joined = skew.spread_join(edges, lookup, ["card_no"], "_edges", ["key"], heavy_rows)
+    return materialize(joined.drop("_edges"), "edges-with-roles")
 
 
 def key_label_counts(

@@ -10,6 +10,7 @@ from cardflow.functions.exprs import safe_div
 from cardflow.operators import skew
 from cardflow.operators.folds import HASH_SPAN, card_hash
 from cardflow.operators.ranks import average_rank_share, uniform_position, value_ranks
+from cardflow.sources.store import materialize
 
 
 def rank_normalise(
@@ -35,8 +36,9 @@ def rank_blend(families: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFr
 
     The mean is rounded to 12 places: the order of adding must not tell equal means apart.
     """
-    ranked = rank_normalise(families, ["family"], "_rank", heavy_rows)
-    mean = ranked.groupBy("card_no").agg(F.round(F.avg("_rank"), 12).alias("score"))
+    ranked = rank_normalise(materialize(families, "families"), ["family"], "_rank", heavy_rows)
+    mean = materialize(
+        ranked.groupBy("card_no").agg(F.round(F.avg("_rank"), 12).alias("score")), "mean-rank")
     return rank_normalise(mean, None, "_blend", heavy_rows).select(
         "card_no", F.col("_blend").alias("score"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardflow.operators import skew
+from cardflow.sources.store import materialize
 
 BUCKETS = 256
 
@@ -35,12 +36,13 @@ def value_ranks(
 ) -> DataFrame:
     """One row per (group, distinct value): ties, rows below, average rank, size of the group.
 
-    `positives` adds the number of rows per value for which the predicate holds.
+    `positives` adds the number of rows per value for which the predicate holds. The counts are read
+    three times (limits, totals, ranks) and therefore written to the shared folder.
     """
     groups = groups or []
     extra = [] if positives is None else [F.count_if(positives).alias("positives")]
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
-        F.count(F.lit(1)).alias("ties"), *extra)
+    hist = materialize(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
+        F.count(F.lit(1)).alias("ties"), *extra), "value-counts")
     steps = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     limits = hist.agg(F.percentile_approx(F.col(value).cast("double"), steps, 4 * BUCKETS)).scalar()
     hist = hist.withColumn("_limits", limits).withColumn(

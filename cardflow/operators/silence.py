@@ -77,16 +77,17 @@ def silence_interactions(base: DataFrame) -> DataFrame:
     return base.select("card_no", *[c.alias(name) for name, c in measures.items()])
 
 
-def quantile_bin(df: DataFrame, value: str, bins: int) -> Column:
-    """Right-closed quantile bin of `value`; equal edges merge, since only the grouping matters.
+def with_quantile_bin(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
+    """Adds the right-closed quantile bin of `value`; equal edges merge, as only the grouping matters.
 
     The edges come from counts per distinct value, and reach the rows as one scalar.
     """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
     steps = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
     edges = counts.agg(F.percentile(F.col(value), steps, F.col("_c"))).scalar()
-    return F.greatest(
-        F.size(F.filter(edges, lambda edge: edge < F.col(value).cast("double"))), F.lit(1))
+    below = F.size(F.filter("_edges", lambda edge: edge < F.col(value).cast("double")))
+    return df.withColumn("_edges", edges).withColumn(
+        name, F.greatest(below, F.lit(1))).drop("_edges")
 
 
 def silence_percentiles(base: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
@@ -94,12 +95,8 @@ def silence_percentiles(base: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> D
 
     The four rankings go through one long table, ranked by (measure, bin).
     """
-    binned = base.select(
-        "card_no",
-        quantile_bin(base, "n_txn", SILENCE_BINS).alias("activity_bin"),
-        F.least("sil_days", F.lit(SILENCE_CAP_DAYS)).alias("silence_bin"),
-        "sil_days", "n_txn", "bal_last", "in_sum",
-    )
+    binned = with_quantile_bin(base, "n_txn", SILENCE_BINS, "activity_bin").withColumn(
+        "silence_bin", F.least("sil_days", F.lit(SILENCE_CAP_DAYS)))
     wanted = {
         "sil_pct_in_ntxn_bin": ("activity_bin", "sil_days"),
         "ntxn_pct_in_sil_bin": ("silence_bin", "n_txn"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardflow.sources.store import materialize
+
 # A key is split once it holds more rows than this. About 400 MB of transactions.
 HEAVY_ROWS = 2_000_000
 # Number of heavy keys that are split. The list is broadcast, so its length is bounded; a key
@@ -38,15 +40,24 @@ def spread_join(
     `weight` is the lookup column saying how many rows carry the key. Rows of a heavy key, and
     rows without a key, are dealt over `fan_out` salts by a hash of `spread_by`; the lookup row
     of a heavy key is repeated for each salt. All other keys join as usual on salt 0.
+
+    The lookup is read twice, for its heavy keys and for the join, and usually summarises `rows`
+    itself, so it is written to the shared folder first.
     """
-    hot = F.broadcast(heavy_keys(lookup, keys, weight, heavy_rows).withColumn("_hot", F.lit(True)))
+    lookup = materialize(lookup, "lookup")
     dealt = F.pmod(F.xxhash64(*spread_by), F.lit(fan_out)).cast("int")
     missing: Column = F.lit(False)
     for key in keys:
         missing = missing | F.col(key).isNull()
-    salted_rows = rows.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | missing, dealt).otherwise(0)).drop("_hot")
-    every_salt = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(fan_out - 1)).otherwise(0))
-    salted_lookup = (
-        lookup.join(hot, keys, "left").withColumn("_salt", F.explode(every_salt)).drop("_hot"))
+    heavy = heavy_keys(lookup, keys, weight, heavy_rows)
+    if heavy.isEmpty():
+        salted_rows = rows.withColumn("_salt", F.when(missing, dealt).otherwise(0))
+        salted_lookup = lookup.withColumn("_salt", F.lit(0))
+    else:
+        hot = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
+        salted_rows = rows.join(hot, keys, "left").withColumn(
+            "_salt", F.when(F.col("_hot") | missing, dealt).otherwise(0)).drop("_hot")
+        every_salt = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(fan_out - 1)).otherwise(0))
+        salted_lookup = (
+            lookup.join(hot, keys, "left").withColumn("_salt", F.explode(every_salt)).drop("_hot"))
     return salted_rows.join(salted_lookup, [*keys, "_salt"], "left").drop("_salt")

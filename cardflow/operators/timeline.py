@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cardflow.functions.exprs import seconds_between
 from cardflow.operators import skew
+from cardflow.sources.store import materialize
 
 # Event order. The account number settles two accounts that write in the same second.
 EVENT_ORDER = ["tms", "accno_txn_sn", "cst_accno"]
@@ -40,10 +41,13 @@ def with_slices(
     txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
     counts = txn.groupBy("card_no").agg(F.count(F.lit(1)).alias("_rows"))
-    hot = skew.heavy_keys(counts, ["card_no"], "_rows", heavy_rows).withColumn("_hot", F.lit(True))
+    heavy = materialize(skew.heavy_keys(counts, ["card_no"], "_rows", heavy_rows), "heavy-cards")
+    if heavy.isEmpty():
+        return txn.withColumn("_slice", F.lit(0).cast("long"))
     epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
     time_slice = F.floor(seconds_between(epoch, F.col("tms")) / slice_seconds).cast("long")
-    return txn.join(F.broadcast(hot), "card_no", "left").withColumn(
+    hot = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
+    return txn.join(hot, "card_no", "left").withColumn(
         "_slice",
         F.when(F.col("_hot"), F.coalesce(time_slice, F.lit(UNTIMED_SLICE))).otherwise(F.lit(0)),
     ).drop("_hot")

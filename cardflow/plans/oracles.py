@@ -612,14 +612,16 @@ union all select 'target', card_no from testa where card_no not in (select card_
 select card_no, family, cast(seed as bigint) as seed, avg(score) as score from scores group by 1, 2, 3"""),
     "rank_normalise": (["silence_base", "scores", "fold_mean"], f"""
 select card_no, score, round({_RANK.format(by='1', x='score')}, 6) as rank from fold_mean where family = 'dart'"""),
-    "family_scores": (["silence_base", "scores", "fold_mean"], f"""
+    "family_means": (["silence_base", "scores", "fold_mean"], f"""
 select card_no, family, avg(r) as score from (
   select *, {_RANK.format(by='family, seed', x='score')} as r from fold_mean) group by 1, 2"""),
-    "rank_blend": (["silence_base", "scores", "fold_mean", "family_scores"], f"""
-select card_no, {_RANK.format(by='1', x='score')} as score from (
+    "family_scores": (["silence_base", "scores", "fold_mean", "family_means"], """
+select card_no, family, round(score, 6) as score from family_means"""),
+    "rank_blend": (["silence_base", "scores", "fold_mean", "family_means"], f"""
+select card_no, round({_RANK.format(by='1', x='score')}, 6) as score from (
   select card_no, round(avg(r), 12) as score from (
-    select *, {_RANK.format(by='family', x='score')} as r from family_scores) group by 1)"""),
-    "hard_rule": (["silence_base", "scores", "fold_mean", "family_scores", "rank_blend"], """
+    select *, {_RANK.format(by='family', x='score')} as r from family_means) group by 1)"""),
+    "hard_rule": (["silence_base", "scores", "fold_mean", "family_means", "rank_blend"], """
 select card_no, case when sil_days >= 32 then 1.0 else round(score, 6) end as score
 from rank_blend left join silence_base using (card_no)"""),
     "top_fraction": (["silence_base", "scores", "fold_mean"], """
@@ -642,9 +644,9 @@ with g as (select label, rank() over (order by score) + (count(*) over (partitio
 select {_r('''(sum(r) filter (where label = 1) - count(*) filter (where label = 1)
   * (count(*) filter (where label = 1) + 1) / 2.0)
   / (count(*) filter (where label = 1) * count(*) filter (where label = 0))''', 'auc')} from g"""),
-    "ranked_output": (["silence_base", "scores", "fold_mean", "family_scores", "rank_blend", "hard_rule"], """
+    "ranked_output": (["silence_base", "scores", "fold_mean", "family_means", "rank_blend", "hard_rule"], """
 select row_order, card_no, score from testa left join hard_rule using (card_no) order by row_order"""),
-    "output_check": (["silence_base", "scores", "fold_mean", "family_scores", "rank_blend"], """
+    "output_check": (["silence_base", "scores", "fold_mean", "family_means", "rank_blend"], """
 select count(*) filter (where b.card_no is null) as missing,
   (select count(*) from rank_blend where card_no not in (select card_no from testa)) as extra, 0 as doubled
 from testa left join rank_blend b using (card_no)"""),
@@ -661,7 +663,7 @@ select c_custkey, cast(try_cast(txt as double) as bigint) as label from (
 }
 
 # Parts of other queries, not registered themselves.
-_PARTS = {"exposure_long", "features", "scores"}
+_PARTS = {"exposure_long", "features", "scores", "family_means"}
 
 
 def build(key: str) -> str:
