@@ -10,7 +10,7 @@ from cardflow.constants import ACCOUNT_COLUMNS
 from cardflow.functions.exprs import safe_div, sum0, sum_where
 from cardflow.operators import skew
 from cardflow.operators.ranks import nearest_quantile
-from cardflow.operators.timeline import SLICE_SECONDS, with_slices
+from cardflow.operators.timeline import SLICE_SECONDS, split_heavy
 from cardflow.sources.store import materialize
 
 # Order inside an account.
@@ -41,22 +41,20 @@ def account_concentration(txn: DataFrame, card: DataFrame) -> DataFrame:
     return accounts.groupBy("card_no").agg(*measures)
 
 
-def _residuals(txn: DataFrame, heavy_rows: int, slice_seconds: int) -> DataFrame:
-    """Gap between balance movement and booked amount, against the row before and the row after.
-
-    Windows run inside (card, account, slice); the first and last balances of each slice bridge them.
-    """
-    rows = with_slices(
-        txn.select(*ACCOUNT, *ACCOUNT_ORDER, "acct_bal", "inflow_amt", "outflow_amt"),
-        heavy_rows, slice_seconds)
-    ordered = W.partitionBy(*ACCOUNT, "_slice").orderBy(*ACCOUNT_ORDER)
-    local = rows.withColumns({
+def _neighbours(rows: DataFrame, group: list[str]) -> DataFrame:
+    ordered = W.partitionBy(*group).orderBy(*ACCOUNT_ORDER)
+    return rows.withColumns({
         "_pos": F.row_number().over(ordered),
         "_prev": F.lag("acct_bal").over(ordered),
         "_next": F.lead("acct_bal").over(ordered),
     })
+
+
+def _bridged(sliced: DataFrame) -> DataFrame:
+    """Neighbour balances of heavy cards: inside a slice by window, across slices by the first and
+    last balance of each slice."""
     place = F.struct(*ACCOUNT_ORDER)
-    ends = rows.groupBy(*ACCOUNT, "_slice").agg(
+    ends = sliced.groupBy(*ACCOUNT, "_slice").agg(
         F.count(F.lit(1)).alias("_size"),
         F.min_by("acct_bal", place).alias("_first"),
         F.max_by("acct_bal", place).alias("_last"),
@@ -68,19 +66,33 @@ def _residuals(txn: DataFrame, heavy_rows: int, slice_seconds: int) -> DataFrame
         F.lag("_last").over(slices).alias("_carry_prev"),
         F.lead("_first").over(slices).alias("_carry_next"),
     )
-    joined = local.join(
+    joined = _neighbours(sliced, [*ACCOUNT, "_slice"]).join(
         bridges,
         (F.col("card_no") == F.col("_card"))
         & F.col("cst_accno").eqNullSafe(F.col("_account"))
         & (F.col("_slice") == F.col("_s")))
-    previous = F.when(F.col("_pos") == 1, F.col("_carry_prev")).otherwise(F.col("_prev"))
-    following = F.when(F.col("_pos") == F.col("_size"), F.col("_carry_next")).otherwise(F.col("_next"))
+    return joined.withColumns({
+        "_prev": F.when(F.col("_pos") == 1, F.col("_carry_prev")).otherwise(F.col("_prev")),
+        "_next": F.when(F.col("_pos") == F.col("_size"), F.col("_carry_next"))
+        .otherwise(F.col("_next")),
+    })
+
+
+def _residuals(txn: DataFrame, heavy_rows: int, slice_seconds: int) -> DataFrame:
+    """Gap between balance movement and booked amount, against the row before and the row after."""
+    plain, sliced = split_heavy(
+        txn.select(*ACCOUNT, *ACCOUNT_ORDER, "acct_bal", "inflow_amt", "outflow_amt"),
+        heavy_rows, slice_seconds)
+    needed = [*ACCOUNT, "acct_bal", "inflow_amt", "outflow_amt", "_prev", "_next"]
+    rows = _neighbours(plain, ACCOUNT).select(*needed)
+    if sliced is not None:
+        rows = rows.unionByName(_bridged(sliced).select(*needed))
     balance, signed = F.col("acct_bal"), F.col("inflow_amt") - F.col("outflow_amt")
-    after = F.abs((balance - previous) - signed)
-    return joined.select(
+    after = F.abs((balance - F.col("_prev")) - signed)
+    return rows.select(
         *ACCOUNT,
         after.alias("resid_after"),
-        F.abs((following - balance) - signed).alias("resid_before"),
+        F.abs((F.col("_next") - balance) - signed).alias("resid_before"),
         safe_div(after, F.abs(signed) + 1).alias("rel_after"),
     )
 
@@ -88,13 +100,16 @@ def _residuals(txn: DataFrame, heavy_rows: int, slice_seconds: int) -> DataFrame
 def balance_consistency(
     txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
+    """Card mean of the relative residual, card 90 % residual, and mean over accounts of the smaller
+    90 % residual of both directions. The residuals are read by several rankings, so written once."""
     residuals = materialize(_residuals(txn, heavy_rows, slice_seconds), "residuals")
-    sides = []
-    for side in ("after", "before"):
-        sides.append(nearest_quantile(residuals, ACCOUNT, f"resid_{side}", 0.9, "p90"))
-    # Smaller of the two 90 % residuals per account; an account with one row has none.
+    sides = F.explode(F.array(
+        F.struct(F.lit("after").alias("side"), F.col("resid_after").alias("value")),
+        F.struct(F.lit("before").alias("side"), F.col("resid_before").alias("value"))))
+    long = residuals.select(*ACCOUNT, sides.alias("s")).select(*ACCOUNT, "s.side", "s.value")
+    per_account = nearest_quantile(long, [*ACCOUNT, "side"], "value", 0.9, "p90")
     best = (
-        sides[0].unionByName(sides[1]).groupBy(*ACCOUNT).agg(F.min("p90").alias("best"))
+        per_account.groupBy(*ACCOUNT).agg(F.min("p90").alias("best"))
         .groupBy("card_no").agg(F.avg("best").alias("AB_acc_resid_best_p90_mean"))
     )
     card_p90 = nearest_quantile(residuals, ["card_no"], "resid_after", 0.9, "AB_resid_after_p90")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.functions.exprs import safe_div, sum_where
@@ -12,13 +12,28 @@ def code_counts(txn: DataFrame, column: str) -> DataFrame:
     return txn.groupBy("card_no", F.col(column).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def code_shares(counts: DataFrame, names: dict[str, str]) -> DataFrame:
-    """One share column per code (`code -> column`); rows without a code are not counted."""
+def share_measures(names: dict[str, str]) -> list[Column]:
     coded = F.sum(F.when(F.col("code").isNotNull(), F.col("n")))
-    return counts.groupBy("card_no").agg(*[
+    return [
         safe_div(sum_where(F.col("code") == code, F.col("n")), coded).alias(name)
         for code, name in names.items()
-    ])
+    ]
+
+
+def entropy_measure(name: str) -> Column:
+    """-sum(p ln p) = ln N - sum(n ln n) / N: two sums and no window over the card."""
+    n, total = F.col("n").cast("double"), F.sum("n").cast("double")
+    return (F.ln(total) - F.sum(n * F.ln(n)) / total).alias(name)
+
+
+def distinct_measure(name: str) -> Column:
+    """Distinct codes, null counted as one."""
+    return F.count(F.lit(1)).alias(name)
+
+
+def code_shares(counts: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One share column per code (`code -> column`); rows without a code are not counted."""
+    return counts.groupBy("card_no").agg(*share_measures(names))
 
 
 def code_share_rows(counts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -62,10 +77,5 @@ def code_list(codes: DataFrame) -> list[str]:
 
 
 def entropy(counts: DataFrame, name: str) -> DataFrame:
-    """Shannon entropy in nats of the code mix, null being a code of its own.
-
-    -sum(p ln p) = ln N - sum(n ln n) / N needs two sums and no window over the card.
-    """
-    n, total = F.col("n").cast("double"), F.sum("n").cast("double")
-    return counts.groupBy("card_no").agg(
-        (F.ln(total) - F.sum(n * F.ln(n)) / total).alias(name))
+    """Shannon entropy in nats of the code mix, null being a code of its own."""
+    return counts.groupBy("card_no").agg(entropy_measure(name))

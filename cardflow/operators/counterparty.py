@@ -7,36 +7,40 @@ plain counts over the summary, spreads a busy card over many tasks and shuffles
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.constants import INTERBANK, LAST_ROW_CHANNELS, SECOND_LOOKBACKS
 from cardflow.functions.exprs import count0, safe_div, seconds_between, sum0, sum_where
 from cardflow.operators import skew
-from cardflow.operators.timeline import EVENT_ORDER, with_directions
+from cardflow.operators.sequence import LAST_K_PARTIES
+from cardflow.operators.timeline import with_directions
 
 def _known():
     return F.col("cntrprt_card_no").isNotNull()
 
 
 def pair_summary(enriched: DataFrame) -> DataFrame:
-    """Every decomposable measure per (card, counterparty); unused ones are pruned by the plan."""
+    """Every decomposable measure per (card, counterparty); unused ones are pruned by the plan.
+
+    All buffers are numbers, so the plan hash-aggregates. Values of one particular row (the last
+    one, the last inflow) are picked by its flag rather than by an ordered maximum.
+    """
     is_in, is_out, amount = F.col("is_in"), F.col("is_out"), F.col("inflow_amt")
-    private = F.col("cntrprt_prvt_ind")
-    clearing = F.col("cntrprt_clear_type")
+    private, clearing = F.col("cntrprt_prvt_ind"), F.col("cntrprt_clear_type")
     last_day, after = F.col("days_before") == 0, F.col("after_last_in")
+    at_end = lambda c: F.max(F.when(F.col("rn_end") == 0, c.cast("byte")))
     measures = [
         F.count(F.lit(1)).alias("n"),
-        F.count_if(is_in).alias("in_n"),
-        sum_where(is_in, amount).alias("in_paid"),
-        F.max("anchor_tms").alias("anchor_tms"),
+        F.min("rn_end").alias("rn"),
         # first contact and last day
         F.max("days_before").alias("first_days"),
         F.count_if(last_day & is_out).alias("d0_out_n"),
         sum_where(last_day & is_out, F.col("outflow_amt")).alias("d0_out_sum"),
-        F.max(F.struct(*EVENT_ORDER, "cntrprt_clear_type", "txn_channel_type")).alias("end"),
+        at_end(clearing == INTERBANK).alias("end_interbank"),
+        *[at_end(F.col("txn_channel_type") == c).alias(f"end_{c}") for c in LAST_ROW_CHANNELS],
         # last inflow and what follows
-        F.max(F.when(is_in, F.struct(*EVENT_ORDER, "inflow_amt"))).alias("last_in"),
+        F.max(F.when(F.col("is_last_in"), amount)).alias("last_in"),
         F.min(F.when(is_in, F.col("rn_end"))).alias("in_rn"),
         F.min(F.when(is_in, F.col("days_before"))).alias("in_days"),
         F.min(F.when(is_in, F.col("sec_before"))).alias("in_sec"),
@@ -44,14 +48,16 @@ def pair_summary(enriched: DataFrame) -> DataFrame:
         sum_where(after, F.col("outflow_amt")).alias("after_out"),
         F.min(F.when(after, F.col("tms"))).alias("after_from"),
         F.max(F.when(after, F.col("tms"))).alias("after_to"),
-        # inflow detail
+        # inflow
+        F.count_if(is_in).alias("in_n"),
+        sum_where(is_in, amount).alias("in_paid"),
+        F.max(F.when(is_in, amount)).alias("in_max"),
         F.count_if(is_in & (private == 1)).alias("in_private_n"),
         F.count_if(is_in & (F.col("hour") < 6)).alias("in_night_n"),
         F.count(F.when(is_in, F.col("hour"))).alias("in_hour_n"),
         F.count_if(is_in & (amount % 1000 == 0)).alias("in_round_n"),
         F.count_if(is_in & (clearing == INTERBANK)).alias("in_interbank_n"),
         F.count(F.when(is_in, clearing)).alias("in_clear_n"),
-        F.max(F.when(is_in, F.struct("inflow_amt", *EVENT_ORDER))).alias("top_in"),
     ]
     for tag, seconds in SECOND_LOOKBACKS.items():
         recent = F.col("sec_before") < seconds
@@ -67,15 +73,24 @@ def pair_summary(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("card_no", "cntrprt_card_no").agg(*measures)
 
 
-def top_counterparty(pairs: DataFrame) -> DataFrame:
-    return pairs.filter(_known()).groupBy("card_no").agg(
-        F.max("n").alias("cp_top1_cnt"),
-        F.sum("n").alias("cp_cnt_total"),
-        safe_div(F.max("n"), F.sum("n")).alias("cp_top1_share"),
-    )
+def party_count_measures() -> list[Column]:
+    """Counterparties of the whole history and of the last rows, unknown counted as one."""
+    recent = [
+        F.count_if(F.col("rn") < k).alias(name) for name, k in LAST_K_PARTIES.items()
+    ]
+    return [F.count(F.lit(1)).alias("n_cntrprt"), *recent]
 
 
-def second_lookbacks(pairs: DataFrame) -> DataFrame:
+def top_party_measures() -> list[Column]:
+    n = F.when(_known(), F.col("n"))
+    return [
+        F.max(n).alias("cp_top1_cnt"),
+        F.sum(n).alias("cp_cnt_total"),
+        safe_div(F.max(n), F.sum(n)).alias("cp_top1_share"),
+    ]
+
+
+def second_lookback_measures() -> list[Column]:
     measures = []
     for tag in SECOND_LOOKBACKS:
         measures += [
@@ -86,63 +101,91 @@ def second_lookbacks(pairs: DataFrame) -> DataFrame:
             safe_div(F.sum(f"{tag}_private"), F.sum(f"{tag}_private_n")).alias(f"{tag}_prvt"),
             safe_div(F.sum(f"{tag}_interbank_n"), F.sum(f"{tag}_clear_n")).alias(f"{tag}_interbank"),
         ]
-    return pairs.groupBy("card_no").agg(*measures)
+    return measures
 
 
-def after_last_inflow(pairs: DataFrame) -> DataFrame:
+def after_inflow_measures() -> list[Column]:
     """Last inflow and the rows behind it. Null without inflow; sums null when nothing follows."""
     followed = F.sum("after_n") > 0
-    return pairs.groupBy("card_no").agg(
+    return [
         F.min("in_rn").alias("trailing_outs"),
-        F.max("last_in")["inflow_amt"].alias("last_in_amt"),
+        F.max("last_in").alias("last_in_amt"),
         F.min("in_days").alias("last_in_days_before"),
         F.min("in_sec").alias("sec_lastin_to_end"),
         F.when(followed, F.sum("after_out")).alias("afterin_out_sum"),
         F.when(followed, F.count_if(F.col("after_n") > 0)).alias("afterin_n_cntrprt"),
         seconds_between(F.min("after_from"), F.max("after_to")).alias("afterin_span_sec"),
-    )
+    ]
 
 
-def first_contact(pairs: DataFrame) -> DataFrame:
+def first_contact_measures() -> list[Column]:
     """Is the last counterparty new, how was it reached, and last-day outflow to new ones."""
     new = F.col("first_days") == 0
-    known_new, known = _known() & new, _known()
-    last = F.max(F.struct("end", F.when(_known(), F.col("first_days")).alias("first_days")))
-    flags = [
-        (F.col("last.end.txn_channel_type") == code).cast("byte").alias(f"last_ch_{code}")
-        for code in LAST_ROW_CHANNELS
-    ]
-    d0_rows = F.sum(F.when(known, F.col("d0_out_n")))
-    return pairs.groupBy("card_no").agg(
-        last.alias("last"),
+    known_new = _known() & new
+    d0_rows = F.sum(F.when(_known(), F.col("d0_out_n")))
+    return [
+        F.max("end_interbank").alias("last_interbank"),
+        F.max(F.when(_known() & (F.col("rn") == 0), new.cast("byte"))).alias("last_cp_is_new"),
+        *[F.max(f"end_{c}").alias(f"last_ch_{c}") for c in LAST_ROW_CHANNELS],
         safe_div(count0(F.when(known_new, F.col("d0_out_n"))), d0_rows).alias("d0_newcp_share"),
         F.when(d0_rows > 0, sum_where(known_new, F.col("d0_out_sum"))).alias("d0_newcp_out_sum"),
-    ).select(
-        "card_no",
-        (F.col("last.end.cntrprt_clear_type") == INTERBANK).cast("byte").alias("last_interbank"),
-        (F.col("last.first_days") == 0).cast("byte").alias("last_cp_is_new"),
-        *flags, "d0_newcp_share", "d0_newcp_out_sum",
-    )
+    ]
 
 
-def inflow_concentration(pairs: DataFrame) -> DataFrame:
-    return pairs.filter(_known() & (F.col("in_n") > 0)).groupBy("card_no").agg(
-        F.count(F.lit(1)).alias("n_in_cp"),
-        safe_div(F.max("in_paid"), F.sum("in_paid") + 1).alias("in_cp_top1_share"),
-    )
+def inflow_concentration_measures() -> list[Column]:
+    """Null for cards without an inflow from a known counterparty."""
+    sender = _known() & (F.col("in_n") > 0)
+    paid = F.when(sender, F.col("in_paid"))
+    return [
+        F.when(F.count_if(sender) > 0, F.count_if(sender)).alias("n_in_cp"),
+        safe_div(F.max(paid), F.sum(paid) + 1).alias("in_cp_top1_share"),
+    ]
 
 
-def inflow_detail(pairs: DataFrame) -> DataFrame:
-    """Senders and shape of inflow; cards without inflow are absent."""
-    return pairs.filter(F.col("in_n") > 0).groupBy("card_no").agg(
+def inflow_measures() -> list[Column]:
+    """Senders and shape of inflow, over pairs that have any."""
+    return [
         F.count_if(F.col("in_private_n") > 0).alias("n_in_prvt_senders"),
         F.count(F.lit(1)).alias("n_in_senders"),
         safe_div(F.sum("in_night_n"), F.sum("in_hour_n")).alias("in_night_share"),
-        F.max("top_in")["inflow_amt"].alias("in_max2"),
+        F.max("in_max").alias("in_max2"),
         safe_div(F.sum("in_round_n"), F.sum("in_n")).alias("in_round1k_share"),
         safe_div(F.sum("in_interbank_n"), F.sum("in_clear_n")).alias("in_interbank_share"),
-        seconds_between(F.max("top_in")["tms"], F.max("anchor_tms")).alias("sec_maxin_to_end"),
-    )
+    ]
+
+
+def top_counterparty(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(_known()).groupBy("card_no").agg(*top_party_measures())
+
+
+def second_lookbacks(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("card_no").agg(*second_lookback_measures())
+
+
+def after_last_inflow(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("card_no").agg(*after_inflow_measures())
+
+
+def first_contact(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("card_no").agg(*first_contact_measures())
+
+
+def inflow_concentration(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(_known() & (F.col("in_n") > 0)).groupBy("card_no").agg(
+        *inflow_concentration_measures())
+
+
+def inflow_detail(pairs: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Inflow block of the cards that have inflow.
+
+    The largest inflow and its distance from the end come from (card, amount) groups: the amount is
+    unique there, so the latest row of the largest amount needs no ordered maximum.
+    """
+    latest = enriched.filter("is_in").groupBy("card_no", "inflow_amt").agg(
+        F.min("sec_before").alias("sec"))
+    largest = latest.groupBy("card_no").agg(F.max_by("sec", "inflow_amt").alias("sec_maxin_to_end"))
+    block = pairs.filter(F.col("in_n") > 0).groupBy("card_no").agg(*inflow_measures())
+    return block.join(largest, "card_no", "left")
 
 
 def _graded_pairs(txn: DataFrame, heavy_rows: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ def daily(txn: DataFrame) -> DataFrame:
     return days.withColumn("days_before", F.date_diff(last_day, F.col("stm_dt")))
 
 
-def day_lookbacks(days: DataFrame, widths: list[int] = DAY_LOOKBACKS) -> DataFrame:
+def lookback_measures(widths: list[int] = DAY_LOOKBACKS) -> list[Column]:
     measures = []
     for w in widths:
         recent = F.col("days_before") < w
@@ -48,39 +48,66 @@ def day_lookbacks(days: DataFrame, widths: list[int] = DAY_LOOKBACKS) -> DataFra
             sum_where(recent, F.col("in_sum")).alias(f"in_sum_w{w}"),
             sum_where(recent, F.col("out_sum")).alias(f"out_sum_w{w}"),
         ]
-    return days.groupBy("card_no").agg(*measures)
+    return measures
 
 
-def last_day(days: DataFrame) -> DataFrame:
-    return days.filter(F.col("days_before") == 0).select(
-        "card_no",
-        F.col("n").alias("d0_n"),
-        F.col("in_sum").alias("d0_in_sum"),
-        F.col("out_sum").alias("d0_out_sum"),
-        F.col("n_cntrprt").alias("d0_n_cntrprt"),
-        F.col("hour_min").alias("d0_hour_min"),
-        F.col("hour_max").alias("d0_hour_max"),
-    )
+LAST_DAY = {
+    "d0_n": "n", "d0_in_sum": "in_sum", "d0_out_sum": "out_sum", "d0_n_cntrprt": "n_cntrprt",
+    "d0_hour_min": "hour_min", "d0_hour_max": "hour_max",
+}
 
 
-def daily_peak(days: DataFrame) -> DataFrame:
-    return days.groupBy("card_no").agg(
+def last_day_measures() -> list[Column]:
+    return [
+        F.max(F.when(F.col("days_before") == 0, F.col(source))).alias(name)
+        for name, source in LAST_DAY.items()
+    ]
+
+
+def peak_measures() -> list[Column]:
+    return [
         F.max("n").alias("daily_n_max"),
         F.max("out_sum").alias("daily_out_max"),
         F.max("in_sum").alias("daily_in_max"),
         F.stddev_samp("n").alias("daily_n_std"),
+    ]
+
+
+def spread_measures() -> list[Column]:
+    """Outflow counterparties on the days that have any."""
+    parties = F.when(F.col("out_cntrprt") > 0, F.col("out_cntrprt"))
+    return [F.max(parties).alias("fanout_day_max"), F.avg(parties).alias("fanout_day_mean")]
+
+
+def day_lookbacks(days: DataFrame, widths: list[int] = DAY_LOOKBACKS) -> DataFrame:
+    return days.groupBy("card_no").agg(*lookback_measures(widths))
+
+
+def last_day(days: DataFrame) -> DataFrame:
+    return days.filter(F.col("days_before") == 0).select(
+        "card_no", *[F.col(source).alias(name) for name, source in LAST_DAY.items()])
+
+
+def daily_peak(days: DataFrame) -> DataFrame:
+    return days.groupBy("card_no").agg(*peak_measures())
+
+
+def hour_counts(txn: DataFrame) -> DataFrame:
+    """(card_no, code = hour of day, n, out_max): rows, and most outflow rows in one such hour."""
+    return (
+        with_directions(txn)
+        .groupBy("card_no", "stm_dt", "hour")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_out").alias("n_out"))
+        .groupBy("card_no", F.col("hour").alias("code"))
+        .agg(F.sum("n").alias("n"), F.max("n_out").alias("out_max"))
     )
 
 
+def busiest_hour() -> Column:
+    return F.max(F.when(F.col("out_max") > 0, F.col("out_max"))).alias("hourly_out_max")
+
+
 def fan_out(days: DataFrame, txn: DataFrame) -> DataFrame:
     """Outflow counterparties per day and outflow rows per hour; cards without outflow are absent."""
-    spread = days.filter(F.col("out_cntrprt") > 0).groupBy("card_no").agg(
-        F.max("out_cntrprt").alias("fanout_day_max"),
-        F.avg("out_cntrprt").alias("fanout_day_mean"),
-    )
-    hours = (
-        with_directions(txn).filter("is_out")
-        .groupBy("card_no", "stm_dt", "hour").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("card_no").agg(F.max("n").alias("hourly_out_max"))
-    )
-    return hours.join(spread, "card_no", "left")
+    hours = hour_counts(txn).groupBy("card_no").agg(busiest_hour()).filter("hourly_out_max > 0")
+    return hours.join(days.groupBy("card_no").agg(*spread_measures()), "card_no", "left")

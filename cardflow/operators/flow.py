@@ -1,8 +1,12 @@
-"""Per-card aggregates that need no event order: flows, balances, mix, amounts, anchors."""
+"""Per-card aggregates that need no event order: flows, balances, mix, amounts, anchors.
+
+Each block is a list of measures, so that the matrix computes many blocks in one aggregation, and a
+DataFrame operator around it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.constants import CASH_CATEGORY, INTERBANK, ON_US
@@ -40,10 +44,10 @@ def card_anchor(txn: DataFrame, train: DataFrame, target: DataFrame) -> DataFram
     return per_card.join(members, "card_no", "left")
 
 
-def flow_aggregates(txn: DataFrame) -> DataFrame:
+def flow_measures() -> list[Column]:
     inflow, outflow = F.col("inflow_amt"), F.col("outflow_amt")
     paid_in, paid_out = F.when(F.col("is_in"), inflow), F.when(F.col("is_out"), outflow)
-    block = with_directions(txn).groupBy("card_no").agg(
+    return [
         F.count(F.lit(1)).alias("n_txn"),
         F.date_diff(F.max("stm_dt"), F.min("stm_dt")).alias("span_days"),
         F.count_if("is_in").alias("n_in"),
@@ -56,26 +60,24 @@ def flow_aggregates(txn: DataFrame) -> DataFrame:
         F.avg(paid_out).alias("out_mean"),
         F.max(outflow).alias("out_max"),
         F.stddev_samp(paid_out).alias("out_std"),
-    )
-    return _with_distinct(block, txn, {"n_days": "stm_dt", "n_accno_used": "cst_accno"})
+    ]
 
 
-def balance_aggregates(txn: DataFrame) -> DataFrame:
+def balance_measures(last: Column) -> list[Column]:
+    """`last` is the aggregate that yields the balance of the last row."""
     balance = F.col("acct_bal")
-    return txn.groupBy("card_no").agg(
-        F.max_by(balance, event_position()).alias("bal_last"),
+    return [
+        last.alias("bal_last"),
         F.min(balance).alias("bal_min"),
         F.max(balance).alias("bal_max"),
         F.avg(balance).alias("bal_mean"),
         F.stddev_samp(balance).alias("bal_std"),
-    )
+    ]
 
 
-def mix_shares(txn: DataFrame) -> DataFrame:
-    """Counterparty, channel, remark and hour-of-day mix."""
+def mix_measures() -> list[Column]:
     clearing = F.col("cntrprt_clear_type")
-    rows = with_directions(txn)
-    block = rows.groupBy("card_no").agg(
+    return [
         F.avg("cntrprt_prvt_ind").alias("prvt_share"),
         share(clearing == INTERBANK).alias("interbank_share"),
         share(clearing == ON_US).alias("onus_share"),
@@ -84,21 +86,51 @@ def mix_shares(txn: DataFrame) -> DataFrame:
         F.avg("rmrk_short_ind").alias("rmrk_short_share"),
         F.avg("rmrk_e_credit_ind").alias("rmrk_ec_share"),
         share(F.col("hour") < 6).alias("night_share"),
-    )
-    return _with_distinct(block, rows, {
-        "n_cntrprt": "cntrprt_card_no", "n_smy": "smy_cd",
-        "n_channel": "txn_channel_type", "n_hours": "hour",
-    })
+    ]
 
 
-def amount_shape(txn: DataFrame) -> DataFrame:
+def amount_measures() -> list[Column]:
     amount = F.col("txn_amt")
-    return txn.groupBy("card_no").agg(
+    return [
         share((amount % 100 == 0) & (amount > 0)).alias("round100_share"),
         share((amount % 1000 == 0) & (amount > 0)).alias("round1000_share"),
         F.count_if(amount >= 10000).alias("n_big1w"),
         F.count_if(amount >= 50000).alias("n_big5w"),
-    )
+    ]
+
+
+def calendar_measures() -> list[Column]:
+    return [
+        share(iso_weekday(F.col("tms")) >= 6).alias("weekend_share"),
+        iso_weekday(F.max("tms")).alias("anchor_weekday"),
+        F.hour(F.max("tms")).alias("anchor_hour"),
+    ]
+
+
+def flow_aggregates(txn: DataFrame) -> DataFrame:
+    block = with_directions(txn).groupBy("card_no").agg(*flow_measures())
+    return _with_distinct(block, txn, {"n_days": "stm_dt", "n_accno_used": "cst_accno"})
+
+
+def balance_aggregates(txn: DataFrame) -> DataFrame:
+    return txn.groupBy("card_no").agg(*balance_measures(F.max_by("acct_bal", event_position())))
+
+
+def mix_shares(txn: DataFrame) -> DataFrame:
+    """Counterparty, channel, remark and hour-of-day mix."""
+    rows = with_directions(txn)
+    return _with_distinct(rows.groupBy("card_no").agg(*mix_measures()), rows, {
+        "n_cntrprt": "cntrprt_card_no", "n_smy": "smy_cd",
+        "n_channel": "txn_channel_type", "n_hours": "hour",
+    })
+
+
+def amount_shape(txn: DataFrame) -> DataFrame:
+    return txn.groupBy("card_no").agg(*amount_measures())
+
+
+def calendar(txn: DataFrame) -> DataFrame:
+    return txn.groupBy("card_no").agg(*calendar_measures())
 
 
 def amount_repetition(txn: DataFrame) -> DataFrame:
@@ -111,11 +143,3 @@ def amount_repetition(txn: DataFrame) -> DataFrame:
         safe_div(F.max("n"), total).alias("amt_top1_share"),
         safe_div(F.count(F.lit(1)), total).alias("amt_unique_ratio"),
     )
-
-
-def calendar(txn: DataFrame) -> DataFrame:
-    return txn.groupBy("card_no").agg(
-        share(iso_weekday(F.col("tms")) >= 6).alias("weekend_share"),
-        iso_weekday(F.max("tms")).alias("anchor_weekday"),
-        F.hour(F.max("tms")).alias("anchor_hour"),
-    )

@@ -1,10 +1,10 @@
 """Per-card event sequences: anchors, positions, previous rows and forward fills.
 
-A card's history is one ordered sequence, but one card may hold a large part of all rows. Cards
-above `skew.HEAVY_ROWS` are therefore cut into time slices. Every row-level window runs inside
-(card, slice); a summary with one row per (card, slice) carries counts, last times and last
-directions from slice to slice. That summary grows with the calendar, not with the rows. All other
-cards form one slice.
+Almost every card is one window group: one shuffle on the card and one sort. But one card may hold a
+large part of all rows. Cards above `skew.HEAVY_ROWS` leave that path and are cut into time slices:
+their row-level windows run inside (card, slice), and a summary with one row per (card, slice)
+carries counts, last times and last directions from slice to slice. That summary grows with the
+calendar, not with the rows.
 """
 
 from __future__ import annotations
@@ -37,24 +37,43 @@ def with_directions(txn: DataFrame) -> DataFrame:
     })
 
 
-def with_slices(
+def split_heavy(
     txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS, slice_seconds: int = SLICE_SECONDS
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary cards, and rows of heavy cards with `_slice`; None when no card is heavy."""
     counts = txn.groupBy("card_no").agg(F.count(F.lit(1)).alias("_rows"))
     heavy = materialize(skew.heavy_keys(counts, ["card_no"], "_rows", heavy_rows), "heavy-cards")
     if heavy.isEmpty():
-        return txn.withColumn("_slice", F.lit(0).cast("long"))
+        return txn, None
+    hot = F.broadcast(heavy)
     epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
     time_slice = F.floor(seconds_between(epoch, F.col("tms")) / slice_seconds).cast("long")
-    hot = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
-    return txn.join(hot, "card_no", "left").withColumn(
-        "_slice",
-        F.when(F.col("_hot"), F.coalesce(time_slice, F.lit(UNTIMED_SLICE))).otherwise(F.lit(0)),
-    ).drop("_hot")
+    sliced = txn.join(hot, "card_no", "left_semi").withColumn(
+        "_slice", F.coalesce(time_slice, F.lit(UNTIMED_SLICE)))
+    return txn.join(hot, "card_no", "left_anti"), sliced
+
+
+def _whole_card(rows: DataFrame) -> DataFrame:
+    """Card-wide values of ordinary cards, as windows over the partitioning already at hand."""
+    card = W.partitionBy("card_no")
+    inflows = F.count_if("is_in").over(card)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return rows.withColumns({
+        "anchor_dt": F.max("stm_dt").over(card),
+        "anchor_tms": F.max("tms").over(card),
+        "_card_rows": F.count(F.lit(1)).over(card),
+        "_card_in": inflows,
+    }).withColumns({
+        "_rows_left": F.col("_card_rows"),
+        "_in_left": F.col("_card_in"),
+        "_carry_in_tms": nothing("timestamp_ntz"),
+        "_carry_tms": nothing("timestamp_ntz"),
+        "_carry_is_in": nothing("boolean"),
+    })
 
 
 def _carried(rows: DataFrame) -> DataFrame:
-    """One row per (card, slice): card-wide anchors and what earlier slices hand over."""
+    """One row per (card, slice): card-wide values and what earlier slices hand over."""
     summary = rows.groupBy("card_no", "_slice").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("is_in").alias("n_in"),
@@ -71,6 +90,7 @@ def _carried(rows: DataFrame) -> DataFrame:
         "card_no", "_slice",
         F.max("max_dt").over(card).alias("anchor_dt"),
         F.max("max_tms").over(card).alias("anchor_tms"),
+        F.sum("n").over(card).alias("_card_rows"),
         F.sum("n_in").over(card).alias("_card_in"),
         (F.sum("n").over(card) - before("n")).alias("_rows_left"),
         (F.sum("n_in").over(card) - before("n_in")).alias("_in_left"),
@@ -80,43 +100,59 @@ def _carried(rows: DataFrame) -> DataFrame:
     )
 
 
-def enrich(
-    txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS, slice_seconds: int = SLICE_SECONDS
-) -> DataFrame:
-    """Transactions with anchors, look-back distances, positions and previous-row measures.
-
-    Adds hour, is_in, is_out, anchor_dt, anchor_tms, days_before, sec_before, rn_end (0 = last),
-    gap_sec, out_after_in_sec, io_flip and after_last_in (row follows the card's last inflow).
-    """
-    rows = with_slices(with_directions(txn), heavy_rows, slice_seconds)
-    ordered = W.partitionBy("card_no", "_slice").orderBy(*EVENT_ORDER)
+def _positions(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Order-dependent values inside a window group."""
+    ordered = W.partitionBy(*group).orderBy(*EVENT_ORDER)
     upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
-    inflow = F.when(F.col("is_in"), 1).otherwise(0)
-    local = rows.withColumns({
+    return rows.withColumns({
         "_pos": F.row_number().over(ordered),
         "_prev_tms": F.lag("tms").over(ordered),
         "_prev_is_in": F.lag("is_in").over(ordered),
-        "_in_upto": F.sum(inflow).over(upto),
+        "_in_upto": F.sum(F.when(F.col("is_in"), 1).otherwise(0)).over(upto),
         "_in_tms": F.last(F.when(F.col("is_in"), F.col("tms")), ignorenulls=True).over(upto),
     })
+
+
+def _measured(placed: DataFrame) -> DataFrame:
+    """Row measures from positions and card-wide values."""
     first = F.col("_pos") == 1
     previous_tms = F.when(first, F.col("_carry_tms")).otherwise(F.col("_prev_tms"))
     previous_in = F.when(first, F.col("_carry_is_in")).otherwise(F.col("_prev_is_in"))
     latest_in = F.coalesce("_in_tms", "_carry_in_tms")
-    in_from_here = F.col("_in_left") - F.col("_in_upto") + inflow
-    joined = local.join(_carried(rows), ["card_no", "_slice"])
-    helpers = [c for c in joined.columns if c.startswith("_")]
-    return joined.withColumns({
+    later_in = F.col("_in_left") - F.col("_in_upto")
+    inflow = F.coalesce(F.col("is_in"), F.lit(False))
+    rn_end = (F.col("_rows_left") - F.col("_pos")).cast("long")
+    helpers = [c for c in placed.columns if c.startswith("_")]
+    return placed.withColumns({
         "days_before": F.date_diff("anchor_dt", "stm_dt"),
         "sec_before": seconds_between(F.col("tms"), F.col("anchor_tms")),
-        "rn_end": (F.col("_rows_left") - F.col("_pos")).cast("long"),
+        "rn_end": rn_end,
+        "is_first": rn_end == F.col("_card_rows") - 1,
         "gap_sec": seconds_between(previous_tms, F.col("tms")),
         "out_after_in_sec": F.when(F.col("is_out"), seconds_between(latest_in, F.col("tms"))),
         "io_flip": F.col("is_out") & previous_in,
-        "after_last_in": (F.col("_card_in") > 0) & (in_from_here == 0),
+        "is_last_in": inflow & (later_in == 0),
+        "after_last_in": ~inflow & (F.col("_card_in") > 0) & (later_in == 0),
     }).drop(*helpers)
 
 
+def enrich(
+    txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    """Transactions with anchors, look-back distances, positions and previous-row measures.
+
+    Adds hour, is_in, is_out, anchor_dt, anchor_tms, days_before, sec_before, rn_end (0 = last),
+    is_first, gap_sec, out_after_in_sec, io_flip, is_last_in (the card's last inflow) and
+    after_last_in (row follows it).
+    """
+    plain, sliced = split_heavy(with_directions(txn), heavy_rows, slice_seconds)
+    enriched = _measured(_positions(_whole_card(plain), ["card_no"]))
+    if sliced is None:
+        return enriched
+    heavy = _positions(sliced, ["card_no", "_slice"]).join(_carried(sliced), ["card_no", "_slice"])
+    return enriched.unionByName(_measured(heavy))
+
+
 def tail_rows(txn: DataFrame, k: int) -> DataFrame:
     """The last k rows of each card with rn_end = 0 .. k-1.
 

@@ -41,9 +41,8 @@ def _join_blocks(blocks: list[DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.join(right, "card_no", "left"), blocks)
 
 
-def code_blocks(txn: DataFrame, settings: Settings) -> list[DataFrame]:
-    channel = codes.code_counts(txn, "txn_channel_type")
-    summary = codes.code_counts(txn, "smy_cd")
+def _code_names(channel: DataFrame, summary: DataFrame, settings: Settings) -> tuple[dict, dict]:
+    """Share columns per code for channels and summary codes; unset lists are read off the counts."""
     top = settings.summary_codes
     if top is None:
         top = codes.code_list(codes.top_codes(summary, K.TOP_SUMMARY_CODES))
@@ -58,11 +57,7 @@ def code_blocks(txn: DataFrame, settings: Settings) -> list[DataFrame]:
     channel_names = {c: f"ch{c}_share" for c in settings.channel_codes}
     channel_names |= {c: f"ch2_{c}" for c in more_channel}
     summary_names = {c: f"smy_{c}_share" for c in top} | {c: f"smy2_{c}" for c in more_summary}
-    return [
-        codes.code_shares(channel, channel_names),
-        codes.code_shares(summary, summary_names),
-        codes.entropy(channel, "channel_entropy"),
-    ]
+    return channel_names, summary_names
 
 
 def card_ratios(features: DataFrame) -> DataFrame:
@@ -111,43 +106,64 @@ def wealth_ratios(df: DataFrame) -> DataFrame:
 def card_features(
     data: CardData, enriched: DataFrame, pairs: DataFrame, days: DataFrame, settings: Settings
 ) -> DataFrame:
-    """The behaviour and static columns of every card with transactions (299 on the full code lists)."""
+    """The behaviour and static columns of every card with transactions (299 on the full code lists).
+
+    Blocks over the same input share one aggregation, kept below the width at which Spark gives up
+    code generation (spark.sql.codegen.maxFields, 100 by default).
+    """
+    by_card = lambda df, *measures: df.groupBy("card_no").agg(*measures)
     heavy = settings.heavy_rows
-    txn = enriched
+    channel = codes.code_counts(enriched, "txn_channel_type")
+    summary = codes.code_counts(enriched, "smy_cd")
+    channel_names, summary_names = _code_names(channel, summary, settings)
     blocks = [
-        flow.flow_aggregates(txn),
-        flow.balance_aggregates(txn),
-        flow.mix_shares(txn),
-        sequence.gap_stats(enriched),
-        sequence.fast_in_out(enriched),
-        flow.amount_shape(txn),
-        daily.day_lookbacks(days),
-        *code_blocks(txn, settings),
-        counterparty.top_counterparty(pairs),
-        static.static_profile(txn, data.card, data.cst, data.accno, heavy),
+        by_card(
+            enriched,
+            *flow.flow_measures(),
+            *flow.balance_measures(F.max(F.when(F.col("rn_end") == 0, F.col("acct_bal")))),
+            *flow.mix_measures(), *flow.amount_measures(), *flow.calendar_measures(),
+        ),
+        by_card(
+            enriched,
+            *sequence.gap_measures(), *sequence.wait_measures(), *sequence.flip_measures(),
+            *sequence.last_row_measures(), *sequence.last_k_measures(),
+            *sequence.balance_path_measures(),
+        ),
+        by_card(enriched, *sequence.median_measures()),
+        by_card(
+            pairs,
+            *counterparty.party_count_measures(), *counterparty.top_party_measures(),
+            *counterparty.after_inflow_measures(), *counterparty.first_contact_measures(),
+            *counterparty.inflow_concentration_measures(), *counterparty.second_lookback_measures(),
+        ),
+        by_card(
+            days,
+            codes.distinct_measure("n_days"), *daily.lookback_measures(),
+            *daily.last_day_measures(), *daily.peak_measures(), *daily.spread_measures(),
+        ),
+        by_card(
+            daily.hour_counts(enriched),
+            codes.distinct_measure("n_hours"), codes.entropy_measure("hour_entropy"),
+            daily.busiest_hour(),
+        ),
+        by_card(
+            channel, codes.distinct_measure("n_channel"), codes.entropy_measure("channel_entropy"),
+            *codes.share_measures(channel_names)),
+        by_card(summary, codes.distinct_measure("n_smy"), *codes.share_measures(summary_names)),
+        flow.distinct_per_card(enriched, "cst_accno", "n_accno_used"),
+        flow.amount_repetition(enriched),
+        counterparty.counterparty_degree(enriched, heavy),
+        static.static_profile(enriched, data.card, data.cst, data.accno, heavy),
         static.frequency_encoding(data.card, data.cst, heavy_rows=heavy),
-        sequence.last_row(txn),
-        sequence.last_k(txn),
-        daily.last_day(days),
-        daily.daily_peak(days),
-        codes.entropy(codes.code_counts(txn, "hour"), "hour_entropy"),
-        flow.amount_repetition(txn),
-        counterparty.counterparty_degree(txn, heavy),
-        counterparty.after_last_inflow(pairs),
-        sequence.io_flips(enriched),
-        counterparty.first_contact(pairs),
-        daily.fan_out(days, txn),
-        sequence.balance_path(txn),
-        counterparty.second_lookbacks(pairs),
-        counterparty.inflow_concentration(pairs),
-        flow.calendar(txn),
     ]
     return card_ratios(_join_blocks(blocks))
 
 
-def inflow_features(txn: DataFrame, pairs: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
-    return counterparty.sender_degree(txn, heavy_rows).join(
-        counterparty.inflow_detail(pairs), "card_no", "full")
+def inflow_features(
+    enriched: DataFrame, pairs: DataFrame, heavy_rows: int = skew.HEAVY_ROWS
+) -> DataFrame:
+    return counterparty.sender_degree(enriched, heavy_rows).join(
+        counterparty.inflow_detail(pairs, enriched), "card_no", "full")
 
 
 def silence_features(base: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:

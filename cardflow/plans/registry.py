@@ -41,7 +41,8 @@ def presented(df: DataFrame) -> DataFrame:
     for f in df.schema:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), _COARSE.get(f.name, 6))
+            # Two steps: sums added in another order must not round a half differently.
+            c = F.round(F.round(c.cast("double"), 9), _COARSE.get(f.name, 6))
         elif isinstance(f.dataType, T.IntegralType):
             c = c.cast("long")
         shown.append(c.alias(f.name))
@@ -208,7 +209,7 @@ def _wealth(i: Inputs) -> DataFrame:
     blocks = [
         flow.flow_aggregates(i.txn), flow.balance_aggregates(i.txn),
         static.static_profile(i.txn, i.data.card, i.data.cst, i.data.accno),
-        counterparty.inflow_detail(i.pairs),
+        counterparty.inflow_detail(i.pairs, i.enriched),
     ]
     joined = matrix.wealth_ratios(matrix._join_blocks(blocks))
     return joined.select("card_no", *matrix.K.WEALTH_COLUMNS)
@@ -308,7 +309,7 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "io_flips": lambda i: sequence.io_flips(i.enriched),
     "first_contact": lambda i: counterparty.first_contact(i.pairs),
     "fan_out": lambda i: daily.fan_out(i.days, i.txn),
-    "balance_path": lambda i: sequence.balance_path(i.txn),
+    "balance_path": lambda i: sequence.balance_path(i.enriched),
     "second_lookbacks": lambda i: counterparty.second_lookbacks(i.pairs),
     "inflow_concentration": lambda i: counterparty.inflow_concentration(i.pairs),
     "calendar": lambda i: flow.calendar(i.txn),
@@ -322,7 +323,7 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "exposure_oof": lambda i: i.matched.filter("side = 'train'").drop("side"),
     "exposure_target_foldmatched": lambda i: i.matched.filter("side = 'target'").drop("side"),
     "sender_degree": lambda i: counterparty.sender_degree(i.txn),
-    "inflow_detail": lambda i: counterparty.inflow_detail(i.pairs),
+    "inflow_detail": lambda i: counterparty.inflow_detail(i.pairs, i.enriched),
     "silence_anchor": lambda i: silence.anchor_date(i.txn),
     "silence_base": lambda i: silence.silence_base(i.enriched),
     "silence_interactions": lambda i: silence.silence_interactions(silence.silence_base(i.enriched)),
