@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardflow.constants import ACCOUNT_COLUMNS
 from cardflow.functions.exprs import safe_div, sum0, sum_where
-from cardflow.operators import skew
 from cardflow.operators.ranks import nearest_quantile
-from cardflow.operators.timeline import SLICE_SECONDS, split_heavy
+from cardflow.operators.timeline import SLICE_SECONDS, heavy_cards, split_heavy
 from cardflow.sources.store import materialize
 
 # Order inside an account.
 ACCOUNT_ORDER = ["tms", "accno_txn_sn"]
 ACCOUNT = ["card_no", "cst_accno"]
+QUANTILE = 0.9
 
 
 def account_concentration(txn: DataFrame, card: DataFrame) -> DataFrame:
@@ -78,46 +78,75 @@ def _bridged(sliced: DataFrame) -> DataFrame:
     })
 
 
-def _residuals(txn: DataFrame, heavy_rows: int, slice_seconds: int) -> DataFrame:
+def _with_residuals(rows: DataFrame) -> DataFrame:
     """Gap between balance movement and booked amount, against the row before and the row after."""
-    plain, sliced = split_heavy(
-        txn.select(*ACCOUNT, *ACCOUNT_ORDER, "acct_bal", "inflow_amt", "outflow_amt"),
-        heavy_rows, slice_seconds)
-    needed = [*ACCOUNT, "acct_bal", "inflow_amt", "outflow_amt", "_prev", "_next"]
-    rows = _neighbours(plain, ACCOUNT).select(*needed)
-    if sliced is not None:
-        rows = rows.unionByName(_bridged(sliced).select(*needed))
     balance, signed = F.col("acct_bal"), F.col("inflow_amt") - F.col("outflow_amt")
     after = F.abs((balance - F.col("_prev")) - signed)
     return rows.select(
         *ACCOUNT,
-        after.alias("resid_after"),
-        F.abs((F.col("_next") - balance) - signed).alias("resid_before"),
-        safe_div(after, F.abs(signed) + 1).alias("rel_after"),
+        after.alias("after"),
+        F.abs((F.col("_next") - balance) - signed).alias("before"),
+        safe_div(after, F.abs(signed) + 1).alias("rel"),
     )
 
 
-def balance_consistency(
-    txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS, slice_seconds: int = SLICE_SECONDS
-) -> DataFrame:
-    """Card mean of the relative residual, card 90 % residual, and mean over accounts of the smaller
-    90 % residual of both directions. The residuals are read by several rankings, so written once."""
-    residuals = materialize(_residuals(txn, heavy_rows, slice_seconds), "residuals")
-    sides = F.explode(F.array(
-        F.struct(F.lit("after").alias("side"), F.col("resid_after").alias("value")),
-        F.struct(F.lit("before").alias("side"), F.col("resid_before").alias("value"))))
-    long = residuals.select(*ACCOUNT, sides.alias("s")).select(*ACCOUNT, "s.side", "s.value")
-    per_account = nearest_quantile(long, [*ACCOUNT, "side"], "value", 0.9, "p90")
+def _ordinary_consistency(plain: DataFrame) -> DataFrame:
+    """One shuffle on the card serves the neighbours, all three rankings and both aggregations."""
+    rows = _with_residuals(_neighbours(plain.repartition("card_no"), ACCOUNT))
+
+    def at_quantile(value: str, group: list[str]) -> Column:
+        whole = W.partitionBy(*group)
+        rank = F.row_number().over(whole.orderBy(F.col(value).asc_nulls_last()))
+        wanted = F.round((F.count(value).over(whole) - 1) * F.lit(QUANTILE)) + 1
+        return F.when(rank == wanted, F.col(value))
+
+    picked = rows.withColumns({
+        "_after": at_quantile("after", ACCOUNT),
+        "_before": at_quantile("before", ACCOUNT),
+        "_card": at_quantile("after", ["card_no"]),
+    })
+    per_account = picked.groupBy(*ACCOUNT).agg(
+        F.least(F.max("_after"), F.max("_before")).alias("best"),
+        F.max("_card").alias("card_p90"),
+        F.sum("rel").alias("rel"), F.count("rel").alias("rel_n"),
+    )
+    return per_account.groupBy("card_no").agg(
+        safe_div(F.sum("rel"), F.sum("rel_n")).alias("AB_relresid_after_mean"),
+        F.avg("best").alias("AB_acc_resid_best_p90_mean"),
+        F.max("card_p90").alias("AB_resid_after_p90"),
+    )
+
+
+def _heavy_consistency(sliced: DataFrame) -> DataFrame:
+    """The same measures for heavy cards, by order statistics that never gather a card."""
+    rows = materialize(_with_residuals(_bridged(sliced)), "residuals")
+    sides = F.explode(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(side).alias("value")) for side in ("after", "before")
+    ]))
+    long = rows.select(*ACCOUNT, sides.alias("s")).select(*ACCOUNT, "s.side", "s.value")
     best = (
-        per_account.groupBy(*ACCOUNT).agg(F.min("p90").alias("best"))
+        nearest_quantile(long, [*ACCOUNT, "side"], "value", QUANTILE, "p90")
+        .groupBy(*ACCOUNT).agg(F.min("p90").alias("best"))
         .groupBy("card_no").agg(F.avg("best").alias("AB_acc_resid_best_p90_mean"))
     )
-    card_p90 = nearest_quantile(residuals, ["card_no"], "resid_after", 0.9, "AB_resid_after_p90")
-    mean = residuals.groupBy("card_no").agg(F.avg("rel_after").alias("AB_relresid_after_mean"))
+    card_p90 = nearest_quantile(rows, ["card_no"], "after", QUANTILE, "AB_resid_after_p90")
+    mean = rows.groupBy("card_no").agg(F.avg("rel").alias("AB_relresid_after_mean"))
     return mean.join(best, "card_no", "left").join(card_p90, "card_no", "left")
 
 
-def account_features(txn: DataFrame, card: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+def balance_consistency(
+    txn: DataFrame, heavy: DataFrame | None = None, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    """Card mean of the relative residual, card 90 % residual, and mean over accounts of the smaller
+    90 % residual of both directions."""
+    heavy = heavy_cards(txn) if heavy is None else heavy
+    needed = txn.select(*ACCOUNT, *ACCOUNT_ORDER, "acct_bal", "inflow_amt", "outflow_amt")
+    plain, sliced = split_heavy(needed, heavy, slice_seconds)
+    ordinary = _ordinary_consistency(plain)
+    return ordinary if sliced is None else ordinary.unionByName(_heavy_consistency(sliced))
+
+
+def account_features(txn: DataFrame, card: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """The seven account columns in their fixed order."""
     return account_concentration(txn, card).join(
-        balance_consistency(txn, heavy_rows), "card_no", "left").select("card_no", *ACCOUNT_COLUMNS)
+        balance_consistency(txn, heavy), "card_no", "left").select("card_no", *ACCOUNT_COLUMNS)

@@ -37,12 +37,16 @@ def with_directions(txn: DataFrame) -> DataFrame:
     })
 
 
+def heavy_cards(txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+    """Cards with more than `heavy_rows` rows, from a scan of the card column alone."""
+    counts = txn.groupBy("card_no").agg(F.count(F.lit(1)).alias("_rows"))
+    return materialize(skew.heavy_keys(counts, ["card_no"], "_rows", heavy_rows), "heavy-cards")
+
+
 def split_heavy(
-    txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS, slice_seconds: int = SLICE_SECONDS
+    txn: DataFrame, heavy: DataFrame, slice_seconds: int = SLICE_SECONDS
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary cards, and rows of heavy cards with `_slice`; None when no card is heavy."""
-    counts = txn.groupBy("card_no").agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = materialize(skew.heavy_keys(counts, ["card_no"], "_rows", heavy_rows), "heavy-cards")
     if heavy.isEmpty():
         return txn, None
     hot = F.broadcast(heavy)
@@ -137,16 +141,18 @@ def _measured(placed: DataFrame) -> DataFrame:
 
 
 def enrich(
-    txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS, slice_seconds: int = SLICE_SECONDS
+    txn: DataFrame, heavy: DataFrame | None = None, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
     """Transactions with anchors, look-back distances, positions and previous-row measures.
 
     Adds hour, is_in, is_out, anchor_dt, anchor_tms, days_before, sec_before, rn_end (0 = last),
     is_first, gap_sec, out_after_in_sec, io_flip, is_last_in (the card's last inflow) and
-    after_last_in (row follows it).
+    after_last_in (row follows it). `heavy` is a `heavy_cards` result, computed when not given.
     """
-    plain, sliced = split_heavy(with_directions(txn), heavy_rows, slice_seconds)
-    enriched = _measured(_positions(_whole_card(plain), ["card_no"]))
+    heavy = heavy_cards(txn) if heavy is None else heavy
+    plain, sliced = split_heavy(with_directions(txn), heavy, slice_seconds)
+    # Positions first: their sort also serves the card-wide windows.
+    enriched = _measured(_whole_card(_positions(plain, ["card_no"])))
     if sliced is None:
         return enriched
     heavy = _positions(sliced, ["card_no", "_slice"]).join(_carried(sliced), ["card_no", "_slice"])

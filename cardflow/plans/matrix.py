@@ -13,9 +13,9 @@ from cardflow.functions.exprs import finite_or_null, safe_div
 from cardflow.operators import (
     accounts, codes, counterparty, daily, edges, exposure, flow, sequence, silence, skew, static,
 )
-from cardflow.operators.timeline import enrich
+from cardflow.operators.timeline import enrich, heavy_cards
 from cardflow.plans.adapter import CardData
-from cardflow.sources.store import materialize
+from cardflow.sources.store import materialize, materialize_by_key
 
 
 @dataclass(frozen=True)
@@ -248,10 +248,17 @@ def build_matrix(
     """Whole plan from tables to matrix.
 
     Inputs read by many blocks are written to the shared folder once: the enriched rows, the
-    (card, counterparty) and (card, day) summaries, the edges and the finished blocks.
+    (card, counterparty) and (card, day) summaries, the edges and the finished blocks. Unless a card
+    is too heavy for one task, the enriched rows are bucketed by card, and the summaries and blocks
+    built on them shuffle nothing.
     """
     heavy = settings.heavy_rows
-    enriched = materialize(enrich(data.txn, heavy), "enriched")
+    busy = heavy_cards(data.txn, heavy)
+    rows = enrich(data.txn, busy)
+    if busy.isEmpty():
+        enriched = materialize_by_key(rows, "enriched", "card_no")
+    else:
+        enriched = materialize(rows, "enriched")
     pairs = materialize(counterparty.pair_summary(enriched), "pairs")
     days = materialize(daily.daily(enriched), "days")
     quiet_base = materialize(silence.silence_base(enriched), "silence")
@@ -265,7 +272,7 @@ def build_matrix(
         materialize(exposure_features(by_account, by_name, roles, settings), "exposure"),
         materialize(inflow_features(enriched, pairs, heavy), "inflow"),
         materialize(silence_features(quiet_base, heavy), "silence-features"),
-        materialize(accounts.account_features(enriched, data.card, heavy), "account"),
+        materialize(accounts.account_features(enriched, data.card, busy), "account"),
         settings, kind)
 
 

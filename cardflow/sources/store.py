@@ -52,3 +52,16 @@ def materialize(
         path = f"{shared_folder(spark)}/cardflow/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As `materialize`, bucketed by `key`: group-bys and joins on the key, or on the key and more
+    columns, then need no shuffle. Every key must fit one task."""
+    spark = df.sparkSession
+    table = f"cardflow_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.write.bucketBy(buckets, key).format("parquet")
+        .option("path", f"{shared_folder(spark)}/cardflow/{table}").saveAsTable(table)
+    )
+    return spark.table(table)

@@ -59,3 +59,18 @@ def differences(spark_df, con, sql: str, show: int = 3) -> list[str]:
             if len(problems) >= show:
                 break
     return problems
+
+
+def same(left, right) -> bool:
+    """Two Spark frames with equal columns and rows; doubles to 9 digits."""
+    def rows(df):
+        plain = rows_of(df.columns, df.collect())
+        return sorted(
+            (tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in plain),
+            key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))
+
+    assert sorted(left.columns) == sorted(right.columns)
+    a, b = rows(left), rows(right)
+    assert len(a) == len(b)
+    assert a == b
+    return True
