@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from cardflow.sources.store import materialize
 
-# A key is split once it holds more rows than this. About 400 MB of transactions.
+# A key is split once it holds more rows than this: about 400 MB of transactions.
 HEAVY_ROWS = 2_000_000
 # Number of heavy keys that are split. The list is broadcast, so its length is bounded; a key
-# that is not among the heaviest 10,000 holds less than 1/10,000 of the rows and fits a task.
-HEAVY_KEYS = 10_000
-# Pieces per heavy key.
-FAN_OUT = 512
+# that is not among the heaviest 100,000 holds less than 1/100,000 of the rows and fits a task.
+HEAVY_KEYS = 100_000
+# Rows without a key match nothing and are dealt over this many salts.
+KEYLESS_SALTS = 1 << 16
 
 
 def heavy_keys(counts: DataFrame, keys: list[str], weight: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """The heaviest keys: at most HEAVY_KEYS rows, same rows on every evaluation."""
+    """The heaviest keys with their weight: at most HEAVY_KEYS rows, the same on every evaluation."""
     return (
         counts.filter(F.col(weight) > heavy_rows)
         .orderBy(F.desc(weight), *keys)
         .limit(HEAVY_KEYS)
-        .select(*keys)
+        .select(*keys, weight)
     )
 
 
@@ -33,31 +33,34 @@ def spread_join(
     weight: str,
     spread_by: list[str],
     heavy_rows: int = HEAVY_ROWS,
-    fan_out: int = FAN_OUT,
 ) -> DataFrame:
     """Left join of many rows to a one-row-per-key lookup, with heavy keys salted.
 
-    `weight` is the lookup column saying how many rows carry the key. Rows of a heavy key, and
-    rows without a key, are dealt over `fan_out` salts by a hash of `spread_by`; the lookup row
-    of a heavy key is repeated for each salt. All other keys join as usual on salt 0.
+    `weight` is the lookup column saying how many rows carry the key. A heavy key gets one salt per
+    `heavy_rows` rows: its rows are dealt over the salts by a hash of `spread_by`, and its lookup row
+    is repeated once per salt, so all repeats together stay below rows / heavy_rows + HEAVY_KEYS.
+    Rows without a key are dealt over salts of their own; all other keys join on salt 0.
 
     The lookup is read twice, for its heavy keys and for the join, and usually summarises `rows`
     itself, so it is written to the shared folder first.
     """
     lookup = materialize(lookup, "lookup")
-    dealt = F.pmod(F.xxhash64(*spread_by), F.lit(fan_out)).cast("int")
     missing: Column = F.lit(False)
     for key in keys:
         missing = missing | F.col(key).isNull()
+    hashed = F.xxhash64(*spread_by)
+    keyless = F.when(missing, F.pmod(hashed, F.lit(KEYLESS_SALTS)))
     heavy = heavy_keys(lookup, keys, weight, heavy_rows)
     if heavy.isEmpty():
-        salted_rows = rows.withColumn("_salt", F.when(missing, dealt).otherwise(0))
-        salted_lookup = lookup.withColumn("_salt", F.lit(0))
+        salted_rows = rows.withColumn("_salt", F.coalesce(keyless, F.lit(0)).cast("long"))
+        salted_lookup = lookup.withColumn("_salt", F.lit(0).cast("long"))
     else:
-        hot = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
+        salts = F.ceil(F.col(weight) / max(heavy_rows, 1)).cast("long")
+        hot = F.broadcast(heavy.select(*keys, salts.alias("_salts")))
+        dealt = F.pmod(hashed, F.coalesce("_salts", F.lit(1)))
         salted_rows = rows.join(hot, keys, "left").withColumn(
-            "_salt", F.when(F.col("_hot") | missing, dealt).otherwise(0)).drop("_hot")
-        every_salt = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(fan_out - 1)).otherwise(0))
+            "_salt", F.coalesce(keyless, dealt).cast("long")).drop("_salts")
+        every_salt = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)
         salted_lookup = (
-            lookup.join(hot, keys, "left").withColumn("_salt", F.explode(every_salt)).drop("_hot"))
+            lookup.join(hot, keys, "left").withColumn("_salt", F.explode(every_salt)).drop("_salts"))
     return salted_rows.join(salted_lookup, [*keys, "_salt"], "left").drop("_salt")

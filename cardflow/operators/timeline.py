@@ -40,7 +40,8 @@ def with_directions(txn: DataFrame) -> DataFrame:
 def heavy_cards(txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
     """Cards with more than `heavy_rows` rows, from a scan of the card column alone."""
     counts = txn.groupBy("card_no").agg(F.count(F.lit(1)).alias("_rows"))
-    return materialize(skew.heavy_keys(counts, ["card_no"], "_rows", heavy_rows), "heavy-cards")
+    heavy = skew.heavy_keys(counts, ["card_no"], "_rows", heavy_rows)
+    return materialize(heavy.select("card_no"), "heavy-cards")
 
 
 def split_heavy(

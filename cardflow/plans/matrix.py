@@ -254,25 +254,24 @@ def build_matrix(
     """
     heavy = settings.heavy_rows
     busy = heavy_cards(data.txn, heavy)
-    rows = enrich(data.txn, busy)
-    if busy.isEmpty():
-        enriched = materialize_by_key(rows, "enriched", "card_no")
-    else:
-        enriched = materialize(rows, "enriched")
-    pairs = materialize(counterparty.pair_summary(enriched), "pairs")
-    days = materialize(daily.daily(enriched), "days")
-    quiet_base = materialize(silence.silence_base(enriched), "silence")
-    by_account = materialize(edges.edge_table(enriched, "cntrprt_card_no"), "edges-account")
-    by_name = materialize(edges.edge_table(enriched, "cntrprt_name"), "edges-name")
+    by_card = lambda df, name: materialize_by_key(df, name, "card_no")
+    # Rows of a card stay together only where no card is too heavy for one task.
+    together = by_card if busy.isEmpty() else materialize
+    enriched = together(enrich(data.txn, busy), "enriched")
+    pairs = together(counterparty.pair_summary(enriched), "pairs")
+    days = together(daily.daily(enriched), "days")
+    quiet_base = by_card(silence.silence_base(enriched), "silence")
+    by_account = together(edges.edge_table(enriched, "cntrprt_card_no"), "edges_account")
+    by_name = together(edges.edge_table(enriched, "cntrprt_name"), "edges_name")
     folds = materialize(folds, "folds")
     roles = exposure.fold_matched_roles(folds, data.target, settings.n_folds)
     return assemble_matrix(
         folds, data.target,
-        materialize(card_features(data, enriched, pairs, days, settings), "features"),
+        by_card(card_features(data, enriched, pairs, days, settings), "features"),
         materialize(exposure_features(by_account, by_name, roles, settings), "exposure"),
-        materialize(inflow_features(enriched, pairs, heavy), "inflow"),
-        materialize(silence_features(quiet_base, heavy), "silence-features"),
-        materialize(accounts.account_features(enriched, data.card, busy), "account"),
+        by_card(inflow_features(enriched, pairs, heavy), "inflow"),
+        by_card(silence_features(quiet_base, heavy), "silence_features"),
+        by_card(accounts.account_features(enriched, data.card, busy), "account"),
         settings, kind)
 
 

@@ -56,12 +56,18 @@ def materialize(
 
 def materialize_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
     """As `materialize`, bucketed by `key`: group-bys and joins on the key, or on the key and more
-    columns, then need no shuffle. Every key must fit one task."""
+    columns, then need no shuffle.
+
+    `df` should already be partitioned by the key, as after a window or group-by on it; buckets are as
+    many as shuffle partitions, so each task then writes whole buckets. Every key must fit one task.
+    """
     spark = df.sparkSession
     table = f"cardflow_{name}_{uuid.uuid4().hex}".replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = (
+        spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        or spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        df.write.bucketBy(buckets, key).format("parquet")
+        df.write.bucketBy(int(partitions), key).format("parquet")
         .option("path", f"{shared_folder(spark)}/cardflow/{table}").saveAsTable(table)
     )
     return spark.table(table)

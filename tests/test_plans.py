@@ -103,3 +103,25 @@ def test_cross_fitting_scores_every_card(built, data):
     assert train.count() == train.select("card_no").distinct().count() == data.train.count()
     assert scores.filter("side = 'target'").count() == K.N_FOLDS * data.target.count()
     assert scores.filter("score is null or score < 0 or score > 1").count() == 0
+
+
+def test_scores_to_ranked_output(built, data):
+    from cardflow.operators import ranking, silence
+    from cardflow.plans import scoring
+
+    few = ["in_sum", "S_sil_days", "ao_rate_wavg"]
+    recipes = [
+        crossfit.Recipe("boosted", [1], settings={"maxIter": 1, "maxDepth": 2}, columns=few),
+        crossfit.Recipe("forest", [1, 2], crossfit.RandomForestClassifier, {"numTrees": 2}, few),
+    ]
+    wide = scoring.with_columns_of(built, crossfit.DEFAULT_RECIPES)
+    assert {r.family: len(r.columns) for r in wide} == {
+        "boosted": len(built.columns) - 7, "narrow": len(built.columns), "forest": len(built.columns) - 7}
+    scores = scoring.cross_fit(built, recipes)
+    quiet = materialize(silence.silence_base(enrich(data.txn)), "quiet")
+    output = materialize(scoring.predict(scores, quiet, data.target), "output")
+    assert tuple(ranking.check_output(output, data.target).first()) == (0, 0, 0)
+    ruled = output.join(quiet.filter("sil_days >= 32"), "card_no")
+    assert ruled.count() > 0 and ruled.filter("score <> 1.0").count() == 0
+    figures = scoring.offline_figures(scores, data.train, 0.1).first()
+    assert figures.k == int(data.train.count() * 0.1) and 0 <= figures.f1 <= 1

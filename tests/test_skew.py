@@ -16,7 +16,7 @@ def test_spread_join_with_heavy_and_missing_keys(spark):
     lookup = rows.filter("k is not null").groupBy("k").agg(F.count("*").alias("w"))
     plain = rows.join(lookup, "k", "left")
     for heavy_rows in (0, 100, 10**6):
-        assert same(skew.spread_join(rows, lookup, ["k"], "w", ["id"], heavy_rows, 16), plain)
+        assert same(skew.spread_join(rows, lookup, ["k"], "w", ["id"], heavy_rows), plain)
 
 
 def test_hot_counterparty(spark, data):
