@@ -189,7 +189,10 @@ def inflow_detail(pairs: DataFrame, enriched: DataFrame) -> DataFrame:
 
 
 def _graded_pairs(txn: DataFrame, heavy_rows: int) -> DataFrame:
-    """Distinct (card, counterparty) with the counterparty's degree and whether it is a card itself."""
+    """Distinct (card, counterparty) with the counterparty's degree and whether it is a card itself.
+
+    `txn` may be the pair summary: it names the same pairs and cards in fewer rows.
+    """
     pairs = txn.filter(_known()).select("card_no", "cntrprt_card_no").distinct()
     cards = txn.select(F.col("card_no").alias("cntrprt_card_no")).distinct().withColumn(
         "is_sample", F.lit(1))

@@ -93,13 +93,18 @@ def exposure(
     n_folds: int = N_FOLDS,
     limit: int = LOW_DEGREE_LIMIT,
     heavy_rows: int = skew.HEAVY_ROWS,
+    side: str | None = None,
 ) -> DataFrame:
     """(side, card_no, fold) with seven statistics per variant, from edges that carry roles.
 
-    Statistics of a variant the card has no edge in are null.
+    Statistics of a variant the card has no edge in are null. `side` limits the encodings to one
+    side; label counts always come from all edges.
     """
     lookup = key_label_counts(edges, variants, n_folds, limit)
-    wanted = edges.filter(F.size("seats") > 0).drop("label", "fold")
+    wanted = edges.drop("label", "fold")
+    if side is not None:
+        wanted = wanted.withColumn("seats", F.filter("seats", lambda seat: seat["side"] == side))
+    wanted = wanted.filter(F.size("seats") > 0)
     seen = skew.spread_join(wanted, lookup, ["key"], "degree", ["card_no"], heavy_rows)
     seated = seen.withColumn("_seat", F.explode("seats")).withColumns({
         "side": F.col("_seat.side"), "fold": F.col("_seat.fold")})
@@ -142,8 +147,9 @@ def exposure_all(
     account_limit: int = LOW_DEGREE_LIMIT,
     name_limit: int = LOW_DEGREE_LIMIT,
     heavy_rows: int = skew.HEAVY_ROWS,
+    side: str | None = None,
 ) -> DataFrame:
     """All variants side by side."""
-    by_account = exposure(account_edges, account_kinds, n_folds, account_limit, heavy_rows)
-    by_name = exposure(name_edges, name_kinds, n_folds, name_limit, heavy_rows)
+    by_account = exposure(account_edges, account_kinds, n_folds, account_limit, heavy_rows, side)
+    by_name = exposure(name_edges, name_kinds, n_folds, name_limit, heavy_rows, side)
     return by_account.join(by_name, ["side", "card_no", "fold"], "full")

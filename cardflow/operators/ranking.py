@@ -63,9 +63,9 @@ def top_fraction(
     ranks = value_ranks(scored, "score")
     k = F.floor(F.col("n_ranked") * F.lit(fraction))
     above = F.col("n_ranked") - F.col("below") - F.col("ties")
-    cut = ranks.select("score", "ties", k.alias("k"), above.alias("above")).filter(
+    cut = materialize(ranks.select("score", "ties", k.alias("k"), above.alias("above")).filter(
         (F.col("above") < F.col("k")) & (F.col("k") <= F.col("above") + F.col("ties"))
-    ).select(F.col("score").alias("cut_score"), (F.col("k") - F.col("above")).alias("room"))
+    ).select(F.col("score").alias("cut_score"), (F.col("k") - F.col("above")).alias("room")), "cut")
     cut_score, room = cut.select("cut_score").scalar(), cut.select("room").scalar()
     over = scored.filter(F.col("score") > cut_score)
     tied = scored.filter(F.col("score") == cut_score).withColumn(

@@ -22,8 +22,7 @@ def anchor_date(txn: DataFrame) -> DataFrame:
 
 def silence_base(enriched: DataFrame, anchor: datetime.date | None = None) -> DataFrame:
     """Silence measures and their helpers per card. The anchor is read off the data unless given."""
-    place = F.struct("tms", F.coalesce("accno_txn_sn", F.lit(0)), "cst_accno")
-    back = F.col("sec_before")
+    back, at_end = F.col("sec_before"), F.col("rn_end") == 0
     per_card = enriched.groupBy("card_no").agg(
         F.count(F.lit(1)).alias("n_txn"),
         F.max("tms").alias("last_tms"),
@@ -31,8 +30,8 @@ def silence_base(enriched: DataFrame, anchor: datetime.date | None = None) -> Da
         sum0(F.col("inflow_amt")).alias("in_sum"),
         sum0(F.col("outflow_amt")).alias("out_sum"),
         *[F.count_if(back <= days * DAY).alias(f"n_t{days}") for days in (1, 3, 7)],
-        F.max_by("acct_bal", place).alias("bal_last"),
-        F.max_by("inflow_amt", place).alias("end_in"),
+        F.max(F.when(at_end, F.col("acct_bal"))).alias("bal_last"),
+        F.max(F.when(at_end, F.col("inflow_amt"))).alias("end_in"),
     )
     anchor_day = F.lit(anchor) if anchor else anchor_date(enriched).scalar()
     dated = per_card.withColumn("anchor", anchor_day)

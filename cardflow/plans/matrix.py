@@ -152,7 +152,7 @@ def card_features(
         by_card(summary, codes.distinct_measure("n_smy"), *codes.share_measures(summary_names)),
         flow.distinct_per_card(enriched, "cst_accno", "n_accno_used"),
         flow.amount_repetition(enriched),
-        counterparty.counterparty_degree(enriched, heavy),
+        counterparty.counterparty_degree(pairs, heavy),
         static.static_profile(enriched, data.card, data.cst, data.accno, heavy),
         static.frequency_encoding(data.card, data.cst, heavy_rows=heavy),
     ]
@@ -174,7 +174,8 @@ def silence_features(base: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> Data
 
 
 def exposure_features(
-    account_edges: DataFrame, name_edges: DataFrame, roles: DataFrame, settings: Settings
+    account_edges: DataFrame, name_edges: DataFrame, roles: DataFrame, settings: Settings,
+    side: str | None = None,
 ) -> DataFrame:
     """(side, card_no, fold) exposure of train cards (own fold left out) and target cards (per fold)."""
     heavy = settings.heavy_rows
@@ -182,7 +183,7 @@ def exposure_features(
         exposure.edges_with_roles(account_edges, roles, heavy),
         exposure.edges_with_roles(name_edges, roles, heavy),
         edges.account_variants(), edges.name_variants(), settings.n_folds,
-        settings.account_degree_limit, settings.name_degree_limit, heavy)
+        settings.account_degree_limit, settings.name_degree_limit, heavy, side)
 
 
 def exposure_columns() -> list[str]:

@@ -86,11 +86,12 @@ class Inputs:
 
     @cached_property
     def account_edges(self) -> DataFrame:
-        return edges.edge_table(self.txn, "cntrprt_card_no")
+        """Edges, written once: degrees, label counts and encodings all start from them."""
+        return materialize(edges.edge_table(self.txn, "cntrprt_card_no"), "edges-account")
 
     @cached_property
     def name_edges(self) -> DataFrame:
-        return edges.edge_table(self.txn, "cntrprt_name")
+        return materialize(edges.edge_table(self.txn, "cntrprt_name"), "edges-name")
 
     @cached_property
     def folds(self) -> DataFrame:
@@ -101,10 +102,9 @@ class Inputs:
         """Silence base, written once: rankings read it several times."""
         return materialize(silence.silence_base(self.enriched), "silence")
 
-    @cached_property
-    def matched(self) -> DataFrame:
+    def matched(self, side: str | None = None) -> DataFrame:
         roles = exposure.fold_matched_roles(self.folds, self.data.target)
-        return matrix.exposure_features(self.account_edges, self.name_edges, roles, SETTINGS)
+        return matrix.exposure_features(self.account_edges, self.name_edges, roles, SETTINGS, side)
 
     @cached_property
     def matrix(self) -> matrix.Matrix:
@@ -140,7 +140,7 @@ class Inputs:
 
     @property
     def labelled(self) -> DataFrame:
-        return self.one_family.join(self.data.train, "card_no")
+        return materialize(self.one_family.join(self.data.train, "card_no"), "labelled")
 
     @cached_property
     def families(self) -> DataFrame:
@@ -250,7 +250,7 @@ _QUICK = [
 
 def _crossfit(i: Inputs) -> DataFrame:
     plain = ["n_txn", "in_sum", "out_sum", "bal_last", "sil_days", "sil_hours", "n_t1", "n_t7"]
-    encoded = i.matched.select("side", "card_no", "fold", "ao_nf_max", "ao_rate_wavg", "no_rate_max")
+    encoded = i.matched().select("side", "card_no", "fold", "ao_nf_max", "ao_rate_wavg", "no_rate_max")
     encoded = materialize(encoded, "exposure-narrow")
     target_keys = i.data.target.select(
         "card_no", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
@@ -313,15 +313,15 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "second_lookbacks": lambda i: counterparty.second_lookbacks(i.pairs),
     "inflow_concentration": lambda i: counterparty.inflow_concentration(i.pairs),
     "calendar": lambda i: flow.calendar(i.txn),
-    "edge_account": lambda i: i.account_edges,
-    "edge_name": lambda i: i.name_edges,
+    "edge_account": lambda i: edges.edge_table(i.txn, "cntrprt_card_no"),
+    "edge_name": lambda i: edges.edge_table(i.txn, "cntrprt_name"),
     "edge_variants": _edge_variants,
     "semi_low_degree": lambda i: edges.low_degree_edges(i.account_edges, SETTINGS.account_degree_limit),
     "stratified_folds": lambda i: i.folds,
     "exposure_ref": lambda i: _whole_reference(i, "one"),
     "exposure_all": lambda i: _whole_reference(i, "all"),
-    "exposure_oof": lambda i: i.matched.filter("side = 'train'").drop("side"),
-    "exposure_target_foldmatched": lambda i: i.matched.filter("side = 'target'").drop("side"),
+    "exposure_oof": lambda i: i.matched(exposure.TRAIN).drop("side"),
+    "exposure_target_foldmatched": lambda i: i.matched(exposure.TARGET).drop("side"),
     "sender_degree": lambda i: counterparty.sender_degree(i.txn),
     "inflow_detail": lambda i: counterparty.inflow_detail(i.pairs, i.enriched),
     "silence_anchor": lambda i: silence.anchor_date(i.txn),
