@@ -15,7 +15,7 @@ from cardflow.operators import (
 )
 from cardflow.operators.timeline import enrich, heavy_cards
 from cardflow.plans.adapter import CardData
-from cardflow.sources.store import materialize, materialize_by_key
+from cardflow.sources.store import bucket_count, materialize, materialize_by_key
 
 
 @dataclass(frozen=True)
@@ -255,7 +255,8 @@ def build_matrix(
     """
     heavy = settings.heavy_rows
     busy = heavy_cards(data.txn, heavy)
-    by_card = lambda df, name: materialize_by_key(df, name, "card_no")
+    buckets = bucket_count(data.txn.sparkSession, data.txn.count())
+    by_card = lambda df, name: materialize_by_key(df, name, "card_no", buckets)
     # Rows of a card stay together only where no card is too heavy for one task.
     together = by_card if busy.isEmpty() else materialize
     enriched = together(enrich(data.txn, busy), "enriched")

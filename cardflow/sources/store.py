@@ -54,20 +54,37 @@ def materialize(
     return spark.read.parquet(path)
 
 
-def materialize_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
+ROWS_PER_BUCKET = 1_000_000
+
+
+def bucket_count(spark: SparkSession, rows: int) -> int:
+    """Buckets for tables derived from `rows` rows: the number of shuffle partitions, halved while
+    the buckets stay whole, smaller than needed and enough for every core.
+
+    The result divides the number of shuffle partitions, so a shuffle partition falls into one bucket
+    and a task writes few files.
+    """
+    partitions = int(
+        spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        or spark.conf.get("spark.sql.shuffle.partitions"))
+    needed = max(rows // ROWS_PER_BUCKET, spark.sparkContext.defaultParallelism)
+    buckets = partitions
+    while buckets % 2 == 0 and buckets // 2 >= needed:
+        buckets //= 2
+    return buckets
+
+
+def materialize_by_key(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """As `materialize`, bucketed by `key`: group-bys and joins on the key, or on the key and more
     columns, then need no shuffle.
 
-    `df` should already be partitioned by the key, as after a window or group-by on it; buckets are as
-    many as shuffle partitions, so each task then writes whole buckets. Every key must fit one task.
+    `df` should already be partitioned by the key, as after a window or group-by on it. Every key must
+    fit one task.
     """
     spark = df.sparkSession
     table = f"cardflow_{name}_{uuid.uuid4().hex}".replace("-", "_")
-    partitions = (
-        spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-        or spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        df.write.bucketBy(int(partitions), key).format("parquet")
+        df.write.bucketBy(buckets, key).format("parquet")
         .option("path", f"{shared_folder(spark)}/cardflow/{table}").saveAsTable(table)
     )
     return spark.table(table)

@@ -8,7 +8,7 @@ from cardflow.operators import codes, counterparty, crossfit, daily, flow, folds
 from cardflow.operators.timeline import enrich
 from cardflow.plans import matrix, oracles
 from cardflow.plans.registry import SETTINGS
-from cardflow.sources.store import materialize, materialize_by_key
+from cardflow.sources.store import bucket_count, materialize, materialize_by_key
 
 
 def plan_of(df) -> str:
@@ -17,7 +17,7 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def enriched(data):
-    return materialize_by_key(enrich(data.txn), "enriched", "card_no")
+    return materialize_by_key(enrich(data.txn), "enriched", "card_no", 8)
 
 
 def test_enrichment_shuffles_rows_once(spark, data):
@@ -42,6 +42,17 @@ def test_blocks_on_bucketed_rows_shuffle_nothing(enriched):
         assert "Exchange" not in plan_of(block)
 
 
+def test_bucket_count_divides_the_shuffle_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4000")
+    try:
+        assert bucket_count(spark, 10) == 125
+        assert bucket_count(spark, 600_000_000) == 1000
+        assert bucket_count(spark, 10**12) == 4000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_pair_summary_hash_aggregates(enriched):
     plan = plan_of(counterparty.pair_summary(enriched))
     assert "SortAggregate" not in plan and "HashAggregate" in plan
