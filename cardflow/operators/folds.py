@@ -25,8 +25,9 @@ def stratified_folds(
     train: DataFrame, n_folds: int = N_FOLDS, hashed: Column | None = None
 ) -> DataFrame:
     """(card_no, label, fold): labels are dealt over the folds in hash order, so every fold gets an
-    even part of each. One label holds nearly all cards, hence the bucketed position."""
-    spread = train.select(
+    even part of each. One label holds nearly all cards, hence the bucketed position. Cards whose
+    label could not be read are no training cards."""
+    spread = train.filter(F.col("label").isNotNull()).select(
         "card_no", "label", (card_hash() if hashed is None else hashed).alias("_h"))
     placed = uniform_position(spread, ["label"], "_h", HASH_SPAN, ["card_no"], "_position")
     return placed.select(
