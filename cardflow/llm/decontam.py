@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardflow.llm.common import extend, mix, utf8
+from cardflow.llm.common import extend, fresh, mix, utf8
 from cardflow.sources.store import materialize
 
 WINDOW = 10
@@ -274,25 +274,35 @@ def merged(runs: Column) -> Column:
     return F.coalesce(F.aggregate(F.array_sort(pairs), start, step).getField("n"), F.lit(0).cast("long"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of `docs`."""
-    source = docs.select("doc_id", "text")
-    names = [f.name for f in FOUND]
+def search_all(docs: DataFrame, benchmark: DataFrame, names: list[str], hits: str, block_bytes: int) -> DataFrame:
+    """All columns of `docs` with number of words, runs (empty over several blocks), items and number of hit words."""
     made = (block_of(ids, pa.array(texts, pa.string())) for ids, texts in blocks(benchmark, block_bytes))
     first, second = next(made, None) or block_of([], pa.array([], pa.string())), next(made, None)
     if second is None:
-        found = search_block(source, first, names).withColumn("n_hit", hit_words(F.col("runs")))
-    else:
-        # One block is held at a time; rows keep their place, and the small findings meet by it.
-        numbered = materialize(source.withColumn("place", F.monotonically_increasing_id()), "leak-rows")
-        every = None
-        for block in chain([first, second], made):
-            scan = materialize(search_block(numbered, block, names).drop("text"), "leak-findings")
-            every = scan if every is None else every.unionAll(scan)
-        found = every.groupBy("place").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-            merged(F.flatten(F.collect_list("runs"))).alias("n_hit"),
-            F.flatten(F.collect_list("items")).alias("items"))
+        return search_block(docs, first, names).withColumn(hits, hit_words(F.col(names[1])))
+    # One block is held at a time; rows keep their place, and the small findings meet by it.
+    place = fresh(docs, "place")
+    numbered = materialize(docs.withColumn(place, F.monotonically_increasing_id()), "leak-rows")
+    every = None
+    for block in chain([first, second], made):
+        scan = materialize(search_block(numbered.select(place, "text"), block, names).drop("text"), "leak-findings")
+        every = scan if every is None else every.unionAll(scan)
+    found = every.groupBy(place).agg(
+        F.first(names[0]).alias(names[0]), F.lit(None).cast("array<bigint>").alias(names[1]),
+        F.flatten(F.collect_list(names[2])).alias(names[2]), merged(F.flatten(F.collect_list(names[1]))).alias(hits))
+    return numbered.join(found, place).drop(place)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of `docs`."""
+    found = search_all(docs.select("doc_id", "text"), benchmark, [f.name for f in FOUND], "n_hit", block_bytes)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size(F.array_distinct("items")).cast("long").alias("n_items"),
         digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` without any hit word."""
+    names = [fresh(docs, f.name) for f in FOUND]
+    hits = fresh(docs, "n_hit")
+    return search_all(docs, benchmark, names, hits, block_bytes).filter(F.col(hits) == 0).select(*docs.columns)

@@ -99,10 +99,11 @@ def learn(docs: DataFrame, may_learn: Column, fit_rows: int = FIT_ROWS, kept: in
     masks = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), np.uint64)
     place = {lang: i for i, lang in enumerate(languages)}
     fill = np.zeros(len(languages))
-    frame = top.select("lang", "gram").toPandas()
-    for lang, own in frame.groupby("lang"):
+    kept_grams = top.select("lang", "gram").toArrow()
+    lang_of, packed = np.array(kept_grams.column("lang").to_pylist(), object), kept_grams.column("gram").to_numpy()
+    for lang in languages:
         word, bit = divmod(place[lang], 64)
-        used = np.unique(np.concatenate(slots(own["gram"].to_numpy().astype(np.uint64))))
+        used = np.unique(np.concatenate(slots(packed[lang_of == lang].astype(np.uint64))))
         masks[word, used] |= np.uint64(1 << bit)
         fill[place[lang]] = len(used) / SLOTS
     return LanguageFilter(languages, masks, fill**HASHES)

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardflow.llm import decontam, langid, media, pii, simhash
+from cardflow.llm import bpe, brown, decontam, langid, line_dedup, media, pii, secret_scan, sharding, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return media.read_media(media.store_as_media(rows).drop("text")).select(
@@ -21,14 +27,34 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "width", "height", "thumbnail_hash")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_corpus(documents(spark, sf_dir))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_evenly(documents(spark, sf_dir))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_corpus(documents(spark, sf_dir), vocabulary_path())
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_corpus(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(documents(spark, sf_dir))
 
@@ -38,10 +64,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_media_columns": op1_media_columns,
-    "op3_simhash": op3_simhash,
-    "op7_decontamination": op7_decontamination,
-    "op9_language_id": op9_language_id,
-    "op10_personal_data": op10_personal_data,
+    query.__name__: query
+    for query in (
+        op1_media_columns, op2_secret_scan, op3_simhash, op4_line_dedup, op5_sharding, op6_bpe, op7_decontamination,
+        op8_class_model, op9_language_id, op10_personal_data)
 }
 ORACLES: dict[str, str] = {}

@@ -1,12 +1,17 @@
-"""From raw documents to encoded, clean ones: five stages, each written as Parquet and read by the next."""
+"""From raw documents to encoded, clean ones: five stages, each written as Parquet and read by the next.
+
+`run` takes whole texts through language ID, line dedup, SimHash near-dedup, benchmark decontamination and BPE. Null and
+empty texts leave at the first stage. Further columns pass through; `n_chars` follows the text where it is there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardflow.llm import decontam, langid, simhash
+from cardflow.llm import bpe, decontam, langid, line_dedup, simhash
 from cardflow.llm.common import fresh
+from cardflow.llm.queries import vocabulary_path
 from cardflow.sources.store import materialize
 
 
@@ -18,12 +23,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.drop(name, score)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier document holds."""
+    index = line_dedup.create(docs)
+    lines, dropped = fresh(docs, "n_lines"), fresh(docs, "n_dropped")
+    kept = line_dedup.dedup(docs, index, lines, dropped)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by near-equal fingerprints."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with the benchmark."""
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, decoded and the digests of both: what a trainer reads and what checks it."""
+    return bpe.encode_corpus(docs, vocabulary_path())
+
+
+STAGES = [
+    ("language", language), ("lines", lines), ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination), ("encoding", encoding),
+]
+# SQL cannot learn languages, hash shingles or encode pairs; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
