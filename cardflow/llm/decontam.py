@@ -275,7 +275,7 @@ def merged(runs: Column) -> Column:
 
 
 def search_all(docs: DataFrame, benchmark: DataFrame, names: list[str], hits: str, block_bytes: int) -> DataFrame:
-    """All columns of `docs` with number of words, runs (empty over several blocks), items and number of hit words."""
+    """All columns of `docs` with number of words, runs of hit words (several blocks: those of each), items and number of hit words."""
     made = (block_of(ids, pa.array(texts, pa.string())) for ids, texts in blocks(benchmark, block_bytes))
     first, second = next(made, None) or block_of([], pa.array([], pa.string())), next(made, None)
     if second is None:
@@ -287,9 +287,11 @@ def search_all(docs: DataFrame, benchmark: DataFrame, names: list[str], hits: st
     for block in chain([first, second], made):
         scan = materialize(search_block(numbered.select(place, "text"), block, names).drop("text"), "leak-findings")
         every = scan if every is None else every.unionAll(scan)
-    found = every.groupBy(place).agg(
-        F.first(names[0]).alias(names[0]), F.lit(None).cast("array<bigint>").alias(names[1]),
-        F.flatten(F.collect_list(names[2])).alias(names[2]), merged(F.flatten(F.collect_list(names[1]))).alias(hits))
+    # At most a run and an item list per block and row.
+    gathered = every.groupBy(place).agg(
+        F.first(names[0]).alias(names[0]), F.flatten(F.collect_list(names[1])).alias(names[1]),
+        F.flatten(F.collect_list(names[2])).alias(names[2]))
+    found = gathered.withColumn(hits, merged(F.col(names[1])))
     return numbered.join(found, place).drop(place)
 
 

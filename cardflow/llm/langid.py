@@ -44,12 +44,13 @@ class LanguageFilter(NamedTuple):
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of all texts as integers, and where each text's begin; every text is set between spaces."""
+    """Grams of all texts as integers, and where each text's begin; every text stands between GRAM - 1 spaces and one, so that
+    a gram over two texts is blank."""
     raw, bounds = utf8(texts)
     rows, pad = len(texts), GRAM
     folded = np.full(len(raw) + pad * rows + pad, 32, np.uint8)
     shift = np.repeat(np.arange(rows), np.diff(bounds)) * pad
-    folded[np.arange(len(raw)) + shift + 1] = FOLD[raw]
+    folded[np.arange(len(raw)) + shift + GRAM - 1] = FOLD[raw]
     count = len(raw) + pad * rows
     packed = np.zeros(count, np.uint64)
     for i in range(GRAM):

@@ -1,4 +1,4 @@
-"""One query per operator over its whole table, with SQL where SQL can say it."""
+"""One query per operator over its whole table. `ORACLES` has SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardflow.llm import bpe, brown, decontam, langid, line_dedup, media, pii, secret_scan, sharding, simhash
+from cardflow.llm.oracles import ORACLES as ORACLES
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_media_columns, op2_secret_scan, op3_simhash, op4_line_dedup, op5_sharding, op6_bpe, op7_decontamination,
         op8_class_model, op9_language_id, op10_personal_data)
 }
-ORACLES: dict[str, str] = {}

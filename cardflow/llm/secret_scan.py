@@ -29,7 +29,7 @@ CLASSES = (("^[0-9a-fA-F]+$", 2.9), ("^[A-Za-z0-9+/_=-]+$", 3.85))
 # Candidates that are never reported by entropy: words, numbers, placeholders, runs of the alphabet.
 ALLOWED = (
     r"^[A-Za-z/_-]+$", r"^[0-9/_-]+$", r"(?i)example|sample|placeholder|changeme|your[_-]|test[_-]",
-    r"(?i)abcdefgh|01234567|12345678|(.)\1{5,}",
+    r"(?i)abcdefgh|01234567|12345678",
 )
 # Entropy in integers, so that sums are exact.
 UNIT = 1_000_000
