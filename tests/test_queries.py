@@ -5,8 +5,10 @@ from comparing import differences, duck
 from conftest import SMALL
 
 import __spark_entry__ as driver
+from cardflow.plans.oracles import all_oracles
+from cardflow.plans.registry import all_queries
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -28,5 +30,9 @@ def test_query_equals_sql(spark, con, name):
     assert differences(result, con, ORACLES[name]) == []
 
 
+def test_driver_has_them_all():
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
