@@ -29,11 +29,6 @@ def sum_where(pred: Column, value: Column) -> Column:
     return sum0(F.when(pred, value))
 
 
-def code_share(code: Column, wanted: str) -> Column:
-    """Rows carrying the code over rows carrying any code."""
-    return safe_div(F.count_if(code == wanted), F.count(code))
-
-
 def seconds_between(start: Column, end: Column) -> Column:
     """Whole seconds, truncated."""
     return F.timestamp_diff("SECOND", start, end)

@@ -76,10 +76,6 @@ def key_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def low_degree_keys(edges: DataFrame, limit: int = LOW_DEGREE_LIMIT) -> DataFrame:
-    return key_degrees(edges).filter(F.col("degree") <= limit).select("key")
-
-
 def graded_edges(edges: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
     """Edges with the degree of their key; hub keys are salted."""
     return skew.spread_join(edges, key_degrees(edges), ["key"], "degree", ["card_no"], heavy_rows)

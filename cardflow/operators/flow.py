@@ -33,14 +33,14 @@ def _with_distinct(block: DataFrame, txn: DataFrame, columns: dict[str, str]) ->
 
 
 def card_anchor(txn: DataFrame, train: DataFrame, target: DataFrame) -> DataFrame:
-    """First and last date, row count, span and group (label text, or `testa` for targets)."""
+    """First and last date, row count, span and group (label text, or `target` for targets)."""
     per_card = txn.groupBy("card_no").agg(
         F.max("stm_dt").alias("last_dt"),
         F.min("stm_dt").alias("first_dt"),
         F.count(F.lit(1)).alias("n_txn"),
     ).withColumn("span_days", F.date_diff("last_dt", "first_dt"))
     members = train.select("card_no", F.col("label").cast("string").alias("grp")).unionByName(
-        target.select("card_no", F.lit("testa").alias("grp")))
+        target.select("card_no", F.lit("target").alias("grp")))
     return per_card.join(members, "card_no", "left")
 
 

@@ -17,8 +17,9 @@ def card_hash(seed: int = FOLD_SEED) -> Column:
 
 def numeric_card_hash(seed: int = FOLD_SEED) -> Column:
     """Multiplicative hash for numeric card ids; any SQL engine computes the same."""
-    spread = F.col("card_no").cast("long") * 2654435761 + seed * 40503
-    return F.pmod(spread, F.lit(HASH_SPAN))
+    # Decimals, so that ids of any length fit.
+    spread = F.col("card_no").cast("decimal(24,0)") * F.lit(2654435761).cast("decimal(10,0)") + seed * 40503
+    return F.pmod(spread, F.lit(HASH_SPAN).cast("decimal(10,0)")).cast("long")
 
 
 def stratified_folds(

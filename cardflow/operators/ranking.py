@@ -78,7 +78,8 @@ def top_fraction(
 def top_fraction_f1(
     scored: DataFrame, fraction: float = TOP_FRACTION, tie: Column | None = None
 ) -> DataFrame:
-    """One row: decided cards, hits, precision, recall and F1 of the top fraction."""
+    """One row: decided cards, hits, precision, recall and F1 of the top fraction of the labelled rows."""
+    scored = scored.filter(F.col("label").isNotNull())
     chosen = top_fraction(scored, fraction, tie).agg(
         F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("label"), F.lit(0)).alias("tp"))
     positives = scored.agg(F.sum("label")).scalar()
@@ -91,8 +92,8 @@ def top_fraction_f1(
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve from the rank sum of the positives, ties counted half."""
-    ranks = value_ranks(scored, "score", positives=F.col("label") == 1)
+    """Area under the ROC curve of the labelled rows from the rank sum of the positives, ties counted half."""
+    ranks = value_ranks(scored.filter(F.col("label").isNotNull()), "score", positives=F.col("label") == 1)
     totals = ranks.agg(
         F.sum("positives").cast("double").alias("pos"),
         F.sum("ties").cast("double").alias("n"),

@@ -46,6 +46,19 @@ floor(c_acctbal) * 1e0 as aum_val
 floor(c_acctbal / 2) * 1e0 as mo_da_aum_val
 """.strip().splitlines()
 
+# Cards that never transact: one per supplier.
+_QUIET_KEY = "1000000000 + s_suppkey"
+_QUIET_CARD = f"""
+cast({_QUIET_KEY} as string) as card_no
+concat(cast({_QUIET_KEY} as string), '-1') as prim_cst_accno
+concat('U', cast(s_suppkey as string)) as cst_id
+cast(s_nationkey % 5 as string) as crdisu_lvl1_insid
+cast(s_nationkey as string) as crdisu_lvl2_insid
+date_add(date'2020-01-01', cast(s_suppkey % 1500 as int)) as card_create_dt
+floor(s_acctbal) * 1e0 as aum_val
+floor(s_acctbal / 2) * 1e0 as mo_da_aum_val
+""".strip().splitlines()
+
 _CST = """
 concat('U', cast(c_custkey as string)) as cst_id
 case when c_custkey % 7 = 0 then null else cast(c_custkey % 3 as string) end as gender
@@ -75,18 +88,19 @@ class CardData:
 
 def card_data(spark: SparkSession, sf_dir: str) -> CardData:
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    lineitem, orders, customer = table("lineitem"), table("orders"), table("customer")
-    sold = lineitem.join(
-        orders.filter("o_custkey % 97 <> 0"), F.col("l_orderkey") == F.col("o_orderkey"))
-    train = customer.filter("c_custkey % 5 <> 0").selectExpr(
-        "cast(c_custkey as string) as card_no",
-        "cast(case when c_acctbal < 0 then 1 else 0 end as byte) as label")
-    target = customer.filter("c_custkey % 5 = 0").selectExpr(
-        "cast(c_custkey as string) as card_no", "c_custkey as row_order")
+    lineitem, orders, customer, supplier = (
+        table("lineitem"), table("orders"), table("customer"), table("supplier"))
+    sold = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # One card in five is to be predicted, the others are labelled.
+    listed = customer.selectExpr("c_custkey as id", "c_acctbal as held").unionByName(
+        supplier.selectExpr(f"{_QUIET_KEY} as id", "s_acctbal as held"))
+    train = listed.filter("id % 5 <> 0").selectExpr(
+        "cast(id as string) as card_no", "cast(case when held < 0 then 1 else 0 end as byte) as label")
+    target = listed.filter("id % 5 = 0").selectExpr("cast(id as string) as card_no", "id as row_order")
     return CardData(
         txn=sold.withColumn("tms", F.expr(_TMS)).selectExpr(*_TXN),
-        card=customer.selectExpr(*_CARD),
-        cst=customer.filter("c_custkey % 2 = 0").selectExpr(*_CST),
+        card=customer.selectExpr(*_CARD).unionByName(supplier.selectExpr(*_QUIET_CARD)),
+        cst=customer.selectExpr(*_CST),
         accno=orders.selectExpr(*_ACCNO).distinct(),
         train=train,
         target=target,

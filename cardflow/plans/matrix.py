@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflow import constants as K
@@ -90,12 +90,16 @@ RATIOS = [
 ]
 
 
+def inflow_over_held() -> Column:
+    return safe_div(F.col("in_sum"), F.abs("mo_da_aum_val") + 100)
+
+
 def wealth_ratios(df: DataFrame) -> DataFrame:
     """Flows and balances against the assets the customer holds."""
     c = F.col
     held, held_now = F.abs(c("mo_da_aum_val")) + 100, F.abs(c("aum_val")) + 100
     return df.withColumns({
-        "in_vs_aum": safe_div(c("in_sum"), held),
+        "in_vs_aum": inflow_over_held(),
         "bal_vs_aum": safe_div(c("bal_last"), held),
         "inmax_vs_aum": safe_div(c("in_max2"), held_now),
         "in_retention": safe_div(c("bal_last"), c("in_sum") + 1),
@@ -302,10 +306,9 @@ def uncovered_cards(data: CardData) -> DataFrame:
     return listed.join(seen, "card_no", "left_anti").select("side", "card_no")
 
 
-def class_means(matrix: Matrix, column: str = "in_vs_aum") -> DataFrame:
+def class_means(rows: DataFrame, column: str = "in_vs_aum") -> DataFrame:
     """Mean of one feature per label, a check that the ratio uses the right denominator."""
-    return matrix.train().groupBy("label").agg(
-        F.avg(F.col(column).cast("double")).alias(f"mean_{column}"))
+    return rows.groupBy("label").agg(F.avg(F.col(column).cast("double")).alias(f"mean_{column}"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from cardflow.constants import (
 ACCOUNT_LIMIT = 30
 NAME_LIMIT = 500
 COVERAGE_FLOOR = 50
+# Label texts of every 17th customer and its followers.
+ODD_LABELS = ["n/a", "300", "NaN", "0.7", "1e0"]
 MATRIX_TOP_SUMMARY = [f"{i:04d}" for i in range(15)]
 MATRIX_MORE_SUMMARY = [f"{i:04d}" for i in range(15, 40)]
 MATRIX_MORE_CHANNELS = ["0002", "0004", "0005", "0007"]
@@ -21,8 +23,7 @@ s as (
       date_diff('day', date '1995-01-01', cast(l_shipdate as date)) * 1080
       + (l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 613) % 1080
       - 86400 * (case when o_custkey % 50 = 0 then 35 else o_custkey % 12 end)) as tms
-  from lineitem join orders on l_orderkey = o_orderkey
-  where o_custkey % 97 <> 0),
+  from lineitem join orders on l_orderkey = o_orderkey),
 txn as (
   select cast(o_custkey as varchar) as card_no,
     concat(cast(o_custkey as varchar), '-', substr(o_orderpriority, 1, 1)) as cst_accno,
@@ -49,24 +50,32 @@ card as (
     cast(c_nationkey % 5 as varchar) as crdisu_lvl1_insid, cast(c_nationkey as varchar) as crdisu_lvl2_insid,
     cast(date '2020-01-01' + to_days(cast(c_custkey % 1500 as int)) as date) as card_create_dt,
     floor(c_acctbal) * 1e0 as aum_val, floor(c_acctbal / 2) * 1e0 as mo_da_aum_val
-  from customer),
+  from customer
+  union all select cast(1000000000 + s_suppkey as varchar), concat(cast(1000000000 + s_suppkey as varchar), '-1'),
+    concat('U', cast(s_suppkey as varchar)), cast(s_nationkey % 5 as varchar), cast(s_nationkey as varchar),
+    cast(date '2020-01-01' + to_days(cast(s_suppkey % 1500 as int)) as date),
+    floor(s_acctbal) * 1e0, floor(s_acctbal / 2) * 1e0
+  from supplier),
 cst as (
   select concat('U', cast(c_custkey as varchar)) as cst_id,
     case when c_custkey % 7 = 0 then null else cast(c_custkey % 3 as varchar) end as gender,
     cast(c_custkey % 4 as varchar) as marital_status, c_mktsegment as occupation,
     cast(c_nationkey % 6 as varchar) as industry
-  from customer where c_custkey % 2 = 0),
+  from customer),
 accno as (
   select distinct cast(o_custkey as varchar) as card_no,
     concat(cast(o_custkey as varchar), '-', substr(o_orderpriority, 1, 1)) as cst_accno,
     cast(date '2021-01-01' + to_days(cast(o_custkey % 700
       + cast(substr(o_orderpriority, 1, 1) as int) * 30 as int)) as date) as open_accno_dt
   from orders),
+listed as (
+  select c_custkey as id, c_acctbal as held from customer
+  union all select 1000000000 + s_suppkey, s_acctbal from supplier),
 train as (
-  select cast(c_custkey as varchar) as card_no, cast(case when c_acctbal < 0 then 1 else 0 end as bigint) as label
-  from customer where c_custkey % 5 <> 0),
-testa as (
-  select cast(c_custkey as varchar) as card_no, c_custkey as row_order from customer where c_custkey % 5 = 0),
+  select cast(id as varchar) as card_no, cast(case when held < 0 then 1 else 0 end as bigint) as label
+  from listed where id % 5 <> 0),
+target as (
+  select cast(id as varchar) as card_no, id as row_order from listed where id % 5 = 0),
 e0 as (
   select *, hour(tms) as hour, inflow_amt > 0 as is_in, outflow_amt > 0 as is_out,
     max(stm_dt) over (partition by card_no) as anchor_dt,
@@ -227,7 +236,7 @@ select variant, side, card_no, fold, {_STATS} from (
     coalesce(cp.nf, 0) as nf, coalesce(cp.nc, 0) as nc
   from edge_variants v
   join (select 'train' as side, card_no, fold from stratified_folds
-        union all select 'target', card_no, k from testa, range(5) r(k)) seat on v.card_no = seat.card_no
+        union all select 'target', card_no, k from target, range(5) r(k)) seat on v.card_no = seat.card_no
   left join (
     select v.variant, v.key, k, count(distinct v.card_no) filter (where f.label = 1) as nf,
       count(distinct v.card_no) as nc
@@ -239,7 +248,7 @@ group by 1, 2, 3, 4"""
 _EXPOSURE_WHOLE = f"""
 select variant, card_no, {_STATS} from (
   select v.variant, v.card_no, v.n, v.amt, coalesce(cp.nf, 0) as nf, coalesce(cp.nc, 0) as nc
-  from edge_variants v join testa using (card_no)
+  from edge_variants v join target using (card_no)
   left join (
     select v.variant, v.key, count(distinct v.card_no) filter (where t.label = 1) as nf,
       count(distinct v.card_no) as nc
@@ -275,10 +284,10 @@ _INTERACTIONS = _lines([
 # Whole-number scores that need no model: three families, one of them with two seeds.
 _SCORES = """
 select card_no, family, seed, fold, cast(score + fold * (cast(card_no as bigint) % 3) as double) as score from (
-  select card_no, 'dart' as family, 42 as seed, n_txn * 3 + sil_days as score from silence_base
+  select card_no, 'boosted' as family, 42 as seed, n_txn * 3 + sil_days as score from silence_base
   union all select card_no, 'narrow', 42, (n_txn * 7 + sil_days * 5) % 101 from silence_base
   union all select card_no, 'narrow', 2026, n_t7 * 2 + last_hour from silence_base
-  union all select card_no, 'cat', 42, cast(bal_last as bigint) % 5000 from silence_base
+  union all select card_no, 'forest', 42, cast(bal_last as bigint) % 5000 from silence_base
 ), range(5) r(fold)"""
 
 _RANK = "(rank() over (partition by {by} order by {x}) + (count(*) over (partition by {by}, {x}) - 1) / 2.0) / count(*) over (partition by {by})"
@@ -289,7 +298,7 @@ select t.*, m.grp from (
   select card_no, max(stm_dt) as last_dt, min(stm_dt) as first_dt, count(*) as n_txn,
     date_diff('day', min(stm_dt), max(stm_dt)) as span_days from txn group by 1) t
 left join (select card_no, cast(label as varchar) as grp from train
-           union all select card_no, 'testa' from testa) m using (card_no)"""),
+           union all select card_no, 'target' from target) m using (card_no)"""),
     "enriched_txn": ([], """
 select card_no, cst_accno, accno_txn_sn, tms, stm_dt, hour, is_in, is_out, anchor_dt, anchor_tms, days_before,
   sec_before, rn_end, gap_sec, out_after_in_sec, io_flip, coalesce(rn_end < last_in_rn, false) as after_last_in
@@ -584,7 +593,7 @@ select k.side, k.card_no, k.fold, k.label, f.* exclude (card_no),
   q.* exclude (card_no),
   ac.* exclude (card_no), bc.* exclude (card_no)
 from (select 'train' as side, card_no, fold, label from stratified_folds
-      union all select 'target', card_no, k, null from testa, range(5) r(k)) k
+      union all select 'target', card_no, k, null from target, range(5) r(k)) k
 left join features f on f.card_no = k.card_no
 left join (select 'train' as side, * from exposure_oof
            union all by name select 'target' as side, * from exposure_target_foldmatched) x
@@ -599,7 +608,7 @@ left join balance_consistency bc on bc.card_no = k.card_no"""),
     "coverage_report": ([], f"""
 select count(*) as n_cards, min(last_dt) as first_last_dt, max(last_dt) as last_last_dt,
   (select count(*) from train where card_no not in (select card_no from txn)) as train_without_txn,
-  (select count(*) from testa where card_no not in (select card_no from txn)) as target_without_txn,
+  (select count(*) from target where card_no not in (select card_no from txn)) as target_without_txn,
   {_r('(select avg(label) from train)', 'label_rate')}
 from (select card_no, max(stm_dt) as last_dt from txn group by 1)"""),
     "class_means": (["flow_aggregates", "static_profile"], f"""
@@ -607,12 +616,12 @@ select label, {_r('avg(in_sum / (abs(mo_da_aum_val) + 100))', 'mean_in_vs_aum')}
 from train left join flow_aggregates using (card_no) left join static_profile using (card_no) group by 1"""),
     "anti_uncovered": ([], """
 select 'train' as side, card_no from train where card_no not in (select card_no from txn)
-union all select 'target', card_no from testa where card_no not in (select card_no from txn)"""),
+union all select 'target', card_no from target where card_no not in (select card_no from txn)"""),
     "scores": (["silence_base"], _SCORES),
     "fold_mean": (["silence_base", "scores"], """
 select card_no, family, cast(seed as bigint) as seed, avg(score) as score from scores group by 1, 2, 3"""),
     "rank_normalise": (["silence_base", "scores", "fold_mean"], f"""
-select card_no, score, round({_RANK.format(by='1', x='score')}, 6) as rank from fold_mean where family = 'dart'"""),
+select card_no, score, round({_RANK.format(by='1', x='score')}, 6) as rank from fold_mean where family = 'boosted'"""),
     "family_means": (["silence_base", "scores", "fold_mean"], f"""
 select card_no, family, avg(r) as score from (
   select *, {_RANK.format(by='family, seed', x='score')} as r from fold_mean) group by 1, 2"""),
@@ -629,11 +638,11 @@ from rank_blend left join silence_base using (card_no)"""),
 select card_no, score from (
   select *, row_number() over (order by score desc,
       (cast(card_no as bigint) * 2654435761 + 42 * 40503) % 4294967296, card_no) as pos, count(*) over () as n
-  from fold_mean where family = 'dart') where pos <= floor(n * 0.01e0)"""),
+  from fold_mean where family = 'boosted') where pos <= floor(n * 0.01e0)"""),
     "top_frac_f1": (["silence_base", "scores", "fold_mean"], """
 with g as (select f.card_no, f.score, t.label, row_number() over (order by score desc,
       (cast(card_no as bigint) * 2654435761 + 42 * 40503) % 4294967296, card_no) as pos, count(*) over () as n
-    from fold_mean f join train t using (card_no) where family = 'dart'),
+    from fold_mean f join train t using (card_no) where family = 'boosted'),
 c as (select count(*) filter (where pos <= floor(n * 0.01e0)) as k,
         cast(sum(label) filter (where pos <= floor(n * 0.01e0)) as bigint) as tp,
         cast(sum(label) as bigint) as positives from g)
@@ -641,25 +650,35 @@ select k, tp, positives, round(tp / k, 6) as precision, round(tp / positives, 6)
   round(2 * (tp / k) * (tp / positives) / (tp / k + tp / positives + 1e-9), 6) as f1 from c"""),
     "auc": (["silence_base", "scores", "fold_mean"], f"""
 with g as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as r
-           from fold_mean join train using (card_no) where family = 'dart')
+           from fold_mean join train using (card_no) where family = 'boosted')
 select {_r('''(sum(r) filter (where label = 1) - count(*) filter (where label = 1)
   * (count(*) filter (where label = 1) + 1) / 2.0)
   / (count(*) filter (where label = 1) * count(*) filter (where label = 0))''', 'auc')} from g"""),
     "ranked_output": (["silence_base", "scores", "fold_mean", "family_means", "rank_blend", "hard_rule"], """
-select row_order, card_no, score from testa left join hard_rule using (card_no) order by row_order"""),
-    "output_check": (["silence_base", "scores", "fold_mean", "family_means", "rank_blend"], """
-select count(*) filter (where b.card_no is null) as missing,
-  (select count(*) from rank_blend where card_no not in (select card_no from testa)) as extra, 0 as doubled
-from testa left join rank_blend b using (card_no)"""),
+select row_order, card_no, score from target left join hard_rule using (card_no) order by row_order"""),
+    "output_check": (["silence_base", "scores", "fold_mean", "family_means", "rank_blend", "hard_rule", "ranked_output"], """
+select count(*) filter (where o.card_no is null or o.score is null) as missing,
+  (select count(*) from ranked_output where card_no not in (select card_no from target)) as extra,
+  (select count(*) from (select card_no from ranked_output group by 1 having count(*) > 1)) as doubled
+from target left join ranked_output o using (card_no)"""),
+    "csv_transactions": ([], "select * from txn"),
+    "csv_side_tables": ([], """
+select 'card' as tbl, concat_ws('|', cast(aum_val as bigint), card_create_dt, card_no, crdisu_lvl1_insid, crdisu_lvl2_insid,
+  cst_id, 7, cast(mo_da_aum_val as bigint), prim_cst_accno) as line from card
+union all select 'cst', concat_ws('|', cst_id, 7, coalesce(gender, '~'), industry, marital_status, occupation) from cst
+union all select 'accno', concat_ws('|', card_no, cst_accno, open_accno_dt) from accno
+union all select 'train', concat_ws('|', card_no, label) from train
+union all select 'target', card_no from target"""),
     "lenient_parse": ([], """
 select l_orderkey, l_linenumber, try_strptime(ts_text, '%Y-%m-%d %H:%M:%S') as tms,
   cast(try_strptime(dt_text, '%Y-%m-%d') as date) as stm_dt
 from (select l_orderkey, l_linenumber,
   case when l_partkey % 11 = 0 then 'unknown' else strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') end as ts_text,
   case when l_partkey % 13 = 0 then '' else strftime(l_shipdate, '%Y-%m-%d') end as dt_text from lineitem)"""),
-    "label_normalise": ([], """
-select c_custkey, cast(try_cast(txt as double) as bigint) as label from (
-  select c_custkey, case when c_custkey % 17 = 0 then 'n/a' when c_acctbal < 0 then '1.0' else '0.0' end as txt
+    "label_normalise": ([], f"""
+select c_custkey, case when try_cast(txt as double) = 1 then 1 when try_cast(txt as double) = 0 then 0 end as label from (
+  select c_custkey, case {' '.join(f"when c_custkey % 17 = {i} then '{t}'" for i, t in enumerate(ODD_LABELS))}
+    when c_acctbal < 0 then '1.0' else '0.0' end as txt
   from customer)"""),
 }
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from cardflow.operators.timeline import enrich
 from cardflow.plans import matrix, oracles
 from cardflow.plans.adapter import CardData, card_data
 from cardflow.sources import readers
-from cardflow.sources.store import materialize
+from cardflow.sources.store import materialize, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,10 +115,10 @@ class Inputs:
     def scores(self) -> DataFrame:
         """Scores without a model: whole-number formulas for three families, one with two seeds."""
         formulas = [
-            ("dart", 42, F.expr("n_txn * 3 + sil_days")),
+            ("boosted", 42, F.expr("n_txn * 3 + sil_days")),
             ("narrow", 42, F.expr("(n_txn * 7 + sil_days * 5) % 101")),
             ("narrow", 2026, F.expr("n_t7 * 2 + last_hour")),
-            ("cat", 42, F.expr("cast(bal_last as bigint) % 5000")),
+            ("forest", 42, F.expr("cast(bal_last as bigint) % 5000")),
         ]
         entries = F.array(*[
             F.struct(F.lit(family).alias("family"), F.lit(seed).alias("seed"),
@@ -136,7 +137,7 @@ class Inputs:
 
     @property
     def one_family(self) -> DataFrame:
-        return self.fold_mean.filter("family = 'dart'").select("card_no", "score")
+        return self.fold_mean.filter("family = 'boosted'").select("card_no", "score")
 
     @property
     def labelled(self) -> DataFrame:
@@ -216,10 +217,9 @@ def _wealth(i: Inputs) -> DataFrame:
 
 
 def _class_means(i: Inputs) -> DataFrame:
-    held = F.abs("mo_da_aum_val") + 100
     paid = flow.flow_aggregates(i.txn).select("card_no", "in_sum")
     rows = i.data.train.join(paid, "card_no", "left").join(i.data.card, "card_no", "left")
-    return rows.groupBy("label").agg(F.avg(F.col("in_sum") / held).alias("mean_in_vs_aum"))
+    return matrix.class_means(rows.withColumn("in_vs_aum", matrix.inflow_over_held()))
 
 
 def _lenient_parse(i: Inputs) -> DataFrame:
@@ -235,12 +235,44 @@ def _lenient_parse(i: Inputs) -> DataFrame:
 
 
 def _label_normalise(i: Inputs) -> DataFrame:
-    text = F.when(F.col("c_custkey") % 17 == 0, "n/a").when(
-        F.col("c_acctbal") < 0, "1.0").otherwise("0.0")
+    text = F.when(F.col("c_acctbal") < 0, "1.0").otherwise("0.0")
+    for rest, odd in enumerate(oracles.ODD_LABELS):
+        text = F.when(F.col("c_custkey") % 17 == rest, odd).otherwise(text)
     customers = i.spark.read.parquet(f"{i.sf_dir}/customer.parquet")
     return customers.select("c_custkey", readers.label_value(text).alias("label"))
 
 
+def _written(df: DataFrame, name: str) -> str:
+    """Folder of CSV files with the columns in another order, one column more, and times as text."""
+    texts = {c: F.date_format(c, readers.TIMESTAMP_PATTERN if kind == "timestamp_ntz" else readers.DATE_PATTERN)
+             for c, kind in df.dtypes if kind in ("timestamp_ntz", "date")}
+    path = f"{shared_folder(df.sparkSession)}/cardflow/{name}-{uuid.uuid4().hex}"
+    shuffled = sorted(df.columns, key=lambda c: c[::-1])
+    df.withColumns(texts | {"further": F.lit(7)}).select("further", *shuffled).write.option("header", True).csv(path)
+    return path
+
+
+def _csv_transactions(i: Inputs) -> DataFrame:
+    return readers.read_transactions(i.spark, _written(i.txn, "txn-csv"))
+
+
+def _csv_side_tables(i: Inputs) -> DataFrame:
+    """All side tables read back, one line of text per row."""
+    data, spark = i.data, i.spark
+    tables = {
+        "card": (readers.read_cards, data.card), "cst": (readers.read_customers, data.cst),
+        "accno": (readers.read_accounts, data.accno), "train": (readers.read_labels, data.train),
+        "target": (readers.read_targets, data.target),
+    }
+    lines = []
+    for name, (read, df) in tables.items():
+        back = read(spark, _written(df, f"{name}-csv"))
+        shown = [F.coalesce(F.col(c).cast("bigint" if kind == "double" else "string").cast("string"), F.lit("~"))
+                 for c, kind in sorted(back.dtypes) if c != "row_order"]
+        lines.append(back.select(F.lit(name).alias("tbl"), F.concat_ws("|", *shown).alias("line")))
+    return reduce(DataFrame.unionAll, lines)
+
+
 # Small ensembles on a narrow matrix keep the registered query short; the data is the whole table.
 _QUICK = [
     crossfit.Recipe("boosted", [42], settings={"maxIter": 3, "maxDepth": 3}),
@@ -345,7 +377,10 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "auc": lambda i: ranking.auc(i.labelled),
     "ranked_output": lambda i: ranking.ranked_output(
         ranking.hard_rule(i.blend, i.quiet), i.data.target),
-    "output_check": lambda i: ranking.check_output(i.blend, i.data.target),
+    "output_check": lambda i: ranking.check_output(
+        ranking.ranked_output(ranking.hard_rule(i.blend, i.quiet), i.data.target), i.data.target),
+    "csv_transactions": _csv_transactions,
+    "csv_side_tables": _csv_side_tables,
     "crossfit_scores": _crossfit,
 }
 

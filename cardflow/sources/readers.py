@@ -23,8 +23,9 @@ def lenient_date(text: Column) -> Column:
 
 
 def label_value(text: Column) -> Column:
-    """`"1.0"` -> 1, unreadable -> null."""
-    return text.try_cast("double").cast("byte")
+    """`"1.0"` -> 1, `"0"` -> 0; anything that is not a label -> null."""
+    number = text.try_cast("double")
+    return F.when(number == 1, F.lit(1)).when(number == 0, F.lit(0)).cast("byte")
 
 
 def numbers_without_nan(df: DataFrame) -> DataFrame:
@@ -33,8 +34,22 @@ def numbers_without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: finite_or_null(F.col(c)) for c in doubles}) if doubles else df
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+def _csv(spark: SparkSession, path: str, schema: T.StructType, keep_others: bool = False) -> DataFrame:
+    """The columns of `schema` by name, whatever their order in the files; unreadable values are null.
+
+    A missing column is an error, and so is a file whose header differs from the first one's. Other
+    columns are dropped, or kept as numbers.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    text = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    rows = spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(path)
+    others = [name for name in header if keep_others and name not in schema.fieldNames()]
+    return rows.select(
+        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema],
+        *[F.col(name).try_cast("double").alias(name) for name in others])
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
@@ -44,13 +59,13 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cards(spark: SparkSession, path: str, schema: T.StructType = schemas.CARD) -> DataFrame:
-    """`schema` may carry further static columns, which pass through to the matrix."""
-    return numbers_without_nan(_csv(spark, path, schema)).withColumn(
+    """Further static columns are read as `schema` declares them, else as numbers, and pass through to the matrix."""
+    return numbers_without_nan(_csv(spark, path, schema, keep_others=True)).withColumn(
         "card_create_dt", lenient_date(F.col("card_create_dt")))
 
 
 def read_customers(spark: SparkSession, path: str, schema: T.StructType = schemas.CST) -> DataFrame:
-    return numbers_without_nan(_csv(spark, path, schema))
+    return numbers_without_nan(_csv(spark, path, schema, keep_others=True))
 
 
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:

@@ -102,3 +102,21 @@ def test_output_check_counts_faults(spark):
     output = spark.createDataFrame(
         [("a", .5), ("a", .5), ("b", None), ("x", .1)], "card_no string, score double")
     assert tuple(ranking.check_output(output, target).first()) == (2, 1, 1)
+
+
+def test_unlabelled_rows_are_left_out_of_the_figures(spark):
+    from cardflow.operators import ranking
+
+    rows = [("1", 0.9, 1), ("2", 0.8, 0), ("3", 0.7, 1), ("4", 0.1, 0), ("5", 0.95, None), ("6", 0.85, None)]
+    scored = spark.createDataFrame(rows, "card_no string, score double, label int")
+    assert ranking.auc(scored).first().auc == 0.75
+    figures = ranking.top_fraction_f1(scored, 0.5).first()
+    assert (figures.k, figures.tp, figures.positives) == (2, 1, 2)
+
+
+def test_numeric_hash_takes_long_ids(spark):
+    from cardflow.operators import folds
+
+    row = spark.createDataFrame([("9223372036854775807",), ("12",)], "card_no string").select(
+        folds.numeric_card_hash().alias("h")).collect()
+    assert [r.h for r in row] == [(int(c) * 2654435761 + 42 * 40503) % 2**32 for c in ("9223372036854775807", "12")]

@@ -42,9 +42,31 @@ def test_side_tables_csv(spark, tmp_path):
 
 
 def test_label_text(spark, tmp_path):
-    path = write(tmp_path / "train.csv", "card_no,label", "a,0.0", "b,1.0", "c,?")
+    path = write(tmp_path / "train.csv", "card_no,label", "a,0.0", "b,1.0", "c,?", "d,300", "e,1e0", "f,NaN", "g,0.7", "h,")
     labels = {r.card_no: r.label for r in readers.read_labels(spark, path).collect()}
-    assert labels == {"a": 0, "b": 1, "c": None}
+    assert labels == {"a": 0, "b": 1, "c": None, "d": None, "e": 1, "f": None, "g": None, "h": None}
+
+
+def test_columns_bind_by_name(spark, tmp_path):
+    cst = readers.read_customers(spark, write(
+        tmp_path / "cst.csv", "gender,cst_id,points,industry,occupation,marital_status", "M,U1,12.5,i9,o7,m1",
+        "F,U2,none,i8,o6,m0"))
+    assert [tuple(r) for r in cst.orderBy("cst_id").collect()] == [
+        ("U1", "M", "m1", "o7", "i9", 12.5), ("U2", "F", "m0", "o6", "i8", None)]
+    accno = readers.read_accounts(spark, write(
+        tmp_path / "accno.csv", "further,open_accno_dt,cst_accno,card_no", "B,2021-03-04,01-1,01"))
+    assert tuple(accno.first()) == ("01", "01-1", dt.date(2021, 3, 4))
+    with pytest.raises(ValueError, match="open_accno_dt"):
+        readers.read_accounts(spark, write(tmp_path / "short.csv", "card_no,cst_accno", "01,01-1"))
+
+
+def test_files_of_one_table_must_agree(spark, tmp_path):
+    folder = tmp_path / "accno"
+    folder.mkdir()
+    write(folder / "a.csv", "card_no,cst_accno,open_accno_dt", "01,01-1,2021-03-04")
+    write(folder / "b.csv", "cst_accno,card_no,open_accno_dt", "02-1,02,2021-03-04")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_accounts(spark, str(folder)).collect()
 
 
 def test_scores_keep_target_order(spark, tmp_path):
