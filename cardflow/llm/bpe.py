@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardflow.llm.common import extend
+from cardflow.llm.common import BATCH_BYTES, extend
 
 LEAF = 24
 # Encoded pieces a worker remembers, and the longest one.
@@ -54,6 +53,7 @@ class Vocabulary:
             raise ValueError("this kind of vocabulary file is not handled")
         ids, end = model["vocab"], model["end_of_word_suffix"] or ""
         self.tokens = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.words = np.array([self.tokens[i] for i in range(len(self.tokens))], object)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -184,59 +184,62 @@ def read_spec(path: str) -> str:
         return file.read()
 
 
+def encode_texts(texts: pa.Array, own: Vocabulary) -> pa.ListArray:
+    """Token ids of every text."""
+    coded = [own.encode(t) if t else b"" for t in texts.to_pylist()]
+    ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+
+
+def decode_ids(ids: pa.ListArray, own: Vocabulary) -> list[str | None]:
+    """The tokens of every id list joined by spaces, as a vocabulary without a decoder asks for; null gives null."""
+    return [None if not ok else " ".join(own.words[ids[i].values.to_numpy()].tolist())
+            for i, ok in enumerate(ids.is_valid().to_pylist())]
+
+
 def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns and the token ids of `text`. The vocabulary file is read at the driver and sent along."""
     held = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        own = vocabulary(held.value)
-        coded = [own.encode(t) if t else b"" for t in texts.to_pylist()]
-        ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))]
+        return [encode_texts(texts, vocabulary(held.value))]
 
     return extend(docs, [T.StructField(ids, T.ArrayType(T.IntegerType()))], compute)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """All columns and the tokens of `ids` joined by spaces, as a vocabulary without a decoder asks for. Null ids give null."""
+    """All columns and the text that `ids` stand for."""
     held = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     schema = T.StructType([*docs.schema.fields, T.StructField(decoded, T.StringType())])
     at, names = docs.columns.index(ids), schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(held.value)
-        words = np.array([own.tokens[i] for i in range(len(own.tokens))], object)
         for batch in batches:
-            step = max(1, min(batch.num_rows, 1 + (1 << 20) * batch.num_rows // max(1, batch.nbytes // 4)))
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                column = part.column(at)
-                texts = [None if v is None else " ".join(words[v].tolist()) for v in (
-                    None if not ok else column[i].values.to_numpy() for i, ok in enumerate(column.is_valid().to_pylist()))]
+            rows = max(1, batch.num_rows * BATCH_BYTES // max(BATCH_BYTES, batch.column(at).nbytes))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                texts = decode_ids(part.column(at), vocabulary(held.value))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
-def digests(coded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, texts = batch.column(1), batch.column(2).to_pylist()
-            values = np.ascontiguousarray(column.values.to_numpy(), "<u4")
-            bounds = column.offsets.to_numpy()
-            spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([b - a for a, b in spans], pa.int64()),
-                 pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in spans]),
-                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return coded.select("doc_id", ids, decoded).mapInArrow(run, schema)
+def encode_corpus(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 of every row.
 
+    Encoding, decoding and digests of a text happen in one Python worker, so ids never travel.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+              T.StructField("decoded_sha256", T.StringType())]
 
-def encode_corpus(docs: DataFrame, path: str) -> DataFrame:
-    """`digests` of every row's encoding and of what decoding the ids gives back."""
-    return digests(decode(encode(docs.select("doc_id", "text"), path).drop("text"), path))
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        ids = encode_texts(texts, vocabulary(held.value))
+        decoded = decode_ids(ids, vocabulary(held.value))
+        values, bounds = np.ascontiguousarray(ids.values.to_numpy(), "<u4"), ids.offsets.to_numpy().tolist()
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        return [pa.array([b - a for a, b in spans], pa.int64()),
+                pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in spans], pa.string()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string())]
+
+    return extend(docs.select("doc_id", "text"), fields, compute).drop("text")
