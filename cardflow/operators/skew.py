@@ -17,13 +17,21 @@ KEYLESS_SALTS = 1 << 16
 
 
 def heavy_keys(counts: DataFrame, keys: list[str], weight: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """The heaviest keys with their weight: at most HEAVY_KEYS rows, the same on every evaluation."""
-    return (
-        counts.filter(F.col(weight) > heavy_rows)
-        .orderBy(F.desc(weight), *keys)
-        .limit(HEAVY_KEYS)
-        .select(*keys, weight)
-    )
+    """The keys above `heavy_rows` with their weight, HEAVY_KEYS rows at most.
+
+    Where more keys are that heavy, the limit is raised to the next doubling that few enough keys reach.
+    No key above the raised limit is left whole, and one below it is a small part of all rows.
+    """
+    heavy = counts.filter(F.col(weight) > heavy_rows).select(*keys, weight)
+    level = F.floor(F.log2(F.col(weight)))
+    levels = {r["level"]: r["n"] for r in heavy.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    room, least = HEAVY_KEYS, None
+    for found in sorted(levels, reverse=True):
+        room -= levels[found]
+        if room < 0:
+            least = found + 1
+            break
+    return heavy if least is None else heavy.filter(level >= least)
 
 
 def spread_join(

@@ -37,9 +37,15 @@ def with_directions(txn: DataFrame) -> DataFrame:
     })
 
 
-def heavy_cards(txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
-    """Cards with more than `heavy_rows` rows, from a scan of the card column alone."""
-    counts = txn.groupBy("card_no").agg(F.count(F.lit(1)).alias("_rows"))
+def heavy_cards(
+    txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS, counted: str | None = None
+) -> DataFrame:
+    """Cards with more than `heavy_rows` rows, from a scan of the card column alone.
+
+    With `counted`, `txn` has one row per card and its number of rows in that column.
+    """
+    rows = F.count(F.lit(1)) if counted is None else F.sum(counted)
+    counts = txn.groupBy("card_no").agg(rows.alias("_rows"))
     heavy = skew.heavy_keys(counts, ["card_no"], "_rows", heavy_rows)
     return materialize(heavy.select("card_no"), "heavy-cards")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -34,6 +36,23 @@ class Settings:
     name_degree_limit: int = K.LOW_DEGREE_LIMIT
     n_folds: int = K.N_FOLDS
     heavy_rows: int = skew.HEAVY_ROWS
+    # Last day of the data that silence is counted to; read off the data unless given.
+    anchor: datetime.date | None = None
+
+
+@dataclass(frozen=True)
+class Part:
+    """Rows and summaries of one kind of cards: the ordinary ones, bucketed by card, or the heavy ones."""
+
+    enriched: DataFrame
+    pairs: DataFrame
+    days: DataFrame
+    heavy: DataFrame  # the cards among them that no single task takes
+
+
+def together(frames: list[DataFrame]) -> DataFrame:
+    """Frames over different cards as one; a single frame keeps its partitioning."""
+    return reduce(DataFrame.unionByName, frames)
 
 
 def _join_blocks(blocks: list[DataFrame]) -> DataFrame:
@@ -107,20 +126,36 @@ def wealth_ratios(df: DataFrame) -> DataFrame:
     })
 
 
-def card_features(
-    data: CardData, enriched: DataFrame, pairs: DataFrame, days: DataFrame, settings: Settings
-) -> DataFrame:
+def card_features(data: CardData, parts: list[Part], settings: Settings) -> DataFrame:
     """The behaviour and static columns of every card with transactions (299 on the full code lists).
 
+    Blocks of a card's own rows are made part by part. What looks at other cards, such as degrees, reads
+    the summaries of all parts.
+    """
+    heavy = settings.heavy_rows
+    enriched, pairs = together([p.enriched for p in parts]), together([p.pairs for p in parts])
+    names = _code_names(
+        codes.code_counts(enriched, "txn_channel_type"), codes.code_counts(enriched, "smy_cd"), settings)
+    own = together([own_blocks(part, *names) for part in parts])
+    return card_ratios(_join_blocks([
+        own,
+        counterparty.counterparty_degree(pairs, heavy),
+        static.static_profile(enriched, data.card, data.cst, data.accno, heavy),
+        static.frequency_encoding(data.card, data.cst, heavy_rows=heavy),
+    ]))
+
+
+def own_blocks(part: Part, channel_names: dict[str, str], summary_names: dict[str, str]) -> DataFrame:
+    """What a card's own rows say.
+
     Blocks over the same input share one aggregation, kept below the width at which Spark gives up
     code generation (spark.sql.codegen.maxFields, 100 by default).
     """
     by_card = lambda df, *measures: df.groupBy("card_no").agg(*measures)
-    heavy = settings.heavy_rows
+    enriched, pairs, days = part.enriched, part.pairs, part.days
     channel = codes.code_counts(enriched, "txn_channel_type")
     summary = codes.code_counts(enriched, "smy_cd")
-    channel_names, summary_names = _code_names(channel, summary, settings)
-    blocks = [
+    return _join_blocks([
         by_card(
             enriched,
             *flow.flow_measures(),
@@ -156,18 +191,13 @@ def card_features(
         by_card(summary, codes.distinct_measure("n_smy"), *codes.share_measures(summary_names)),
         flow.distinct_per_card(enriched, "cst_accno", "n_accno_used"),
         flow.amount_repetition(enriched),
-        counterparty.counterparty_degree(pairs, heavy),
-        static.static_profile(enriched, data.card, data.cst, data.accno, heavy),
-        static.frequency_encoding(data.card, data.cst, heavy_rows=heavy),
-    ]
-    return card_ratios(_join_blocks(blocks))
+    ])
 
 
-def inflow_features(
-    enriched: DataFrame, pairs: DataFrame, heavy_rows: int = skew.HEAVY_ROWS
-) -> DataFrame:
-    return counterparty.sender_degree(enriched, heavy_rows).join(
-        counterparty.inflow_detail(pairs, enriched), "card_no", "full")
+def inflow_features(parts: list[Part], heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+    degrees = counterparty.sender_degree(together([p.enriched for p in parts]), heavy_rows)
+    detail = together([counterparty.inflow_detail(p.pairs, p.enriched) for p in parts])
+    return degrees.join(detail, "card_no", "full")
 
 
 def silence_features(base: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
@@ -253,34 +283,49 @@ def build_matrix(
     """Whole plan from tables to matrix.
 
     Inputs read by many blocks are written to the shared folder once: the enriched rows, the
-    (card, counterparty) and (card, day) summaries, the edges and the finished blocks. Unless a card
-    is too heavy for one task, the enriched rows are bucketed by card, and the summaries and blocks
-    built on them shuffle nothing.
+    (card, counterparty) and (card, day) summaries, the edges and the finished blocks. The rows of
+    ordinary cards are bucketed by card, and the summaries and blocks built on them shuffle nothing. Cards
+    too heavy for one task are kept beside them in tables of their own, in time slices.
     """
     heavy = settings.heavy_rows
-    busy = heavy_cards(data.txn, heavy)
-    buckets = bucket_count(data.txn.sparkSession, data.txn.count())
+    per_card = materialize(data.txn.groupBy("card_no").agg(F.count(F.lit(1)).alias("_rows")), "card-rows")
+    buckets = bucket_count(data.txn.sparkSession, per_card.agg(F.sum("_rows")).first()[0] or 0)
     by_card = lambda df, name: materialize_by_key(df, name, "card_no", buckets)
-    # Rows of a card stay together only where no card is too heavy for one task.
-    together = by_card if busy.isEmpty() else materialize
-    enriched = together(enrich(data.txn, busy), "enriched")
-    pairs = together(counterparty.pair_summary(enriched), "pairs")
-    days = together(daily.daily(enriched), "days")
-    quiet_base = by_card(silence.silence_base(enriched), "silence")
-    by_account = together(edges.edge_table(enriched, "cntrprt_card_no"), "edges_account")
-    by_name = together(edges.edge_table(enriched, "cntrprt_name"), "edges_name")
+    parts = card_parts(data.txn, heavy_cards(per_card, heavy, "_rows"), by_card)
+    by_account = together([materialize(edges.edge_table(p.enriched, "cntrprt_card_no"), "edges-account") for p in parts])
+    by_name = together([materialize(edges.edge_table(p.enriched, "cntrprt_name"), "edges-name") for p in parts])
+    anchor = settings.anchor or silence.anchor_date(together([p.enriched for p in parts])).first()[0]
+    quiet_base = by_card(together([silence.silence_base(p.enriched, anchor) for p in parts]), "silence")
+    account = together([accounts.account_features(p.enriched, data.card, p.heavy) for p in parts])
     folds = materialize(folds, "folds")
     roles = exposure.fold_matched_roles(folds, data.target, settings.n_folds)
     return assemble_matrix(
         folds, data.target,
-        by_card(card_features(data, enriched, pairs, days, settings), "features"),
+        by_card(card_features(data, parts, settings), "features"),
         materialize(exposure_features(by_account, by_name, roles, settings), "exposure"),
-        by_card(inflow_features(enriched, pairs, heavy), "inflow"),
+        by_card(inflow_features(parts, heavy), "inflow"),
         by_card(silence_features(quiet_base, heavy), "silence_features"),
-        by_card(accounts.account_features(enriched, data.card, busy), "account"),
+        by_card(account, "account"),
         settings, kind)
 
 
+def card_parts(
+    txn: DataFrame, busy: DataFrame, by_card: Callable[[DataFrame, str], DataFrame]
+) -> list[Part]:
+    """Ordinary cards, written with `by_card`, and the `busy` cards if there are any."""
+    none, hot = busy.limit(0), F.broadcast(busy)
+    some = not busy.isEmpty()
+    groups = [(txn.join(hot, "card_no", "left_anti") if some else txn, none, by_card)]
+    if some:
+        groups.append((txn.join(hot, "card_no", "left_semi"), busy, materialize))
+    parts = []
+    for rows, heavy, write in groups:
+        enriched = write(enrich(rows, heavy), "enriched")
+        parts.append(Part(
+            enriched, write(counterparty.pair_summary(enriched), "pairs"), write(daily.daily(enriched), "days"), heavy))
+    return parts
+
+
 def coverage_report(data: CardData) -> DataFrame:
     """One row: cards, train and target cards without transactions, label rate, date range."""
     seen = data.txn.select("card_no").distinct()

@@ -692,5 +692,10 @@ def build(key: str) -> str:
     return "with " + ",\n".join(ctes) + f"\nselect * from ({body.strip()})"
 
 
+# Queries that take another path to the same rows.
+_SAME = {f"{key}_split": key for key in ("enriched_txn", "balance_consistency", "feature_matrix")}
+
+
 def all_oracles() -> dict[str, str]:
-    return {key: build(key) for key in _BODIES if key not in _PARTS}
+    own = {key: build(key) for key in _BODIES if key not in _PARTS}
+    return own | {key: own[same] for key, same in _SAME.items()}

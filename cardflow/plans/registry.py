@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from cardflow.operators import (
     accounts, codes, counterparty, crossfit, daily, edges, exposure, flow, folds, ranking, sequence,
     silence, static,
 )
-from cardflow.operators.timeline import enrich
+from cardflow.operators.timeline import enrich, heavy_cards
 from cardflow.plans import matrix, oracles
 from cardflow.plans.adapter import CardData, card_data
 from cardflow.sources import readers
@@ -295,6 +295,18 @@ def _crossfit(i: Inputs) -> DataFrame:
         materialize(train, "train"), materialize(target, "target"), columns, _QUICK)
 
 
+# So few rows make a card heavy in the `_split` queries, so that both kinds of cards occur in the given tables.
+SPLIT_ROWS = 50
+
+
+def _enriched_split(i: Inputs) -> DataFrame:
+    return enrich(i.txn, heavy_cards(i.txn, SPLIT_ROWS)).select(*_TXN_COLUMNS)
+
+
+def _feature_matrix_split(i: Inputs) -> DataFrame:
+    return matrix.build_matrix(i.data, i.folds, replace(SETTINGS, heavy_rows=SPLIT_ROWS), "double").rows
+
+
 def _feature_matrix(i: Inputs) -> DataFrame:
     return i.matrix.rows
 
@@ -364,6 +376,9 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "balance_consistency": lambda i: accounts.balance_consistency(i.txn),
     "wealth_ratios": _wealth,
     "feature_matrix": _feature_matrix,
+    "enriched_txn_split": _enriched_split,
+    "balance_consistency_split": lambda i: accounts.balance_consistency(i.txn, heavy_cards(i.txn, SPLIT_ROWS)),
+    "feature_matrix_split": _feature_matrix_split,
     "coverage_report": lambda i: matrix.coverage_report(i.data),
     "class_means": _class_means,
     "anti_uncovered": lambda i: matrix.uncovered_cards(i.data),
