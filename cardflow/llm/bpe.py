@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +40,10 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
+def little_endian(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class NewerCharacter(Exception):
     """A piece holds a character that this Python's Unicode tables do not know; other tables may."""
 
@@ -79,20 +84,19 @@ class Vocabulary:
     def merge(self, ids: list[int]) -> list[int]:
         """Plain BPE: the pair of lowest rank first, leftmost of equals."""
         get, none = self.merges.get, 1 << 62
-        while len(ids) > 1:
-            found = [get(a << SHIFT | b, none) for a, b in zip(ids, ids[1:])]
+        ids = list(ids)
+        found = [get(a << SHIFT | b, none) for a, b in zip(ids, ids[1:])]
+        while found:
             best = min(found)
             if best == none:
                 break
-            merged, out, i, last = best & (1 << SHIFT) - 1, [], 0, len(found)
-            while i <= last:
-                if i < last and found[i] == best:
-                    out.append(merged)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i, merged = found.index(best), best & (1 << SHIFT) - 1
+            ids[i : i + 2] = [merged]
+            del found[i]
+            if i:
+                found[i - 1] = get(ids[i - 1] << SHIFT | merged, none)
+            if i < len(found):
+                found[i] = get(merged << SHIFT | ids[i + 1], none)
         return ids
 
     def split(self, token: int) -> list[int]:
@@ -136,7 +140,7 @@ class Vocabulary:
         return self.remembered(text)
 
     def remembered(self, text: str) -> bytes:
-        found = np.array(self.encode_symbols(self.symbols(text)), "<u4").tobytes()
+        found = little_endian(self.encode_symbols(self.symbols(text)))
         if len(text) <= SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -170,7 +174,7 @@ class Vocabulary:
                 try:
                     out += [known.get(p) or piece(p) for p in self.pieces.findall(self.normalise(part))]
                 except NewerCharacter:
-                    out += [np.array(self.encode_symbols(self.symbols(p)), "<u4").tobytes() for p in self.split_newer(part)]
+                    out += [little_endian(self.encode_symbols(self.symbols(p))) for p in self.split_newer(part)]
         return b"".join(out)
 
 
