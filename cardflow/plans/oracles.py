@@ -669,6 +669,12 @@ union all select 'cst', concat_ws('|', cst_id, 7, coalesce(gender, '~'), industr
 union all select 'accno', concat_ws('|', card_no, cst_accno, open_accno_dt) from accno
 union all select 'train', concat_ws('|', card_no, label) from train
 union all select 'target', card_no from target"""),
+    "crossfit_coverage": (["stratified_folds"], """
+with recipe as (select * from (values ('boosted', 42), ('narrow', 42), ('narrow', 2026), ('forest', 42)) r(family, seed)),
+rows as (
+  select 'train' as side, fold, count(*) as n from stratified_folds group by 2
+  union all select 'target', k, (select count(*) from target) from range(5) r(k))
+select side, family, seed, fold, n as n_rows, n as n_cards, 0 as outside, 0 as met from rows, recipe"""),
     "lenient_parse": ([], """
 select l_orderkey, l_linenumber, try_strptime(ts_text, '%Y-%m-%d %H:%M:%S') as tms,
   cast(try_strptime(dt_text, '%Y-%m-%d') as date) as stm_dt

@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 
 from cardflow.constants import CHANNEL_CODES, MAX_CHANNEL_CODES, MAX_SUMMARY_CODES, TOP_SUMMARY_CODES
 from cardflow.operators import (
-    accounts, codes, counterparty, crossfit, daily, edges, exposure, flow, folds, ranking, sequence,
+    accounts, codes, counterparty, daily, edges, exposure, flow, folds, ranking, sequence,
     silence, static,
 )
 from cardflow.operators.timeline import enrich, heavy_cards
-from cardflow.plans import matrix, oracles
+from cardflow.plans import matrix, oracles, scoring
 from cardflow.plans.adapter import CardData, card_data
 from cardflow.sources import readers
-from cardflow.sources.store import materialize, shared_folder
+from cardflow.sources.store import materialize, materialize_once, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -273,26 +273,23 @@ def _csv_side_tables(i: Inputs) -> DataFrame:
     return reduce(DataFrame.unionAll, lines)
 
 
-# Small ensembles on a narrow matrix keep the registered query short; the data is the whole table.
-_QUICK = [
-    crossfit.Recipe("boosted", [42], settings={"maxIter": 3, "maxDepth": 3}),
-    crossfit.Recipe("forest", [42], crossfit.RandomForestClassifier, {"numTrees": 5, "maxDepth": 4}),
-]
+def _crossfit(i: Inputs) -> DataFrame:
+    """Scores of all default recipes on the whole matrix.
 
+    Fitted once per application: `crossfit_coverage` reads what `crossfit_scores` wrote.
+    """
+    key = {"tables": i.sf_dir, "application": i.spark.sparkContext.applicationId}
+    return materialize_once(lambda: scoring.cross_fit(i.matrix), i.spark, "crossfit", key)
 
-def _crossfit(i: Inputs) -> DataFrame:
-    plain = ["n_txn", "in_sum", "out_sum", "bal_last", "sil_days", "sil_hours", "n_t1", "n_t7"]
-    encoded = i.matched().select("side", "card_no", "fold", "ao_nf_max", "ao_rate_wavg", "no_rate_max")
-    encoded = materialize(encoded, "exposure-narrow")
-    target_keys = i.data.target.select(
-        "card_no", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
-    side = lambda name: encoded.filter(F.col("side") == name).drop("side")
-    train = i.folds.join(side("train"), ["card_no", "fold"], "left").join(i.quiet, "card_no", "left")
-    target = target_keys.join(side("target"), ["card_no", "fold"], "left").join(
-        i.quiet, "card_no", "left")
-    columns = [*plain, "ao_nf_max", "ao_rate_wavg", "no_rate_max"]
-    return crossfit.cross_fitted_scores(
-        materialize(train, "train"), materialize(target, "target"), columns, _QUICK)
+
+def _crossfit_coverage(i: Inputs) -> DataFrame:
+    """Per side, family, seed and fold: rows, cards, scores outside 0 to 1, and train cards of another fold."""
+    scores = _crossfit(i).join(i.folds.select("card_no", F.col("fold").alias("own")), "card_no", "left")
+    score = F.col("score")
+    return scores.groupBy("side", "family", "seed", "fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("card_no").alias("n_cards"),
+        F.count_if(score.isNull() | F.isnan(score) | (score < 0) | (score > 1)).alias("outside"),
+        F.count_if((F.col("side") == "train") & ~F.col("own").eqNullSafe(F.col("fold"))).alias("met"))
 
 
 # So few rows make a card heavy in the `_split` queries, so that both kinds of cards occur in the given tables.
@@ -397,6 +394,7 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "csv_transactions": _csv_transactions,
     "csv_side_tables": _csv_side_tables,
     "crossfit_scores": _crossfit,
+    "crossfit_coverage": _crossfit_coverage,
 }
 
 

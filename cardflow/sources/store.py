@@ -6,6 +6,8 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,26 +36,56 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return system.exists(hadoop_path)
 
 
-def materialize(
-    df: DataFrame, name: str, parameters: dict | None = None, reuse: bool = False
-) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write the frame as parquet in the shared folder and read it back.
 
-    With `reuse`, the path is keyed by `name` and `parameters`, and a table finished earlier under
-    the same key is read instead. Parquet keeps column pruning for the readers.
+    Parquet keeps column pruning for the readers. The folder belongs to the innermost open `scratch` and
+    goes when that closes.
     """
     spark = df.sparkSession
-    if reuse:
-        text = json.dumps(parameters or {}, sort_keys=True, default=str)
-        path = f"{shared_folder(spark)}/cardflow/{name}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
-        if not _exists(spark, f"{path}/_SUCCESS"):
-            df.write.mode("overwrite").parquet(path)
-    else:
-        path = f"{shared_folder(spark)}/cardflow/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+    path = f"{shared_folder(spark)}/cardflow/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    _own(path)
     return spark.read.parquet(path)
 
 
+def materialize_once(
+    make: Callable[[], DataFrame], spark: SparkSession, name: str, parameters: dict
+) -> DataFrame:
+    """As `materialize`, under a path keyed by `name` and `parameters`: a table finished earlier under the
+    same key is read, and `make` is not called. Such tables stay."""
+    text = json.dumps(parameters, sort_keys=True, default=str)
+    path = f"{shared_folder(spark)}/cardflow/{name}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+_scratches: list[list[tuple[str, str | None]]] = []
+
+
+def _own(path: str, table: str | None = None) -> None:
+    if _scratches:
+        _scratches[-1].append((path, table))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops every folder and table written inside once the block ends, whether it fails or not.
+
+    What is to outlive it must be written to its own place before.
+    """
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path, table in _scratches.pop():
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 ROWS_PER_BUCKET = 1_000_000
 
 
@@ -83,8 +115,7 @@ def materialize_by_key(df: DataFrame, name: str, key: str, buckets: int) -> Data
     """
     spark = df.sparkSession
     table = f"cardflow_{name}_{uuid.uuid4().hex}".replace("-", "_")
-    (
-        df.write.bucketBy(buckets, key).format("parquet")
-        .option("path", f"{shared_folder(spark)}/cardflow/{table}").saveAsTable(table)
-    )
+    path = f"{shared_folder(spark)}/cardflow/{table}"
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(table)
+    _own(path, table)
     return spark.table(table)

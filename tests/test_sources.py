@@ -119,10 +119,21 @@ def test_tables_and_score_vectors(spark, tmp_path):
 
 
 def test_store_reuses_by_parameters(spark):
-    one = spark.createDataFrame([(1,)], "x int")
-    two = spark.createDataFrame([(2,)], "x int")
-    assert store.materialize(one, "demo", {"k": 1}, reuse=True).first().x == 1
-    assert store.materialize(two, "demo", {"k": 1}, reuse=True).first().x == 1
-    assert store.materialize(two, "demo", {"k": 2}, reuse=True).first().x == 2
-    assert store.materialize(two, "demo", {"k": 1}).first().x == 2
-    assert store.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    one, two = (spark.createDataFrame([(i,)], "x int") for i in (1, 2))
+    read = lambda df, k: store.materialize_once(lambda: df, spark, "demo", {"k": k}).first().x
+    assert [read(one, 1), read(two, 1), read(two, 2)] == [1, 1, 2]
+
+
+def test_scratch_leaves_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_folder", lambda spark: str(tmp_path))
+    df = spark.range(100).selectExpr("id AS card_no", "id % 7 AS x")
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(RuntimeError), store.scratch(spark):
+        with store.scratch(spark):
+            store.materialize_by_key(df, "inner", "card_no", 4)
+        assert not list((tmp_path / "cardflow").iterdir())
+        assert store.materialize(df, "outer", partition_by=["x"]).count() == 100
+        raise RuntimeError
+    assert not list((tmp_path / "cardflow").iterdir())
+    assert {t.name for t in spark.catalog.listTables()} == before
+
