@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from cardflow.operators import skew
 from cardflow.sources.store import materialize
 
+# Buckets of `uniform_position`.
 BUCKETS = 256
+# Buckets of `value_ranks`: as many as keep a bucket's distinct values in one task's easy reach.
+VALUES_PER_BUCKET = 100_000
+LEAST_BUCKETS, MOST_BUCKETS = 64, 16_384
 
 
 def _running_offset(totals: DataFrame, groups: list[str], bucket: str, n: str) -> DataFrame:
@@ -36,18 +40,43 @@ def value_ranks(
 ) -> DataFrame:
     """One row per (group, distinct value): ties, rows below, average rank, size of the group.
 
-    `positives` adds the number of rows per value for which the predicate holds. The counts are read
-    three times (limits, totals, ranks) and therefore written to the shared folder.
+    `positives` adds the number of rows per value for which the predicate holds.
     """
-    groups = groups or []
+    hist = value_counts(df, value, groups, positives)
+    return ranks_of_counts(hist, value, groups)
+
+
+def value_counts(
+    df: DataFrame, value: str, groups: list[str] | None = None, positives: Column | None = None
+) -> DataFrame:
+    """(group, value, ties), written once: limits, totals and ranks all start from it."""
     extra = [] if positives is None else [F.count_if(positives).alias("positives")]
-    hist = materialize(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
+    return materialize(df.filter(F.col(value).isNotNull()).groupBy(*(groups or []), value).agg(
         F.count(F.lit(1)).alias("ties"), *extra), "value-counts")
-    steps = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    limits = hist.agg(F.percentile_approx(F.col(value).cast("double"), steps, 4 * BUCKETS)).scalar()
-    hist = hist.withColumn("_limits", limits).withColumn(
-        "_bucket", F.size(F.filter("_limits", lambda limit: limit < F.col(value).cast("double"))),
-    ).drop("_limits")
+
+
+def bucket_of(value: Column, limits: list[float]) -> Column:
+    """How many of the sorted limits lie below the value, by bisection."""
+    if not limits:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(limits).bit_length()))]
+    known = F.lit(limits)
+    return F.aggregate(F.lit(steps), F.lit(0), lambda low, step: F.when(
+        (low + step <= len(limits)) & (F.get(known, low + step - 1) < value), low + step).otherwise(low))
+
+
+def ranks_of_counts(hist: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
+    """`value_ranks` from written `value_counts`.
+
+    The bucket limits, one per VALUES_PER_BUCKET distinct values, come to the driver, so that every
+    reader of the result sees the same ones.
+    """
+    groups = groups or []
+    rows, distinct = hist.count(), F.col(value).cast("double")
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows // VALUES_PER_BUCKET)))
+    steps = [i / buckets for i in range(1, buckets)]
+    limits = hist.agg(F.percentile_approx(distinct, steps, 4 * buckets)).first()[0]
+    hist = hist.withColumn("_bucket", bucket_of(distinct, sorted(set(limits or []))))
     totals = hist.groupBy(*groups, "_bucket").agg(F.sum("ties").alias("_n"))
     offsets = _running_offset(totals, groups, "_bucket", "_n")
     inside = W.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(
@@ -69,10 +98,11 @@ def average_rank_share(
 ) -> DataFrame:
     """Adds the average rank of `value` over the number of ranked rows; null values stay null."""
     groups = groups or []
-    ranks = value_ranks(df, value, groups)
+    counts = value_counts(df, value, groups)
+    ranks = ranks_of_counts(counts, value, groups)
     lookup = ranks.select(*groups, value, "ties", (F.col("avg_rank") / F.col("n_ranked")).alias(name))
     return skew.spread_join(
-        df, lookup, [*groups, value], "ties", spread_by or ["card_no"], heavy_rows).drop("ties")
+        df, lookup, [*groups, value], "ties", spread_by or ["card_no"], heavy_rows, weights=counts).drop("ties")
 
 
 def uniform_position(

@@ -23,6 +23,8 @@ def heavy_keys(counts: DataFrame, keys: list[str], weight: str, heavy_rows: int
     No key above the raised limit is left whole, and one below it is a small part of all rows.
     """
     heavy = counts.filter(F.col(weight) > heavy_rows).select(*keys, weight)
+    if heavy.isEmpty():
+        return heavy
     level = F.floor(F.log2(F.col(weight)))
     levels = {r["level"]: r["n"] for r in heavy.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
     room, least = HEAVY_KEYS, None
@@ -41,6 +43,7 @@ def spread_join(
     weight: str,
     spread_by: list[str],
     heavy_rows: int = HEAVY_ROWS,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of many rows to a one-row-per-key lookup, with heavy keys salted.
 
@@ -50,15 +53,17 @@ def spread_join(
     Rows without a key are dealt over salts of their own; all other keys join on salt 0.
 
     The lookup is read twice, for its heavy keys and for the join, and usually summarises `rows`
-    itself, so it is written to the shared folder first.
+    itself, so it is written to the shared folder first; with `weights`, a written table of the keys and
+    their weight, it stays lazy.
     """
-    lookup = materialize(lookup, "lookup")
+    if weights is None:
+        lookup = weights = materialize(lookup, "lookup")
     missing: Column = F.lit(False)
     for key in keys:
         missing = missing | F.col(key).isNull()
     hashed = F.xxhash64(*spread_by)
     keyless = F.when(missing, F.pmod(hashed, F.lit(KEYLESS_SALTS)))
-    heavy = heavy_keys(lookup, keys, weight, heavy_rows)
+    heavy = heavy_keys(weights, keys, weight, heavy_rows)
     if heavy.isEmpty():
         salted_rows = rows.withColumn("_salt", F.coalesce(keyless, F.lit(0)).cast("long"))
         salted_lookup = lookup.withColumn("_salt", F.lit(0).cast("long"))
