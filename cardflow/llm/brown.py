@@ -143,6 +143,7 @@ class ClassModel(NamedTuple):
     emission: np.ndarray  # per class: count of its words, and of its distinct words
     tokens: int
     distinct: int
+    end: int  # count of END
 
 
 class Learned(NamedTuple):
@@ -151,13 +152,31 @@ class Learned(NamedTuple):
     held: dict[bytes, int]  # counts of the commonest words
 
 
+def common_words(vocabulary: DataFrame, held: int) -> dict[bytes, int]:
+    """The commonest words with their counts, `held` at most: all from that count on which so few words reach.
+
+    Counts are binned by an eighth of a doubling, so nothing is sorted and no task gathers candidates of all others.
+    """
+    level = F.floor(F.log2("n") * 8)
+    bins = vocabulary.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
+    room, least = held, None
+    for r in sorted(bins, key=lambda r: -r["level"]):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["level"]
+    if least is None:
+        return {}
+    top = vocabulary.filter(level >= least).toArrow()
+    return {w.encode(): n for w, n in zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)}
+
+
 def learn(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, held: int = HELD) -> Learned:
     """Counts over all of `docs`; to the driver come `held` words and pairs of `clustered` words at most."""
     vocabulary = materialize(word_counts(docs), "vocabulary")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(held).toArrow()
-    words = [w.encode() for w in top.column("word").to_pylist()]
-    counts = dict(zip(words, top.column("n").to_pylist(), strict=True))
+    counts = common_words(vocabulary, held)
+    words = sorted(counts, key=lambda w: (-counts[w], w))
     numbers = {w: i for i, w in enumerate([w for w in words if w != END.encode()][:clustered])}
     pairs = pair_counts(docs, numbers).toArrow()
     a, b, n = (pairs.column(c).to_numpy() for c in ("a", "b", "n"))
@@ -177,9 +196,9 @@ def learn(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, h
         by_number[i] = counts[w]
     np.add.at(emission, (own[: len(numbers)], 0), by_number[: len(numbers)])
     np.add.at(emission, (own[: len(numbers)], 1), 1)
-    end = counts.get(END.encode(), 0) or int(vocabulary.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0)
+    end = int(vocabulary.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0)
     emission[own[-2]] = tokens - end - by_number.sum(), max(0, distinct - len(numbers) - (end > 0))
-    return Learned(vocabulary, ClassModel(numbers, own, np.log10(mixed), emission, tokens, distinct), counts)
+    return Learned(vocabulary, ClassModel(numbers, own, np.log10(mixed), emission, tokens, distinct, end), counts)
 
 
 def _fields() -> list[T.StructField]:
@@ -200,7 +219,7 @@ def score(docs: DataFrame, learned: Learned) -> DataFrame:
     tokens, distinct = learned.model.tokens, learned.model.distinct
     base_total = math.log10(tokens + 0.5 * (distinct + 1))
     own, emission = learned.model.own, learned.model.emission
-    rest, end_class = int(own[-2]), int(own[-1])
+    rest = int(own[-2])
     divisor = np.log10(emission[:, 0] + EMIT * (emission[:, 1] + (np.arange(len(emission)) == rest)).clip(1))
     rest_total = float(divisor[rest])
 
@@ -208,13 +227,12 @@ def score(docs: DataFrame, learned: Learned) -> DataFrame:
         model, held = sent.value
         unclustered = len(model.numbers)
         lengths, known, base, total, tails = [], [], [], [], []
-        end_count = held.get(END.encode(), 0)
         for text in texts.to_pylist():
             words = words_of(text)
             numbers = np.array([unclustered + 1, *(model.numbers.get(w, unclustered) for w in words), unclustered + 1])
             classes = model.own[numbers]
             moves = model.transition[classes[:-1], classes[1:]].sum()
-            counts = np.array([held.get(w, 0) for w in words] + [end_count])
+            counts = np.array([held.get(w, 0) for w in words] + [model.end])
             found = counts > 0
             found[-1] = True
             base_sum = np.log10(counts[found] + 0.5).sum() - len(counts) * base_total
