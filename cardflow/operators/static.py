@@ -13,7 +13,12 @@ _NOT_KEPT = ["prim_cst_accno", "cst_id", "card_create_dt"]
 
 
 def _with_customer(card: DataFrame, cst: DataFrame, heavy_rows: int) -> DataFrame:
-    """Customer columns and cards per customer; one customer may own a large part of the cards."""
+    """Customer columns and cards per customer; one customer may own a large part of the cards.
+
+    A customer column that a card has too is named after the customer.
+    """
+    both = set(card.columns) & set(cst.columns) - {"cst_id"}
+    cst = cst.withColumnsRenamed({c: f"cst_{c}" for c in both})
     owners = card.groupBy("cst_id").agg(F.count(F.lit(1)).alias("cst_n_cards"))
     return skew.spread_join(
         card, owners.join(cst, "cst_id", "left"), ["cst_id"], "cst_n_cards", ["card_no"], heavy_rows)

@@ -60,8 +60,8 @@ def _join_blocks(blocks: list[DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.join(right, "card_no", "left"), blocks)
 
 
-def _code_names(channel: DataFrame, summary: DataFrame, settings: Settings) -> tuple[dict, dict]:
-    """Share columns per code for channels and summary codes; unset lists are read off the counts."""
+def code_lists(channel: DataFrame, summary: DataFrame, settings: Settings) -> dict[str, list[str]]:
+    """The three open code lists of the settings; those left at None are read off the counts."""
     top = settings.summary_codes
     if top is None:
         top = codes.code_list(codes.top_codes(summary, K.TOP_SUMMARY_CODES))
@@ -73,10 +73,16 @@ def _code_names(channel: DataFrame, summary: DataFrame, settings: Settings) -> t
     if more_channel is None:
         more_channel = codes.code_list(codes.covered_codes(
             channel, settings.coverage_floor, K.MAX_CHANNEL_CODES, settings.channel_codes))
+    return {"summary_codes": top, "more_summary_codes": more_summary, "more_channel_codes": more_channel}
+
+
+def _code_names(channel: DataFrame, summary: DataFrame, settings: Settings) -> tuple[dict, dict]:
+    """Share columns per code for channels and summary codes."""
+    lists = code_lists(channel, summary, settings)
     channel_names = {c: f"ch{c}_share" for c in settings.channel_codes}
-    channel_names |= {c: f"ch2_{c}" for c in more_channel}
-    summary_names = {c: f"smy_{c}_share" for c in top} | {c: f"smy2_{c}" for c in more_summary}
-    return channel_names, summary_names
+    channel_names |= {c: f"ch2_{c}" for c in lists["more_channel_codes"]}
+    summary_names = {c: f"smy_{c}_share" for c in lists["summary_codes"]}
+    return channel_names, summary_names | {c: f"smy2_{c}" for c in lists["more_summary_codes"]}
 
 
 def card_ratios(features: DataFrame) -> DataFrame:

@@ -662,6 +662,20 @@ select count(*) filter (where o.card_no is null or o.score is null) as missing,
   (select count(*) from (select card_no from ranked_output group by 1 having count(*) > 1)) as doubled
 from target left join ranked_output o using (card_no)"""),
     "csv_transactions": ([], "select * from txn"),
+    "duplicate_keys": ([], "select card_no, stm_dt, count(*) as n from txn group by 1, 2 having count(*) > 1"),
+    "scores_csv_roundtrip": (
+        ["silence_base", "scores", "fold_mean", "family_means", "rank_blend", "hard_rule", "ranked_output"],
+        "select card_no, score from ranked_output"),
+    "score_vectors_roundtrip": (["silence_base", "scores"], "select * from scores"),
+    "dynamic_code_shares": ([], f"""
+select card_no, field, code, round(round(n / total, 9), 6) as share from (
+  select card_no, 'txn_channel_type' as field, txn_channel_type as code, count(*) as n,
+    sum(count(*)) over (partition by card_no) as total from txn where txn_channel_type is not null group by 1, 3
+  union all
+  select card_no, 'smy_cd', smy_cd, count(*), sum(count(*)) over (partition by card_no)
+  from txn where smy_cd is not null group by 1, 3)
+where list_contains({[*CHANNEL_CODES, *MATRIX_MORE_CHANNELS]}, code) and field = 'txn_channel_type'
+  or list_contains({[*MATRIX_TOP_SUMMARY, *MATRIX_MORE_SUMMARY]}, code) and field = 'smy_cd'"""),
     "csv_side_tables": ([], """
 select 'card' as tbl, concat_ws('|', cast(aum_val as bigint), card_create_dt, card_no, crdisu_lvl1_insid, crdisu_lvl2_insid,
   cst_id, 7, cast(mo_da_aum_val as bigint), prim_cst_accno) as line from card

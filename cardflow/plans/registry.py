@@ -19,7 +19,7 @@ from cardflow.operators import (
 from cardflow.operators.timeline import enrich, heavy_cards
 from cardflow.plans import matrix, oracles, scoring
 from cardflow.plans.adapter import CardData, card_data
-from cardflow.sources import readers
+from cardflow.sources import readers, sinks
 from cardflow.sources.store import materialize, materialize_once, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,8 @@ SETTINGS = matrix.Settings(
     account_degree_limit=oracles.ACCOUNT_LIMIT,
     name_degree_limit=oracles.NAME_LIMIT,
 )
+# As a run has them: code lists read off the data. SQL needs fixed column names, hence the lists above.
+OPEN_SETTINGS = replace(SETTINGS, summary_codes=None, more_summary_codes=None, more_channel_codes=None)
 # Standard deviations differ in their last digits between engines that add in another order.
 _COARSE = {"in_std": 4, "out_std": 4, "bal_std": 4, "daily_n_std": 4}
 
@@ -172,9 +174,21 @@ def _entropies(i: Inputs) -> DataFrame:
         codes.entropy(i.channel, "channel_entropy"), "card_no")
 
 
-def _code_columns(counts: DataFrame, groups: list[tuple[str, list[str]]]) -> DataFrame:
-    names = {c: pattern.format(c) for pattern, wanted in groups for c in wanted}
-    return codes.code_shares(counts, names)
+def _code_columns(i: Inputs, which: int) -> DataFrame:
+    """Shares of the channel (0) or summary (1) codes."""
+    return codes.code_shares((i.channel, i.summary)[which], matrix._code_names(i.channel, i.summary, SETTINGS)[which])
+
+
+def _dynamic_code_shares(i: Inputs) -> DataFrame:
+    """The shares of all dynamic codes in long form, one row per card, field and code with a share above 0."""
+    names = matrix._code_names(i.channel, i.summary, OPEN_SETTINGS)
+    parts = []
+    for name, counts, known in (("txn_channel_type", i.channel, names[0]), ("smy_cd", i.summary, names[1])):
+        wide = codes.code_shares(counts, known)
+        entries = F.array(*[F.struct(F.lit(c).alias("code"), F.col(column).alias("share")) for c, column in known.items()])
+        parts.append(wide.select("card_no", F.lit(name).alias("field"), F.explode(entries).alias("e")).select(
+            "card_no", "field", "e.code", "e.share").filter(F.col("share") > 0))
+    return parts[0].unionAll(parts[1])
 
 
 def _whole_reference(i: Inputs, kind: str) -> DataFrame:
@@ -252,6 +266,20 @@ def _written(df: DataFrame, name: str) -> str:
     return path
 
 
+def _scores_roundtrip(i: Inputs) -> DataFrame:
+    """The ranked output written as the score file and read back."""
+    path = f"{shared_folder(i.spark)}/cardflow/scores-csv-{uuid.uuid4().hex}"
+    output = ranking.ranked_output(ranking.hard_rule(i.blend, i.quiet), i.data.target)
+    sinks.write_scores_csv(materialize(output, "output"), path)
+    return i.spark.read.schema("card_no string, score double").option("header", True).csv(path)
+
+
+def _vectors_roundtrip(i: Inputs) -> DataFrame:
+    path = f"{shared_folder(i.spark)}/cardflow/score-vectors-{uuid.uuid4().hex}"
+    sinks.write_score_vectors(i.scores, path)
+    return i.spark.read.parquet(path)
+
+
 def _csv_transactions(i: Inputs) -> DataFrame:
     return readers.read_transactions(i.spark, _written(i.txn, "txn-csv"))
 
@@ -326,10 +354,9 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "fast_in_out": lambda i: sequence.fast_in_out(i.enriched),
     "amount_shape": lambda i: flow.amount_shape(i.txn),
     "day_lookbacks": lambda i: daily.day_lookbacks(i.days),
-    "channel_shares": lambda i: _code_columns(i.channel, [
-        ("ch{}_share", CHANNEL_CODES), ("ch2_{}", oracles.MATRIX_MORE_CHANNELS)]),
-    "summary_shares": lambda i: _code_columns(i.summary, [
-        ("smy_{}_share", oracles.MATRIX_TOP_SUMMARY), ("smy2_{}", oracles.MATRIX_MORE_SUMMARY)]),
+    "channel_shares": lambda i: _code_columns(i, 0),
+    "summary_shares": lambda i: _code_columns(i, 1),
+    "dynamic_code_shares": _dynamic_code_shares,
     "top_codes": lambda i: codes.top_codes(i.summary, TOP_SUMMARY_CODES),
     "top_code_shares": lambda i: codes.code_share_rows(
         i.summary, codes.top_codes(i.summary, TOP_SUMMARY_CODES)),
@@ -391,6 +418,9 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
         ranking.hard_rule(i.blend, i.quiet), i.data.target),
     "output_check": lambda i: ranking.check_output(
         ranking.ranked_output(ranking.hard_rule(i.blend, i.quiet), i.data.target), i.data.target),
+    "duplicate_keys": lambda i: matrix.duplicate_keys(i.txn, ["card_no", "stm_dt"]),
+    "scores_csv_roundtrip": _scores_roundtrip,
+    "score_vectors_roundtrip": _vectors_roundtrip,
     "csv_transactions": _csv_transactions,
     "csv_side_tables": _csv_side_tables,
     "crossfit_scores": _crossfit,
