@@ -15,6 +15,8 @@ from cardflow.functions.exprs import count0, safe_div, seconds_between, sum0, su
 from cardflow.operators import skew
 from cardflow.operators.sequence import LAST_K_PARTIES
 from cardflow.operators.timeline import with_directions
+from cardflow.sources.store import materialize
+
 
 def _known():
     return F.col("cntrprt_card_no").isNotNull()
@@ -193,7 +195,8 @@ def _graded_pairs(txn: DataFrame, heavy_rows: int) -> DataFrame:
 
     `txn` may be the pair summary: it names the same pairs and cards in fewer rows.
     """
-    pairs = txn.filter(_known()).select("card_no", "cntrprt_card_no").distinct()
+    # Read for the degrees and for the join.
+    pairs = materialize(txn.filter(_known()).select("card_no", "cntrprt_card_no").distinct(), "card-pairs")
     cards = txn.select(F.col("card_no").alias("cntrprt_card_no")).distinct().withColumn(
         "is_sample", F.lit(1))
     degrees = pairs.groupBy("cntrprt_card_no").agg(F.count(F.lit(1)).alias("degree"))
@@ -218,11 +221,10 @@ def sample_pair_share(txn: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> Data
 
 
 def _sender_block(txn: DataFrame, key: str, tag: str, heavy_rows: int) -> DataFrame:
-    senders = (
+    senders = materialize(
         with_directions(txn).filter(F.col("is_in") & F.col(key).isNotNull())
         .groupBy("card_no", key)
-        .agg(F.count(F.lit(1)).alias("n"), sum0(F.col("inflow_amt")).alias("amt"))
-    )
+        .agg(F.count(F.lit(1)).alias("n"), sum0(F.col("inflow_amt")).alias("amt")), "senders")
     degrees = senders.groupBy(key).agg(F.count(F.lit(1)).alias("deg"))
     graded = skew.spread_join(senders, degrees, [key], "deg", ["card_no"], heavy_rows)
     deg, amt = F.col("deg"), F.col("amt")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cardflow.constants import CASH_CATEGORY, INTERBANK, ON_US
 from cardflow.functions.exprs import iso_weekday, safe_div, share, sum0
-from cardflow.operators.timeline import event_position, with_directions
+from cardflow.operators.timeline import with_directions
 
 
 def distinct_per_card(txn: DataFrame, column: str, name: str) -> DataFrame:
@@ -63,11 +63,11 @@ def flow_measures() -> list[Column]:
     ]
 
 
-def balance_measures(last: Column) -> list[Column]:
-    """`last` is the aggregate that yields the balance of the last row."""
+def balance_measures() -> list[Column]:
+    """Over enriched rows, where the last row of a card is flagged."""
     balance = F.col("acct_bal")
     return [
-        last.alias("bal_last"),
+        F.max(F.when(F.col("rn_end") == 0, balance)).alias("bal_last"),
         F.min(balance).alias("bal_min"),
         F.max(balance).alias("bal_max"),
         F.avg(balance).alias("bal_mean"),
@@ -112,8 +112,8 @@ def flow_aggregates(txn: DataFrame) -> DataFrame:
     return _with_distinct(block, txn, {"n_days": "stm_dt", "n_accno_used": "cst_accno"})
 
 
-def balance_aggregates(txn: DataFrame) -> DataFrame:
-    return txn.groupBy("card_no").agg(*balance_measures(F.max_by("acct_bal", event_position())))
+def balance_aggregates(enriched: DataFrame) -> DataFrame:
+    return enriched.groupBy("card_no").agg(*balance_measures())
 
 
 def mix_shares(txn: DataFrame) -> DataFrame:

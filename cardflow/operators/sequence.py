@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardflow.constants import INTERBANK
@@ -32,12 +33,23 @@ def flip_measures() -> list[Column]:
     return [F.count_if("io_flip").alias("n_io_flips")]
 
 
-def median_measures() -> list[Column]:
-    """Exact medians. Their buffers hold distinct whole seconds, so the length of the history bounds
-    them, not the number of rows."""
-    return [
-        F.median("gap_sec").alias("gap_median"), F.median("out_after_in_sec").alias("fio_median"),
-    ]
+def middle_value(enriched: DataFrame, value: str, name: str) -> DataFrame:
+    """Exact median per card; cards without any value are absent.
+
+    Rows are counted per (card, value) first, and running sums over the counts show where the middle lies, so
+    no buffer holds a card's values.
+    """
+    card = W.partitionBy("card_no")
+    counts = enriched.filter(F.col(value).isNotNull()).groupBy("card_no", value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(card.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(card)})
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place), F.col(value)))
+
+    last = F.col("_n") - 1
+    return placed.groupBy("card_no").agg(
+        ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2.0).alias(name))
 
 
 def last_row_measures() -> list[Column]:
@@ -96,12 +108,14 @@ LAST_K_PARTIES = {"last3_n_cp": 3, "last20_n_cp": 20, "last10_n_cntrprt": 10}
 
 
 def gap_stats(enriched: DataFrame) -> DataFrame:
-    return enriched.groupBy("card_no").agg(*gap_measures(), median_measures()[0])
+    return enriched.groupBy("card_no").agg(*gap_measures()).join(
+        middle_value(enriched, "gap_sec", "gap_median"), "card_no", "left")
 
 
 def fast_in_out(enriched: DataFrame) -> DataFrame:
     """Seconds from the latest inflow to each outflow."""
-    return enriched.groupBy("card_no").agg(*wait_measures(), median_measures()[1])
+    return enriched.groupBy("card_no").agg(*wait_measures()).join(
+        middle_value(enriched, "out_after_in_sec", "fio_median"), "card_no", "left")
 
 
 def io_flips(enriched: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def own_blocks(part: Part, channel_names: dict[str, str], summary_names: dict[st
         by_card(
             enriched,
             *flow.flow_measures(),
-            *flow.balance_measures(F.max(F.when(F.col("rn_end") == 0, F.col("acct_bal")))),
+            *flow.balance_measures(),
             *flow.mix_measures(), *flow.amount_measures(), *flow.calendar_measures(),
         ),
         by_card(
@@ -174,7 +174,8 @@ def own_blocks(part: Part, channel_names: dict[str, str], summary_names: dict[st
             *sequence.last_row_measures(), *sequence.last_k_measures(),
             *sequence.balance_path_measures(),
         ),
-        by_card(enriched, *sequence.median_measures()),
+        sequence.middle_value(enriched, "gap_sec", "gap_median"),
+        sequence.middle_value(enriched, "out_after_in_sec", "fio_median"),
         by_card(
             pairs,
             *counterparty.party_count_measures(), *counterparty.top_party_measures(),

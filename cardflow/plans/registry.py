@@ -67,6 +67,11 @@ class Inputs:
     def txn(self) -> DataFrame:
         return self.data.txn
 
+    @cached_property
+    def written(self) -> DataFrame:
+        """Transactions written once, for queries that read them several times."""
+        return materialize(self.txn, "txn")
+
     @cached_property
     def enriched(self) -> DataFrame:
         return enrich(self.txn)
@@ -212,18 +217,21 @@ def _edge_variants(i: Inputs) -> DataFrame:
 
 
 def _card_ratios(i: Inputs) -> DataFrame:
+    rows = materialize(i.enriched, "enriched")
+    by_card = lambda df, *measures: df.groupBy("card_no").agg(*measures)
     blocks = [
-        flow.flow_aggregates(i.txn), flow.balance_aggregates(i.txn), flow.mix_shares(i.txn),
-        daily.day_lookbacks(i.days), daily.last_day(i.days), sequence.last_k(i.txn),
-        counterparty.after_last_inflow(i.pairs), counterparty.second_lookbacks(i.pairs),
+        by_card(rows, *flow.flow_measures(), *flow.balance_measures(), *sequence.flip_measures(), *sequence.last_k_measures()),
+        by_card(counterparty.pair_summary(rows), *counterparty.party_count_measures(),
+                *counterparty.after_inflow_measures(), *counterparty.second_lookback_measures()),
+        by_card(daily.daily(rows), codes.distinct_measure("n_days"), *daily.lookback_measures(), *daily.last_day_measures()),
     ]
     return matrix.card_ratios(matrix._join_blocks(blocks)).select("card_no", *matrix.RATIOS)
 
 
 def _wealth(i: Inputs) -> DataFrame:
     blocks = [
-        flow.flow_aggregates(i.txn), flow.balance_aggregates(i.txn),
-        static.static_profile(i.txn, i.data.card, i.data.cst, i.data.accno),
+        flow.flow_aggregates(i.written), flow.balance_aggregates(i.enriched),
+        static.static_profile(i.written, i.data.card, i.data.cst, i.data.accno),
         counterparty.inflow_detail(i.pairs, i.enriched),
     ]
     joined = matrix.wealth_ratios(matrix._join_blocks(blocks))
@@ -347,9 +355,9 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "label_normalise": _label_normalise,
     "card_anchor": lambda i: flow.card_anchor(i.txn, i.data.train, i.data.target),
     "enriched_txn": lambda i: i.enriched.select(*_TXN_COLUMNS),
-    "flow_aggregates": lambda i: flow.flow_aggregates(i.txn),
-    "balance_aggregates": lambda i: flow.balance_aggregates(i.txn),
-    "mix_shares": lambda i: flow.mix_shares(i.txn),
+    "flow_aggregates": lambda i: flow.flow_aggregates(i.written),
+    "balance_aggregates": lambda i: flow.balance_aggregates(i.enriched),
+    "mix_shares": lambda i: flow.mix_shares(i.written),
     "gap_stats": lambda i: sequence.gap_stats(i.enriched),
     "fast_in_out": lambda i: sequence.fast_in_out(i.enriched),
     "amount_shape": lambda i: flow.amount_shape(i.txn),
@@ -371,7 +379,7 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "daily_peak": lambda i: daily.daily_peak(i.days),
     "entropy": _entropies,
     "amount_repetition": lambda i: flow.amount_repetition(i.txn),
-    "counterparty_degree": lambda i: counterparty.counterparty_degree(i.txn),
+    "counterparty_degree": lambda i: counterparty.counterparty_degree(i.written),
     "sample_pair_share": lambda i: counterparty.sample_pair_share(i.txn),
     "after_last_inflow": lambda i: counterparty.after_last_inflow(i.pairs),
     "io_flips": lambda i: sequence.io_flips(i.enriched),
@@ -390,7 +398,7 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "exposure_all": lambda i: _whole_reference(i, "all"),
     "exposure_oof": lambda i: i.matched(exposure.TRAIN).drop("side"),
     "exposure_target_foldmatched": lambda i: i.matched(exposure.TARGET).drop("side"),
-    "sender_degree": lambda i: counterparty.sender_degree(i.txn),
+    "sender_degree": lambda i: counterparty.sender_degree(i.written),
     "inflow_detail": lambda i: counterparty.inflow_detail(i.pairs, i.enriched),
     "silence_anchor": lambda i: silence.anchor_date(i.txn),
     "silence_base": lambda i: silence.silence_base(i.enriched),
