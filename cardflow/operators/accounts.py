@@ -91,24 +91,31 @@ def _with_residuals(rows: DataFrame) -> DataFrame:
 
 
 def _ordinary_consistency(plain: DataFrame) -> DataFrame:
-    """One shuffle on the card serves the neighbours, all three rankings and both aggregations."""
-    rows = _with_residuals(_neighbours(plain.repartition("card_no"), ACCOUNT))
-
-    def at_quantile(value: str, group: list[str]) -> Column:
-        whole = W.partitionBy(*group)
-        rank = F.row_number().over(whole.orderBy(F.col(value).asc_nulls_last()))
-        wanted = F.round((F.count(value).over(whole) - 1) * F.lit(QUANTILE)) + 1
-        return F.when(rank == wanted, F.col(value))
+    """One shuffle on the card and one sort of its rows; the quantiles then rank counted values.
 
-    picked = rows.withColumns({
-        "_after": at_quantile("after", ACCOUNT),
-        "_before": at_quantile("before", ACCOUNT),
-        "_card": at_quantile("after", ["card_no"]),
-    })
+    A residual is counted per (account, side, value) first. Running counts over an account's or a card's values
+    show which one stands at the quantile, so no row is ranked.
+    """
+    rows = _with_residuals(_neighbours(plain.repartition("card_no"), ACCOUNT))
+    sides = F.explode(F.array(
+        F.struct(F.lit("after").alias("side"), F.col("after").alias("value"), F.col("rel").alias("rel")),
+        F.struct(F.lit("before").alias("side"), F.col("before").alias("value"), F.lit(None).cast("double").alias("rel"))))
+    counts = rows.select(*ACCOUNT, sides.alias("s")).select(*ACCOUNT, "s.*").groupBy(*ACCOUNT, "side", "value").agg(
+        F.count("value").alias("c"), F.sum("rel").alias("rel"), F.count("rel").alias("rel_n"))
+
+    def at_quantile(group: list[str]) -> Column:
+        whole = W.partitionBy(*group, "side")
+        upto = F.sum("c").over(
+            whole.orderBy(F.col("value").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow))
+        index = F.round((F.sum("c").over(whole) - 1) * F.lit(QUANTILE))
+        return F.when((upto > index) & (upto - F.col("c") <= index), F.col("value"))
+
+    picked = counts.withColumns({"_account": at_quantile(ACCOUNT), "_card": at_quantile(["card_no"])})
+    of_side = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     per_account = picked.groupBy(*ACCOUNT).agg(
-        F.least(F.max("_after"), F.max("_before")).alias("best"),
-        F.max("_card").alias("card_p90"),
-        F.sum("rel").alias("rel"), F.count("rel").alias("rel_n"),
+        F.least(of_side("after", "_account"), of_side("before", "_account")).alias("best"),
+        of_side("after", "_card").alias("card_p90"),
+        F.sum("rel").alias("rel"), F.sum("rel_n").alias("rel_n"),
     )
     return per_account.groupBy("card_no").agg(
         safe_div(F.sum("rel"), F.sum("rel_n")).alias("AB_relresid_after_mean"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cardflow import constants as K
 from cardflow.operators import codes, counterparty, crossfit, daily, flow, folds, sequence
-from cardflow.operators.timeline import enrich
+from cardflow.operators.timeline import enrich, heavy_cards
 from cardflow.plans import matrix, oracles
 from cardflow.plans.registry import SETTINGS
 from cardflow.sources.store import bucket_count, materialize, materialize_by_key
@@ -15,6 +15,10 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffles(plan: str) -> int:
+    return plan.count("Exchange ") - plan.count("BroadcastExchange ")
+
+
 @pytest.fixture(scope="module")
 def enriched(data):
     return materialize_by_key(enrich(data.txn), "enriched", "card_no", 8)
@@ -39,7 +43,7 @@ def test_blocks_on_bucketed_rows_shuffle_nothing(enriched):
         daily.day_lookbacks(daily.daily(enriched)),
         codes.entropy(summary, "h"),
     ):
-        assert "Exchange" not in plan_of(block)
+        assert shuffles(plan_of(block)) == 0
 
 
 def test_bucket_count_divides_the_shuffle_partitions(spark):
@@ -58,6 +62,40 @@ def test_pair_summary_hash_aggregates(enriched):
     assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 
+def test_residuals_sort_rows_once(enriched):
+    from cardflow.operators import accounts
+
+    plan = plan_of(accounts.balance_consistency(enriched))
+    # The plan reads upwards: what stands below the lowest aggregation works on rows.
+    of_rows = plan[plan.rindex("HashAggregate"):]
+    assert shuffles(plan) == 0 and of_rows.count("Sort ") == 1 and plan.count("Sort ") <= 3
+
+
+def test_medians_and_balances_hash_aggregate(enriched):
+    for block in (sequence.gap_stats(enriched), sequence.fast_in_out(enriched), flow.balance_aggregates(enriched)):
+        plan = plan_of(block)
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and shuffles(plan) == 0
+
+
+def test_one_heavy_card_leaves_the_others_bucketed(data):
+    biggest = data.txn.groupBy("card_no").count().orderBy(F.desc("count")).first()["count"]
+    busy = heavy_cards(data.txn, biggest - 1)
+    parts = matrix.card_parts(data.txn, busy, lambda df, name: materialize_by_key(df, name, "card_no", 8))
+    assert len(parts) == 2 and parts[1].enriched.select("card_no").distinct().count() == busy.count() > 0
+    ordinary = parts[0]
+    for block in (
+        matrix.own_blocks(ordinary, {"0001": "ch0001_share"}, {"0001": "smy_0001_share"}),
+        accounts_of(ordinary),
+    ):
+        assert shuffles(plan_of(block)) == 0
+
+
+def accounts_of(part):
+    from cardflow.operators import accounts
+
+    return accounts.balance_consistency(part.enriched, part.heavy)
+
+
 def test_scans_are_pruned_and_filters_pushed(spark, data):
     txn = materialize(data.txn, "txn")
     plan = plan_of(counterparty.counterparty_degree(txn))
