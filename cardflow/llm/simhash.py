@@ -275,5 +275,7 @@ def keep_one(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     # Smallest row of each fingerprint before the join, then of each component.
     kept = slim.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = materialize(kept.select(F.col("first.row").alias(row)), "kept-rows")
-    return marked.join(kept, row, "left_semi").drop(row, fp)
+    # The dropped rows are far fewer than the kept ones: while they are small, no text is shuffled.
+    dropped = slim.select("row").join(kept.select("first.row"), "row", "left_anti")
+    dropped = materialize(dropped.withColumnRenamed("row", row), "dropped-rows")
+    return marked.join(dropped, row, "left_anti").drop(row, fp)
