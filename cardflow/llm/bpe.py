@@ -28,7 +28,7 @@ from cardflow.llm.common import BATCH_BYTES, extend
 
 LEAF = 24
 # Encoded pieces a worker remembers, and the longest one.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 SHORT = 32
 SHIFT = 20
 

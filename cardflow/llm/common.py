@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Text bytes handed to a compute function at once; one longer text comes alone.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,14 +61,21 @@ def _halves(keys: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """(doc, a, b): the distinct keys of every row."""
+def line_keys(docs: DataFrame, known: Broadcast | None = None, shards: int = 1) -> DataFrame:
+    """(doc, a, b): the distinct keys of every row; with `known` (joined filters, their lengths and offsets in
+    buckets), only keys that the filter of their shard holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded(batch, 1):
                 found = [list(keys_of(t)) for t in part.column(1).to_pylist()]
                 a, b = _halves([k for keys in found for k in keys])
                 doc = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(k) for k in found])
+                if known is not None:
+                    flat, lengths, offsets = known.value
+                    shard = a % shards
+                    held = cuckoo.contains(
+                        flat, a.view(np.uint64), b.view(np.uint64), (lengths - 1)[shard].astype(np.uint64), offsets[shard])
+                    doc, a, b = doc[held], a[held], b[held]
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a), pa.array(b)], names=["doc", "a", "b"])
 
     return docs.select(owner(F.col("doc_id")).alias("doc"), "text").mapInArrow(run, "doc long, a long, b long")
@@ -162,26 +170,14 @@ def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
 def suspects(docs: DataFrame, index: LineIndex, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc, a, b): lines the filters know, or all lines where the filters are too large to hold."""
     size = index.filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
-    keys = line_keys(docs)
     if size > filter_bytes:
-        return keys
+        return line_keys(docs)
     tables = {r["shard"]: np.frombuffer(r["slots"], np.uint16).reshape(-1, cuckoo.SLOTS) for r in index.filters.collect()}
     none = np.zeros((1, cuckoo.SLOTS), np.uint16)
     ordered = [tables.get(i, none) for i in range(index.shards)]
     lengths = np.array([len(t) for t in ordered])
     held = docs.sparkSession.sparkContext.broadcast((np.concatenate(ordered), lengths, np.cumsum(lengths) - lengths))
-    shards = index.shards
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, lengths, offsets = held.value
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy() for i in (1, 2))
-            shard = a % shards
-            known = cuckoo.contains(
-                flat, a.view(np.uint64), b.view(np.uint64), (lengths - 1)[shard].astype(np.uint64), offsets[shard])
-            yield batch.filter(pa.array(known))
-
-    return keys.mapInArrow(run, "doc long, a long, b long")
+    return line_keys(docs, held, index.shards)
 
 
 def dedup(docs: DataFrame, index: LineIndex, lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
