@@ -7,49 +7,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardflow.constants import INTERBANK
-from cardflow.functions.exprs import share, sum_where
+from cardflow.functions.exprs import count0, safe_div, share, sum_where
 from cardflow.operators.timeline import tail_rows
 
 
-def gap_measures() -> list[Column]:
-    gap = F.col("gap_sec")
-    return [
-        F.avg(gap).alias("gap_mean"),
-        F.min(gap).alias("gap_min"),
-        F.count_if(gap < 60).alias("n_burst60"),
-    ]
-
-
-def wait_measures() -> list[Column]:
-    wait = F.col("out_after_in_sec")
-    return [
-        F.min(wait).alias("fio_min"),
-        F.count_if(wait < 3600).alias("n_fastout_1h"),
-        F.count_if(wait < 86400).alias("n_fastout_1d"),
-    ]
-
-
 def flip_measures() -> list[Column]:
     return [F.count_if("io_flip").alias("n_io_flips")]
 
 
-def middle_value(enriched: DataFrame, value: str, name: str) -> DataFrame:
-    """Exact median per card; cards without any value are absent.
+def counted_values(enriched: DataFrame, value: str, median: str, measures: list[Column]) -> DataFrame:
+    """Exact median per card and `measures` over rows of (value, _c), null where a card has no value.
 
     Rows are counted per (card, value) first, and running sums over the counts show where the middle lies, so
-    no buffer holds a card's values.
+    no buffer holds a card's values and `enriched` is read once.
     """
     card = W.partitionBy("card_no")
-    counts = enriched.filter(F.col(value).isNotNull()).groupBy("card_no", value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(card.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(card)})
+    counts = enriched.groupBy("card_no", value).agg(F.count(value).alias("_c"))
+    in_order = card.orderBy(F.col(value).asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = counts.withColumns({"_upto": F.sum("_c").over(in_order), "_n": F.sum("_c").over(card)})
 
     def at(place: Column) -> Column:
         return F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place), F.col(value)))
 
     last = F.col("_n") - 1
-    return placed.groupBy("card_no").agg(
-        ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2.0).alias(name))
+    middle = (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2.0
+    return placed.groupBy("card_no").agg(*measures, middle.alias(median))
 
 
 def last_row_measures() -> list[Column]:
@@ -107,15 +89,23 @@ def balance_path_measures() -> list[Column]:
 LAST_K_PARTIES = {"last3_n_cp": 3, "last20_n_cp": 20, "last10_n_cntrprt": 10}
 
 
+def _rows_below(value: str, limit: int) -> Column:
+    return count0(F.when(F.col(value) < limit, F.col("_c")))
+
+
 def gap_stats(enriched: DataFrame) -> DataFrame:
-    return enriched.groupBy("card_no").agg(*gap_measures()).join(
-        middle_value(enriched, "gap_sec", "gap_median"), "card_no", "left")
+    """Seconds between neighbouring rows."""
+    return counted_values(enriched, "gap_sec", "gap_median", [
+        safe_div(F.sum(F.col("gap_sec") * F.col("_c")), F.sum("_c")).alias("gap_mean"),
+        F.min("gap_sec").alias("gap_min"), _rows_below("gap_sec", 60).alias("n_burst60")])
 
 
 def fast_in_out(enriched: DataFrame) -> DataFrame:
     """Seconds from the latest inflow to each outflow."""
-    return enriched.groupBy("card_no").agg(*wait_measures()).join(
-        middle_value(enriched, "out_after_in_sec", "fio_median"), "card_no", "left")
+    wait = "out_after_in_sec"
+    return counted_values(enriched, wait, "fio_median", [
+        F.min(wait).alias("fio_min"), _rows_below(wait, 3600).alias("n_fastout_1h"),
+        _rows_below(wait, 86400).alias("n_fastout_1d")])
 
 
 def io_flips(enriched: DataFrame) -> DataFrame:

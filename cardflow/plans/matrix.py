@@ -170,12 +170,12 @@ def own_blocks(part: Part, channel_names: dict[str, str], summary_names: dict[st
         ),
         by_card(
             enriched,
-            *sequence.gap_measures(), *sequence.wait_measures(), *sequence.flip_measures(),
+            *sequence.flip_measures(),
             *sequence.last_row_measures(), *sequence.last_k_measures(),
             *sequence.balance_path_measures(),
         ),
-        sequence.middle_value(enriched, "gap_sec", "gap_median"),
-        sequence.middle_value(enriched, "out_after_in_sec", "fio_median"),
+        sequence.gap_stats(enriched),
+        sequence.fast_in_out(enriched),
         by_card(
             pairs,
             *counterparty.party_count_measures(), *counterparty.top_party_measures(),
