@@ -1,10 +1,13 @@
 """Brown class-based n-grams: P(text) = product of P(class | class before) * P(word | class).
 
-Counts come from all training documents. The `CLUSTERED` commonest words are put into `CLASSES` classes by exchange
-clustering: starting from classes dealt by frequency, each word in turn moves to the class that most raises the likelihood
-of the class bigrams. All other words, known or not, share one more class, and the end of a text has
-its own, which is also the class before the first word. Emissions add `EMIT` to every known count and leave one such
-share for unknown words; class transitions mix relative frequencies with `MIX` of the class's own frequency.
+Counts come from all training documents, and every word in them gets a class. The number of classes grows with the number
+of distinct words. The commonest words seed the classes by exchange clustering: starting from classes dealt by frequency,
+each word in turn moves to the class that most raises the likelihood of the class bigrams. Every other word then joins, in
+tasks, the class under which the classes before and after all of its occurrences are likeliest; neighbours that are no
+seeds count there as one open class. Transitions and emissions are counted after that, over all tokens with their own
+classes. Words never counted share one more class, and the end of a text has its own, which is also the class before the
+first word. Emissions add `EMIT` to every known count; unknown words get one such share. Class transitions mix relative
+frequencies with `MIX` of the class's own frequency.
 
 Null and empty texts are just the end. Without training tokens every event has probability one in its vocabulary.
 """
@@ -25,9 +28,17 @@ from pyspark.sql import types as T
 from cardflow.llm.common import bounded, extend, fold_of
 from cardflow.sources.store import materialize
 
+# The least number of seeds and of classes; both grow with the number of distinct words.
 CLUSTERED = 2_000
 CLASSES = 64
+GROWTH = 0.375
+SEEDS_PER_CLASS = 4
 SWEEPS = 5
+# Text bytes whose contexts a task counts at once, and the entries it weighs at once.
+COUNTED = 8 << 20
+WEIGHED = 4_096
+# A context and its count in one number.
+SHIFT = 40
 # Words whose counts every task holds; others are looked up by a join.
 HELD = 200_000
 # Distinct entries a task gathers before it passes them on.
@@ -119,7 +130,10 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, classes: i
             table[old, old] -= loop
             rows, columns = table.sum(axis=1), table.sum(axis=0)
             # Gain of adding w to class c: row c gets `out`, column c gets `into`, the corner all of both.
-            gain = (xlogx(table + out) - xlogx(table)).sum(axis=1) + (xlogx(table + into[:, None]) - xlogx(table)).sum(axis=0)
+            after, before = np.flatnonzero(out), np.flatnonzero(into)
+            right, left = table[:, after], table[before]
+            gain = (xlogx(right + out[after]) - xlogx(right)).sum(axis=1)
+            gain += (xlogx(left + into[before, None]) - xlogx(left)).sum(axis=0)
             corner = np.diagonal(table)
             gain += xlogx(corner + out + into + loop) - xlogx(corner + out) - xlogx(corner + into) + xlogx(corner)
             gain -= xlogx(rows + out.sum() + loop) - xlogx(rows) + xlogx(columns + into.sum() + loop) - xlogx(columns)
@@ -136,131 +150,318 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, classes: i
     return own
 
 
+class Words(NamedTuple):
+    table: DataFrame  # word, n, class: every counted word
+    numbers: dict[bytes, int]  # the commonest words
+    counts: np.ndarray  # of each number
+    own: np.ndarray  # class of each number, of unknown words and of END
+    tokens: int
+    distinct: int
+    end: int  # count of END
+
+
 class ClassModel(NamedTuple):
-    numbers: dict[bytes, int]  # clustered words
-    own: np.ndarray  # class of each number, of the rest and of END
+    numbers: dict[bytes, int]  # the commonest words
+    own: np.ndarray  # class of each number, of unknown words and of END
     transition: np.ndarray  # log10 P(class | class before)
     emission: np.ndarray  # per class: count of its words, and of its distinct words
     tokens: int
     distinct: int
-    end: int  # count of END
 
 
 class Learned(NamedTuple):
-    vocabulary: DataFrame  # word, n
+    words: Words
     model: ClassModel
-    held: dict[bytes, int]  # counts of the commonest words
 
 
-def common_words(vocabulary: DataFrame, held: int) -> dict[bytes, int]:
-    """The commonest words with their counts, `held` at most: all from that count on which so few words reach.
+def level() -> Column:
+    return F.floor(F.log2("n") * 8)
+
+
+def common_level(vocabulary: DataFrame, held: int) -> int | None:
+    """The least level that `held` words at most reach.
 
     Counts are binned by an eighth of a doubling, so nothing is sorted and no task gathers candidates of all others.
     """
-    level = F.floor(F.log2("n") * 8)
-    bins = vocabulary.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
+    bins = vocabulary.groupBy(level().alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
     room, least = held, None
     for r in sorted(bins, key=lambda r: -r["level"]):
         room -= r["words"]
         if room < 0:
             break
         least = r["level"]
-    if least is None:
-        return {}
-    top = vocabulary.filter(level >= least).toArrow()
-    return {w.encode(): n for w, n in zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)}
+    return least
+
+
+def smoothed(table: np.ndarray, rest: int | None = None) -> np.ndarray:
+    """P(class | class before). Every class gets a little of its own, so that no transition is impossible."""
+    size = len(table)
+    if rest is not None:
+        # Unknown words have no counts: their one share is spread as the tokens are.
+        table = table.copy()
+        table[:, rest] += EMIT * table.sum(axis=1) / max(1, table.sum())
+    share = (table.sum(axis=0) + 1) / (table.sum() + size)
+    rows = table.sum(axis=1, keepdims=True)
+    return (1 - MIX) * np.divide(table, rows, out=np.tile(share, (size, 1)), where=rows > 0) + MIX * share
+
+
+def contexts(docs: DataFrame, numbers: dict[bytes, int], own: np.ndarray) -> DataFrame:
+    """(word, around) of all words without a number: how often each class stands before (0 ..) and after (size ..) it."""
+    held = docs.sparkSession.sparkContext.broadcast((numbers, own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, classes = held.value
+        rest, end, size = len(number), len(number) + 1, int(classes[-1]) + 1
+        for batch in batches:
+            for part in bounded(batch, 0, COUNTED):
+                others: dict[bytes, int] = {}
+                row: list[int] = [end]
+                for text in part.column(0).to_pylist():
+                    for w in words_of(text):
+                        at = number.get(w)
+                        row.append(end + 1 + others.setdefault(w, len(others)) if at is None else at)
+                    row.append(end)
+                if not others:
+                    continue
+                at = np.array(row, np.int64)
+                around = classes[np.where(at > end, rest, at)]
+                where = np.flatnonzero(at > end)
+                word = (at[where] - end - 1) * (2 * size)
+                keys, n = np.unique(np.concatenate([word + around[where - 1], word + size + around[where + 1]]), return_counts=True)
+                offsets = np.searchsorted(keys, np.arange(len(others) + 1) * (2 * size)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(others), pa.binary()).cast(pa.string()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array((keys % (2 * size) << SHIFT) + n))],
+                    names=["word", "around"])
+
+    return docs.select("text").mapInArrow(run, "word string, around array<long>")
 
 
-def learn(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, held: int = HELD) -> Learned:
-    """Counts over all of `docs`; to the driver come `held` words and pairs of `clustered` words at most."""
+def best_classes(around: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, n, class) of all words of `contexts`, given the transition counts of the seeds' classes.
+
+    A word's rows come one after the other, so a task holds the batch and the sums of its last word.
+    """
+    size = len(table)
+    moves = np.log10(smoothed(table))
+    weights = np.concatenate([moves, moves.T])[:, : size - 2]
+    held = around.sparkSession.sparkContext.broadcast((weights, np.log10(table.sum(axis=0)[: size - 2] + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, mass = held.value
+        width = len(weights)
+
+        def choose(words: list[str], keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            starts = np.searchsorted(keys, np.arange(len(words) + 1) * width)
+            times = np.add.reduceat(np.where(keys % width < width // 2, n, 0), starts[:-1])
+            best, at = np.zeros(len(words), np.int32), 0
+            while at < len(words):
+                to = max(at + 1, int(np.searchsorted(starts, starts[at] + WEIGHED, side="right")) - 1)
+                own = slice(starts[at], starts[to])
+                sums = np.add.reduceat(weights[keys[own] % width] * n[own, None], starts[at:to] - starts[at], axis=0)
+                # Rounded, so that equal classes stay equal: the first wins.
+                best[at:to] = np.argmax(np.round(sums - times[at:to, None] * mass, 9), axis=1)
+                at = to
+            return pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array(times.astype(np.int64)), pa.array(best)], names=["word", "n", "class"])
+
+        open_word, open_keys, open_n = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            names, lists = batch.column(0).to_pylist(), batch.column(1)
+            packed = lists.flatten().to_numpy()
+            lengths = np.diff(lists.offsets.to_numpy())
+            words: list[str] = [] if open_word is None else [open_word]
+            group = []
+            for name in names:
+                if not words or words[-1] != name:
+                    words.append(name)
+                group.append(len(words) - 1)
+            keys = np.concatenate([open_keys, np.repeat(np.array(group, np.int64), lengths) * width + (packed >> SHIFT)])
+            keys, back = np.unique(keys, return_inverse=True)
+            n = np.bincount(back, np.concatenate([open_n, packed & (1 << SHIFT) - 1]), len(keys)).astype(np.int64)
+            last = int(np.searchsorted(keys, (len(words) - 1) * width))
+            if len(words) > 1:
+                yield choose(words[:-1], keys[:last], n[:last])
+            open_word, open_keys, open_n = words[-1], keys[last:] % width, n[last:]
+        if open_word is not None:
+            yield choose([open_word], open_keys, open_n)
+
+    return around.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n long, class int")
+
+
+def classify(docs: DataFrame, clustered: int | None = None, classes: int | None = None, held: int = HELD) -> Words:
+    """A class for every word of `docs`; to the driver come `held` words and pairs of the seeds at most."""
+    spark = docs.sparkSession
     vocabulary = materialize(word_counts(docs), "vocabulary")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    counts = common_words(vocabulary, held)
+    end = int(vocabulary.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0)
+    classes = classes or max(CLASSES, int(distinct**GROWTH))
+    clustered = clustered or max(CLUSTERED, SEEDS_PER_CLASS * classes)
+    least = common_level(vocabulary, held)
+    common = F.lit(False) if least is None else level() >= least
+    top = vocabulary.filter(common & (F.col("word") != END)).toArrow()
+    counts = {w.encode(): n for w, n in zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)}
     words = sorted(counts, key=lambda w: (-counts[w], w))
-    numbers = {w: i for i, w in enumerate([w for w in words if w != END.encode()][:clustered])}
-    pairs = pair_counts(docs, numbers).toArrow()
+    seeds = {w: i for i, w in enumerate(words[:clustered])}
+    pairs = pair_counts(docs, seeds).toArrow()
     a, b, n = (pairs.column(c).to_numpy() for c in ("a", "b", "n"))
     order = np.lexsort((b, a))
     a, b, n = a[order], b[order], n[order].astype(float)
-    own = exchange(a, b, n, len(numbers), min(classes, max(1, len(numbers))), SWEEPS)
-    size = int(own.max()) + 1
+    own = exchange(a, b, n, len(seeds), min(classes, max(1, len(seeds))), SWEEPS)
+    size = int(own[-1]) + 1
     table = np.zeros((size, size))
     np.add.at(table, (own[a], own[b]), n)
-    # Every class gets a little of its own, so that no transition is impossible.
-    share = (table.sum(axis=0) + 1) / (table.sum() + size)
-    rows = table.sum(axis=1, keepdims=True)
-    mixed = (1 - MIX) * np.divide(table, rows, out=np.tile(share, (size, 1)), where=rows > 0) + MIX * share
+    chosen = spark.createDataFrame(
+        [(w.decode(), counts[w], int(own[i])) for w, i in seeds.items()], "word string, n long, class int")
+    known = materialize(best_classes(contexts(docs, seeds, own), table).unionByName(chosen), "classes")
+    top = known.filter(common).select("word", "class").toArrow()
+    class_of = dict(zip(top.column("word").to_pylist(), top.column("class").to_pylist(), strict=True))
+    return Words(
+        known, {w: i for i, w in enumerate(words)}, np.array([counts[w] for w in words], np.int64),
+        np.array([*(class_of[w.decode()] for w in words), size - 2, size - 1], np.int64), tokens, distinct, end)
+
+
+class Placed(NamedTuple):
+    rows: DataFrame  # place, doc_id, learned, n_tokens, n_held, base, emitted, moves (between held words, as class * size + class)
+    tails: DataFrame  # place, learned, times, n, class, moves: of all other words
+
+
+def place(docs: DataFrame, words: Words, learned: Column) -> Placed:
+    """All class moves of every row. Moves between held words are found where the row is; others by joins on the words."""
+    sent = docs.sparkSession.sparkContext.broadcast((words.numbers, words.counts, words.own))
+    base_total = math.log10(words.tokens + 0.5 * (words.distinct + 1))
+    end_count, size = words.end, int(words.own[-1]) + 1
+    tail = T.StructType([T.StructField("word", T.StringType()), T.StructField("times", T.IntegerType()),
+                         T.StructField("around", T.ArrayType(T.IntegerType()))])
+    link = T.StructType([T.StructField("first", T.StringType()), T.StructField("second", T.StringType())])
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_held", T.LongType()), T.StructField("base", T.DoubleType()),
+              T.StructField("emitted", T.ArrayType(T.IntegerType())), T.StructField("moves", T.ArrayType(T.IntegerType())),
+              T.StructField("tail", T.ArrayType(tail)), T.StructField("links", T.ArrayType(link))]
+
+    def lists(each: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each).astype(np.int32) if each else [], pa.int32()))
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        numbers, counts, own = sent.value
+        unheld, end = len(numbers), len(numbers) + 1
+        class_of = own.copy()
+        class_of[unheld] = -1
+        n_of = np.concatenate([counts, [0, end_count]])
+        lengths, known, base, emitted, moves, tails, links = [], [], [], [], [], [], []
+        for text in texts.to_pylist():
+            tokens = words_of(text)
+            at = np.array([end, *(numbers.get(w, unheld) for w in tokens), end])
+            c = class_of[at]
+            both = (c[:-1] >= 0) & (c[1:] >= 0)
+            inside = at[1:-1][at[1:-1] != unheld]
+            lengths.append(len(tokens) + 1)
+            known.append(len(inside) + (end_count > 0))
+            base.append(float(np.log10(n_of[inside] + 0.5).sum() + math.log10(end_count + 0.5) - (len(tokens) + 1) * base_total))
+            emitted.append(inside)
+            moves.append((c[:-1] * size + c[1:])[both])
+            around: dict[bytes, list[int]] = {}
+            linked = []
+            for i in np.flatnonzero(at == unheld).tolist():
+                own_around = around.setdefault(tokens[i - 1], [0])
+                own_around[0] += 1
+                if c[i - 1] >= 0:
+                    own_around.append(int(c[i - 1]))
+                if c[i + 1] >= 0:
+                    own_around.append(size + int(c[i + 1]))
+                else:
+                    linked.append({"first": tokens[i - 1].decode(), "second": tokens[i].decode()})
+            tails.append([{"word": w.decode(), "times": x[0], "around": x[1:]} for w, x in around.items()])
+            links.append(linked)
+        arrow = [pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32()), ("around", pa.list_(pa.int32()))])),
+                 pa.list_(pa.struct([("first", pa.string()), ("second", pa.string())]))]
+        return [pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), lists(emitted), lists(moves),
+                pa.array(tails, arrow[0]), pa.array(links, arrow[1])]
+
+    rows = materialize(
+        extend(docs.select("doc_id", "text", learned.alias("learned")), fields, compute).drop("text")
+        .withColumn("place", F.monotonically_increasing_id()), "placed")
+    table, rest, wide = words.table, F.lit(size - 2), F.lit(size)
+    single = rows.select("place", "learned", F.explode("tail").alias("each")).select("place", "learned", "each.*")
+    found = single.join(table, "word", "left").withColumn("class", F.coalesce("class", rest))
+    turned = F.transform("around", lambda x: F.when(x < wide, x * wide + F.col("class")).otherwise(F.col("class") * wide + x - wide))
+    joined = rows.select("place", "learned", F.explode("links").alias("each")).select("place", "learned", "each.*")
+    for side in ("first", "second"):
+        joined = joined.join(table.select(F.col("word").alias(side), F.col("class").alias(f"{side}_class")), side, "left")
+    code = F.coalesce("first_class", rest) * wide + F.coalesce("second_class", rest)
+    tails = found.select("place", "learned", "times", F.coalesce("n", F.lit(0)).alias("n"), "class", turned.alias("moves")).unionByName(
+        joined.select("place", "learned", F.lit(0).alias("times"), F.lit(0).cast("long").alias("n"), rest.alias("class"), F.array(code).alias("moves")))
+    return Placed(rows.drop("tail", "links"), materialize(tails, "tails"))
+
+
+def fit(placed: Placed, words: Words) -> ClassModel:
+    """Transitions and emissions over all tokens of the rows to learn from, each with its own class."""
+    size = int(words.own[-1]) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = np.zeros(size * size, np.int64)
+        for batch in batches:
+            counted += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size * size)
+        at = np.flatnonzero(counted)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counted[at])], names=["move", "n"])
+
+    moves = placed.rows.filter("learned").select("moves").unionByName(placed.tails.filter("learned").select("moves"))
+    counts = moves.mapInArrow(run, "move long, n long").groupBy("move").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(size * size)
+    table[counts.column("move").to_numpy()] = counts.column("n").to_numpy()
     emission = np.zeros((size, 2))
-    by_number = np.zeros(len(own))
-    for w, i in numbers.items():
-        by_number[i] = counts[w]
-    np.add.at(emission, (own[: len(numbers)], 0), by_number[: len(numbers)])
-    np.add.at(emission, (own[: len(numbers)], 1), 1)
-    end = int(vocabulary.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0)
-    emission[own[-2]] = tokens - end - by_number.sum(), max(0, distinct - len(numbers) - (end > 0))
-    return Learned(vocabulary, ClassModel(numbers, own, np.log10(mixed), emission, tokens, distinct, end), counts)
+    for r in words.table.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        emission[r["class"]] = r["n"], r["words"]
+    return ClassModel(words.numbers, words.own, np.log10(smoothed(table.reshape(size, size), size - 2)), emission,
+                      words.tokens, words.distinct)
 
 
-def _fields() -> list[T.StructField]:
-    pair = T.StructType([T.StructField("word", T.StringType()), T.StructField("times", T.IntegerType())])
-    return [T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
-            T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()),
-            T.StructField("tail", T.ArrayType(pair))]
+def learn(docs: DataFrame, clustered: int | None = None, classes: int | None = None, held: int = HELD) -> Learned:
+    """Classes and counts over all of `docs`. `clustered` seeds and `classes` classes; by default both follow the vocabulary."""
+    words = classify(docs, clustered, classes, held)
+    return Learned(words, fit(place(docs, words, F.lit(True)), words))
 
 
-def score(docs: DataFrame, learned: Learned) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts.
+def score(placed: Placed, learned: Learned) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts."""
+    words, model = learned
+    size = len(model.transition)
+    divisor = np.log10(EMIT * (model.emission[:, 1] + (np.arange(size) == size - 2)).clip(1) + model.emission[:, 0])
+    of_held = np.log10(words.counts + EMIT) - divisor[words.own[:-2]]
+    sent = placed.rows.sparkSession.sparkContext.broadcast((model.transition.ravel(), of_held, divisor))
 
-    Class transitions and the counts of held words are summed where the row is; other words go to the
-    vocabulary table by a join, as (row, word, times).
-    """
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast((learned.model, learned.held))
-    tokens, distinct = learned.model.tokens, learned.model.distinct
-    base_total = math.log10(tokens + 0.5 * (distinct + 1))
-    own, emission = learned.model.own, learned.model.emission
-    rest = int(own[-2])
-    divisor = np.log10(emission[:, 0] + EMIT * (emission[:, 1] + (np.arange(len(emission)) == rest)).clip(1))
-    rest_total = float(divisor[rest])
+    def sums(values: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+        ends = np.concatenate([[0], np.cumsum(values[lists.flatten().to_numpy()])])
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ends[offsets[1:]] - ends[offsets[:-1]]
 
-    def compute(texts: pa.Array) -> list[pa.Array]:
-        model, held = sent.value
-        unclustered = len(model.numbers)
-        lengths, known, base, total, tails = [], [], [], [], []
-        for text in texts.to_pylist():
-            words = words_of(text)
-            numbers = np.array([unclustered + 1, *(model.numbers.get(w, unclustered) for w in words), unclustered + 1])
-            classes = model.own[numbers]
-            moves = model.transition[classes[:-1], classes[1:]].sum()
-            counts = np.array([held.get(w, 0) for w in words] + [model.end])
-            found = counts > 0
-            found[-1] = True
-            base_sum = np.log10(counts[found] + 0.5).sum() - len(counts) * base_total
-            inside = found[:-1]
-            emitted = (np.log10(counts[:-1][inside] + EMIT) - divisor[classes[1:-1][inside]]).sum()
-            lengths.append(len(counts))
-            known.append(int((counts > 0).sum()))
-            base.append(float(base_sum))
-            total.append(float(moves + emitted))
-            tails.append([{"word": w.decode(), "times": n} for w, n in Counter(
-                w for w, ok in zip(words, inside.tolist(), strict=True) if not ok).items()])
-        return [pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(total, pa.float64()),
-                pa.array(tails, pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())])))]
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, emitted, _ = sent.value
+        for batch in batches:
+            total = sums(transition, batch.column("moves")) + sums(emitted, batch.column("emitted"))
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("doc_id"), batch.column("n_tokens"),
+                                              batch.column("n_held"), batch.column("base"), pa.array(total)],
+                                             names=["place", "doc_id", "n_tokens", "n_held", "base", "model"])
 
-    rows = materialize(
-        extend(docs.select("doc_id", "text"), _fields(), compute).drop("text").withColumn("place", F.monotonically_increasing_id()),
-        "scored")
-    tail = rows.select("place", F.explode("tail").alias("each")).select("place", "each.word", "each.times")
-    looked = tail.join(learned.vocabulary, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = looked.groupBy("place").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_tail"),
-        F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("base_tail"),
-        F.sum(F.col("times") * (F.log10(F.col("n") + EMIT) - F.lit(rest_total))).alias("model_tail"))
+    def of_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, _, each = sent.value
+        for batch in batches:
+            times, n, own = (batch.column(c).to_numpy() for c in ("times", "n", "class"))
+            total = sums(transition, batch.column("moves")) + times * (np.log10(n + EMIT) - each[own])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("place"), pa.array(times.astype(np.int64) * (n > 0)), pa.array(times * np.log10(n + 0.5)), pa.array(total)],
+                names=["place", "known_tail", "base_tail", "model_tail"])
+
+    kind = placed.rows.schema["doc_id"].dataType.simpleString()
+    rows = placed.rows.select("place", "doc_id", "n_tokens", "n_held", "base", "emitted", "moves").mapInArrow(
+        of_rows, f"place long, doc_id {kind}, n_tokens long, n_held long, base double, model double")
+    tails = placed.tails.select("place", "times", "n", "class", "moves").mapInArrow(
+        of_tails, "place long, known_tail long, base_tail double, model_tail double").groupBy("place").agg(
+        *(F.sum(c).alias(c) for c in ("known_tail", "base_tail", "model_tail")))
     none = F.lit(0)
-    return rows.drop("tail").join(sums, "place", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("known_tail", none)).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
+    return rows.join(tails, "place", "left").select(
+        "doc_id", "n_tokens", (F.col("n_held") + F.coalesce("known_tail", none)).alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base_tail", none)).alias("base_score"),
         (F.col("model") + F.coalesce("model_tail", none)).alias("score"))
 
@@ -269,10 +470,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold_of(doc_id, 5) == 1, F.lit(False))
 
 
-def score_corpus(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, held: int = HELD) -> DataFrame:
+def score_corpus(docs: DataFrame, clustered: int | None = None, classes: int | None = None, held: int = HELD) -> DataFrame:
     """Learn from four of five folds of the ids (a null id is learned from) and score all rows."""
     rows = docs.select("doc_id", "text")
-    learned = learn(rows.filter(~held_out(F.col("doc_id"))), clustered, classes, held)
-    scored = score(rows, learned)
+    inside = ~held_out(F.col("doc_id"))
+    words = classify(rows.filter(inside), clustered, classes, held)
+    placed = place(rows, words, inside)
+    scored = score(placed, Learned(words, fit(placed, words)))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                          "base_score", "score")

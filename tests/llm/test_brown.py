@@ -56,6 +56,45 @@ def test_probabilities_sum_to_one(spark):
             assert (model.emission[c, 0], model.emission[c, 1]) == (sum(words), len(words))
 
 
+def test_every_counted_word_has_a_class_and_moves_are_counted_with_it(spark):
+    docs, pairs = both(spark)
+    counts = Counter(t for _, text in pairs for t in tokens(text))
+    ends = counts.pop("END OF TEXT")
+    for held in (brown.HELD, 40):
+        words, model = brown.learn(docs, 30, 5, held)
+        rows = words.table.collect()
+        own = {r["word"]: r["class"] for r in rows}
+        assert {r["word"]: r["n"] for r in rows} == counts and len(rows) == len(counts)
+        assert set(own.values()) <= set(range(5)) and words.end == ends
+        table = np.zeros((7, 7))
+        for _, text in pairs:
+            row = [6, *(own[t] for t in tokens(text)[:-1]), 6]
+            np.add.at(table, (row[:-1], row[1:]), 1)
+        assert table.sum() == words.tokens
+        assert np.allclose(10**model.transition, brown.smoothed(table, 5), rtol=1e-12)
+
+
+def test_rare_words_follow_their_own_contexts(spark):
+    texts = [t for i in range(40) for t in (f"red apple one red a{i} one", f"blue berry two blue b{i} two")]
+    ids = [i for i in range(1000) if not out(i)]
+    asked = [i for i in range(1000) if out(i)][:2]
+    rows = [*zip(ids, texts), (asked[0], "red a3 one"), (asked[1], "red b3 one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (brown.HELD, 7):
+        found = {r["doc_id"]: r["score"] for r in brown.score_corpus(docs, clustered=6, classes=6, held=held).collect()}
+        assert found[asked[0]] > found[asked[1]] + 1
+
+
+def test_classes_and_seeds_grow_with_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(brown, "CLASSES", 2)
+    monkeypatch.setattr(brown, "CLUSTERED", 2)
+    sizes = []
+    for n in (20, 2000):
+        docs = spark.createDataFrame([(i, f"w{i} w{i * 7 % n}") for i in range(n)], "doc_id long, text string")
+        sizes.append(len(brown.learn(docs).model.transition) - 2)
+    assert 2 <= sizes[0] < sizes[1]
+
+
 def likelihood(a, b, n, own):
     size = own.max() + 1
     table = np.zeros((size, size))
