@@ -228,13 +228,15 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     return docs.mapInArrow(run, schema)
 
 
-def encode_corpus(docs: DataFrame, path: str) -> DataFrame:
+def encode_corpus(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 of every row.
 
-    Encoding, decoding and digests of a text happen in one Python worker, so ids never travel.
+    With `keep`, the ids and the decoded text come before the digests. Encoding, decoding and digests of a text happen
+    in one Python worker, so without `keep` ids never travel.
     """
     held = docs.sparkSession.sparkContext.broadcast(read_spec(path))
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+    kept = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())] if keep else []
+    fields = [T.StructField("n_tokens", T.LongType()), *kept, T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]
 
     def compute(texts: pa.Array) -> list[pa.Array]:
@@ -243,6 +245,7 @@ def encode_corpus(docs: DataFrame, path: str) -> DataFrame:
         values, bounds = np.ascontiguousarray(ids.values.to_numpy(), "<u4"), ids.offsets.to_numpy().tolist()
         spans = list(zip(bounds[:-1], bounds[1:], strict=True))
         return [pa.array([b - a for a, b in spans], pa.int64()),
+                *([ids, pa.array(decoded, pa.string())] if keep else []),
                 pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in spans], pa.string()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string())]
 

@@ -44,8 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, decoded and the digests of both: what a trainer reads and what checks it."""
-    return bpe.encode_corpus(docs, vocabulary_path())
+    """doc_id, n_tokens, ids, decoded and the digests of both: what a trainer reads and what checks it."""
+    return bpe.encode_corpus(docs, vocabulary_path(), keep=True)
 
 
 STAGES = [

@@ -1,17 +1,20 @@
 """Registered queries against SQL, and the pipeline's stages one by one."""
 
+import hashlib
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from comparing import differences
-from llm_cases import empty, frame
+from llm_cases import as_rows, empty, frame
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
 from cardflow.llm import decontam, line_dedup, simhash
 from cardflow.llm.oracles import ORACLES
+from cardflow.llm.queries import vocabulary_path
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -81,6 +84,20 @@ def test_near_duplicate_stage_keeps_the_smallest_of_each_group(spark):
     assert kept == {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
 
 
+def test_encoding_stage_keeps_ids_and_texts_of_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(vocabulary_path())
+    docs = frame(spark)
+    expected = []
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        expected.append((r["doc_id"], len(ids), ids, decoded, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                         hashlib.sha256(decoded.encode()).hexdigest()))
+    found = as_rows(stage("encoding")(spark, docs, SMALL), "doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
+    assert found == sorted(expected, key=repr)
+
+
 def test_whole_run(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, function in corpus_pipeline.STAGES:
