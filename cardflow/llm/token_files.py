@@ -34,12 +34,13 @@ from cardflow.llm.bpe import byte_symbols, read_spec
 from cardflow.llm.common import bounded
 from cardflow.sources.store import materialize, shared_folder
 
-# Text bytes encoded at once, characters of one text split at once and chunks looked up at once, chunks a worker
-# remembers, documents read back at once.
+# Text bytes encoded at once, characters of one text split at once and chunks looked up at once, chunks and plain words a
+# worker remembers, documents read back at once.
 BATCH_BYTES = 4 << 20
 WINDOW = 1 << 20
 FLUSHED = 500_000
 REMEMBERED = 300_000
+REMEMBERED_WORDS = 400_000
 READ_DOCS = 50_000
 END_ID = 2
 # Plain words of Latin letters, perhaps with one mark after them: one or two pieces under any word vocabulary.
@@ -84,34 +85,41 @@ class Encoder:
         self.by_chunk = (
             steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") is True
             and not any(re.search(r"\s", t["content"]) for t in parsed["added_tokens"]))
+        self.words: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.words = Numbered(), {}
+        self.numbers = Numbered()
         self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.starts = self.counts
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words.clear()
 
-    def word(self, text: str) -> list[int]:
-        """Ids of one piece: lower-case Latin letters, or one mark."""
-        if text not in self.words:
-            symbols = "".join(self.stand_in[b] for b in text.encode())
-            self.words[text] = [token.id for token in self.library.model.tokenize(symbols)]
-        return self.words[text]
+    def word(self, text: str) -> bytes:
+        """Ids of one piece, lower-case Latin letters or one mark, as 32-bit integers."""
+        symbols = text if text.isascii() else "".join(map(self.stand_in.__getitem__, text.encode()))
+        self.words[text] = found = np.array([token.id for token in self.library.model.tokenize(symbols)], "<u4").tobytes()
+        return found
 
     def remember(self) -> None:
         """Encodes the pending chunks: plain ones from their pieces, all others as the library does."""
         chunks, self.numbers.pending = self.numbers.pending, []
-        plain = [PLAIN.fullmatch(c) for c in chunks]
-        odd = [c for c, p in zip(chunks, plain, strict=True) if not p]
-        others = iter(self.library.encode_batch_fast(odd, add_special_tokens=False))
-        flat: list[int] = []
-        counts = []
-        for p in plain:
-            ids = next(others).ids if p is None else [i for piece in (p[1].lower(), p[2]) if piece for i in self.word(piece)]
-            counts.append(len(ids))
-            flat += ids
-        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
+        words, word, odd = self.words.get, self.word, []
+        made: list[bytes] = []
+        for chunk in chunks:
+            plain = PLAIN.fullmatch(chunk)
+            if not plain:
+                odd.append(len(made))
+                made.append(b"")
+                continue
+            letters, mark = plain[1].lower(), plain[2]
+            ids = words(letters) or word(letters)
+            made.append(ids + (words(mark) or word(mark)) if mark else ids)
+        coded = self.library.encode_batch_fast([chunks[i] for i in odd], add_special_tokens=False)
+        for i, own in zip(odd, coded, strict=True):
+            made[i] = np.array(own.ids, "<u4").tobytes()
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+        self.counts = np.concatenate([self.counts, np.fromiter(map(len, made), np.int64, len(made)) // 4])
         self.starts = np.cumsum(self.counts) - self.counts
 
     def expand(self, at: np.ndarray) -> np.ndarray:

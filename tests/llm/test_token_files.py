@@ -65,6 +65,7 @@ def test_windows_and_forgetting_change_nothing(spark, library, monkeypatch):
     monkeypatch.setattr(token_files, "WINDOW", 50)
     monkeypatch.setattr(token_files, "FLUSHED", 90)
     monkeypatch.setattr(token_files, "REMEMBERED", 60)
+    monkeypatch.setattr(token_files, "REMEMBERED_WORDS", 200)
     own = token_files.Encoder(token_files.read_spec(vocabulary_path()))
     for at in range(0, len(texts), 7):
         parts = list(own.encode(texts[at : at + 7]))
