@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardflow.llm import decontam, line_dedup, secret_scan
+from cardflow.llm import collocations, decontam, line_dedup, secret_scan
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -93,4 +93,36 @@ SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WH
 FROM (SELECT doc_id FROM documents) LEFT JOIN named USING (doc_id) GROUP BY doc_id
 """
 
-ORACLES = {"op2_secret_scan": SECRET_SCAN, "op4_line_dedup": LINE_DEDUP, "op7_decontamination": DECONTAMINATION}
+COLLOCATIONS = f"""
+WITH d AS (
+  SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang,
+    string_split_regex({lowered("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\\x20\\x09]+') AS words FROM d),
+placed AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM p),
+sized AS (SELECT lang, words, i, unnest(range(1, {collocations.MOST} + 1)) AS size FROM placed),
+f AS (
+  SELECT lang, size, words[i : i + size - 1] AS phrase, count(*) AS n FROM sized
+  WHERE i + size - 1 <= len(words) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+totals AS (SELECT lang, sum(len(words)) AS n FROM p GROUP BY lang),
+cut AS (SELECT lang, size, phrase, n AS a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+scored AS (
+  SELECT cut.lang, cut.size, cut.phrase, a, k, l.n AS l, r.n AS r,
+    (1000000::hugeint * a * a) // (l.n::hugeint * r.n) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = cut.phrase[1 : k]
+  JOIN f r ON r.lang = cut.lang AND r.phrase = cut.phrase[k + 1 :]),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, size, phrase, n, unnest(range(2, size)) AS m FROM f WHERE size > 2),
+inner_at AS (SELECT lang, phrase, n, m, unnest(range(1, size - m + 2)) AS j FROM longer),
+around AS (SELECT lang, phrase[j : j + m - 1] AS phrase, max(n) AS n FROM inner_at GROUP BY ALL),
+kept AS (
+  SELECT worst.* FROM worst LEFT JOIN around USING (lang, phrase)
+  WHERE around.n IS NULL OR 100 * around.n < {collocations.PERCENT} * a),
+named AS (SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+  CAST(totals.n AS bigint) AS n, CAST(score AS bigint) AS score
+FROM named JOIN totals USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {collocations.TOP}
+"""
+
+ORACLES = {"op2_secret_scan": SECRET_SCAN, "op4_line_dedup": LINE_DEDUP, "op7_decontamination": DECONTAMINATION,
+           "op13_collocations": COLLOCATIONS}

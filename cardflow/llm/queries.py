@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardflow.llm import bpe, brown, decontam, langid, line_dedup, media, pii, secret_scan, sharding, simhash, token_files
+from cardflow.llm import bpe, brown, collocations, decontam, langid, line_dedup, media, pii, secret_scan, sharding, simhash, token_files
 from cardflow.llm.oracles import ORACLES as ORACLES
 
 
@@ -68,9 +68,14 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), vocabulary_path())
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_media_columns, op2_secret_scan, op3_simhash, op4_line_dedup, op5_sharding, op6_bpe, op7_decontamination,
-        op8_class_model, op9_language_id, op10_personal_data, op12_token_files)
+        op8_class_model, op9_language_id, op10_personal_data, op12_token_files,
+        op13_collocations)
 }
