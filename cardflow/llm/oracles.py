@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardflow.llm import collocations, decontam, line_dedup, secret_scan
+from cardflow.llm import collocations, decontam, line_dedup, prefix_trie, secret_scan
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -124,5 +124,41 @@ FROM named JOIN totals USING (lang)
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {collocations.TOP}
 """
 
+# crc32 bit by bit: the reflected polynomial is a fixed value.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, [ascii(x)::bigint for x in string_split(conv_id::varchar, '')]),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"""
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % {prefix_trie.FAMILY} AS head, {CRC32} % {prefix_trie.MOST_SHARED} AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (
+  SELECT ids.conv_id, 0 AS part, i, role, text FROM ids JOIN t ON t.conv_id = ids.head AND i <= h
+  UNION ALL SELECT conv_id, 1, i, role, text FROM ids JOIN t USING (conv_id) WHERE i > h),
+placed AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, list({{'role': role, 'text': text}}) OVER w AS path
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING)),
+steps AS (
+  SELECT conv_id, depth, chars, path FROM placed UNION ALL SELECT conv_id, 0, 0, [] FROM ids),
+lengths AS (SELECT conv_id, max(depth) AS stop FROM steps GROUP BY conv_id),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS first, count(*) AS n, max(chars) AS chars,
+    string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE depth = stop) AS ends
+  FROM steps JOIN lengths USING (conv_id) GROUP BY path, depth),
+kids AS (SELECT path[: depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON nodes.path = kids.path),
+-- Every node's own figures go to each node on its smallest member's path.
+sums AS (
+  SELECT s.path, sum((n_children = 0)::int) AS n_leaves, sum((n - 1) * f.chars) AS saved
+  FROM full_nodes f JOIN steps s ON s.conv_id = f.first AND s.depth <= f.depth GROUP BY s.path)
+SELECT f.first AS conv_id, f.depth, up.first AS parent_conv_id, f.n AS n_convs, f.n_children,
+  CAST(n_leaves AS bigint) AS n_leaves, CAST(saved AS bigint) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_nodes f JOIN sums ON sums.path = f.path
+LEFT JOIN nodes up ON f.depth > 0 AND up.depth = f.depth - 1 AND up.path = f.path[: f.depth - 1]
+"""
+
 ORACLES = {"op2_secret_scan": SECRET_SCAN, "op4_line_dedup": LINE_DEDUP, "op7_decontamination": DECONTAMINATION,
-           "op13_collocations": COLLOCATIONS}
+           "op11_prefix_trie": PREFIX_TRIE, "op13_collocations": COLLOCATIONS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardflow.llm import bpe, brown, collocations, decontam, langid, line_dedup, media, pii, secret_scan, sharding, simhash, token_files
+from cardflow.llm import bpe, brown, collocations, decontam, langid, line_dedup, media, pii, prefix_trie, secret_scan, sharding, simhash, token_files
 from cardflow.llm.oracles import ORACLES as ORACLES
 
 
@@ -64,6 +64,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), vocabulary_path())
 
@@ -76,6 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_media_columns, op2_secret_scan, op3_simhash, op4_line_dedup, op5_sharding, op6_bpe, op7_decontamination,
-        op8_class_model, op9_language_id, op10_personal_data, op12_token_files,
+        op8_class_model, op9_language_id, op10_personal_data, op11_prefix_trie, op12_token_files,
         op13_collocations)
 }
