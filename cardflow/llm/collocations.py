@@ -40,6 +40,8 @@ UNKNOWN = "und"
 WINDOW = 6 << 20
 RANGE_BYTES = 8 << 20
 SAMPLED = 20_000
+# Deals in which a language's candidates are ranked before they are ranked together.
+DEALS = 128
 # One of this many suffixes of a sampled document is a candidate for a splitter.
 STRIDE = 31
 
@@ -355,8 +357,11 @@ def collocations(
         F.max("n").alias("_around"))
     kept = worst.join(around, ["lang", "phrase"], "left").filter(
         F.col("_around").isNull() | (100 * F.col("_around") < percent * F.col("a")))
-    best = W.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    # The first of every deal hold the first of all, so a language's last sort sees `top` rows per deal however many it has.
+    order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
+    dealt = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(DEALS))).orderBy(*order)
+    firsts = kept.withColumn("_rank", F.row_number().over(dealt)).filter(F.col("_rank") <= top)
+    ranked = firsts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     totals = counts.filter("size = 0").select("lang", F.col("n").alias("_all"))
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
