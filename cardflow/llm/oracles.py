@@ -52,34 +52,38 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-def _matches(name: str, pattern: str, group: int = 0) -> str:
+def _matches(name: str, pattern: str, group: int = 0, text: str = "coalesce(text, '')") -> str:
     p = quoted(pattern)
     return f"""
 {name}_pieces AS (
   SELECT doc_id, unnest(range(1, len(found) + 1)) AS i, unnest(gaps[1 : len(found)]) AS gap, unnest(found) AS m, unnest(groups) AS v
-  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), {p}) AS gaps, regexp_extract_all(coalesce(text, ''), {p}, 0) AS found,
-    regexp_extract_all(coalesce(text, ''), {p}, {group}) AS groups FROM documents)),
+  FROM (SELECT doc_id, string_split_regex({text}, {p}) AS gaps, regexp_extract_all({text}, {p}, 0) AS found,
+    regexp_extract_all({text}, {p}, {group}) AS groups FROM documents)),
 {name}_all AS (
   SELECT doc_id, v, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS bigint) AS stop, length(m) AS own
   FROM {name}_pieces)"""
 
 
-def _class() -> str:
-    cases = " ".join(f"WHEN regexp_matches(v, {quoted(p)}) THEN {least}" for p, least in secret_scan.CLASSES)
-    allowed = " OR ".join(f"regexp_matches(v, {quoted(p)})" for p in secret_scan.ALLOWED)
-    return f"CASE WHEN {allowed} THEN NULL {cases} END"
+def _blanked() -> str:
+    text = "coalesce(text, '')"
+    for pattern, length in secret_scan.ALLOWED:
+        text = f"regexp_replace({text}, {quoted('(?i)' + pattern)}, '{' ' * length}', 'g')"
+    return text
 
 
 WIDTH = secret_scan.WIDTH
 SECRET_SCAN = f"""
 WITH {_matches("assign", secret_scan.ASSIGN, 2)}, {_matches("access", secret_scan.ACCESS)},
-{_matches("hex", secret_scan.HEX)}, {_matches("run", secret_scan.CANDIDATE)},
-candidates AS (SELECT doc_id, stop - own AS start, v, {_class()} AS least FROM run_all),
+{_matches("hex", secret_scan.HEX)}, {_matches("run", secret_scan.CANDIDATE, 0, _blanked())},
 windows AS (
-  SELECT doc_id, start, v, least, unnest(range(0, length(v) - {WIDTH} + 1)) AS j FROM candidates WHERE least IS NOT NULL),
+  SELECT doc_id, stop - own AS start, v, unnest(range(0, length(v) - {WIDTH} + 1)) AS j FROM run_all),
+shown AS (SELECT doc_id, start, j, substr(v, j + 1, {WIDTH}) AS w FROM windows),
 hot AS (
-  SELECT doc_id, start + min(j) AS start, start + max(j) + {WIDTH} AS stop FROM windows
-  WHERE list_aggregate(string_split(substr(v, j + 1, {WIDTH}), ''), 'entropy') >= least GROUP BY doc_id, windows.start, v),
+  SELECT doc_id, start + min(j) AS start, start + max(j) + {WIDTH} AS stop FROM shown
+  WHERE NOT regexp_matches(w, '^[A-Za-z/_-]+$') AND NOT regexp_matches(w, '^[0-9/_-]+$') AND
+    list_aggregate(string_split(w, ''), 'entropy') >=
+      CASE WHEN regexp_matches(w, '^[0-9a-fA-F]+$') THEN {secret_scan.HEX_BITS} ELSE {secret_scan.MIXED_BITS} END
+  GROUP BY doc_id, shown.start),
 spans AS (
   SELECT doc_id, 0 AS rank, 'assign' AS kind, stop - own AS start, stop FROM assign_all WHERE length(v) >= {secret_scan.ASSIGN_CHARS}
   UNION ALL SELECT doc_id, 1, 'access', stop - own, stop FROM access_all
