@@ -7,39 +7,37 @@ from pyspark.sql import functions as F
 
 from cardflow.constants import RULE_SILENCE_DAYS, TOP_FRACTION
 from cardflow.functions.exprs import safe_div
-from cardflow.operators import skew
-from cardflow.operators.folds import HASH_SPAN, card_hash
-from cardflow.operators.ranks import average_rank_share, uniform_position, value_ranks
+from cardflow.operators.folds import card_hash
+from cardflow.operators.ranks import average_rank_share, average_ranks, first_rows
 from cardflow.sources.store import materialize
 
 
 def rank_normalise(
-    scores: DataFrame, groups: list[str] | None = None, name: str = "rank",
-    heavy_rows: int = skew.HEAVY_ROWS,
+    scores: DataFrame, groups: list[str] | None = None, name: str = "rank", parts: int | None = None,
 ) -> DataFrame:
     """Average rank of `score` over the number of scores."""
-    return average_rank_share(scores, "score", name, groups, ["card_no"], heavy_rows)
+    return average_rank_share(scores, "score", name, groups, ["card_no"], parts)
 
 
 def fold_mean(scores: DataFrame) -> DataFrame:
     return scores.groupBy("card_no", "family", "seed").agg(F.avg("score").alias("score"))
 
 
-def family_scores(scores: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+def family_scores(scores: DataFrame, parts: int | None = None) -> DataFrame:
     """Mean rank over the seeds of each family; `scores` carry one row per (card, family, seed)."""
-    ranked = rank_normalise(scores, ["family", "seed"], "_rank", heavy_rows)
+    ranked = rank_normalise(scores, ["family", "seed"], "_rank", parts)
     return ranked.groupBy("card_no", "family").agg(F.avg("_rank").alias("score"))
 
 
-def rank_blend(families: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+def rank_blend(families: DataFrame, parts: int | None = None) -> DataFrame:
     """Rank of the equally weighted mean of the families' ranks.
 
     The mean is rounded to 12 places: the order of adding must not tell equal means apart.
     """
-    ranked = rank_normalise(materialize(families, "families"), ["family"], "_rank", heavy_rows)
+    ranked = rank_normalise(materialize(families, "families"), ["family"], "_rank", parts)
     mean = materialize(
         ranked.groupBy("card_no").agg(F.round(F.avg("_rank"), 12).alias("score")), "mean-rank")
-    return rank_normalise(mean, None, "_blend", heavy_rows).select(
+    return rank_normalise(mean, None, "_blend", parts).select(
         "card_no", F.col("_blend").alias("score"))
 
 
@@ -53,26 +51,11 @@ def hard_rule(
 
 
 def top_fraction(
-    scored: DataFrame, fraction: float = TOP_FRACTION, tie: Column | None = None
+    scored: DataFrame, fraction: float = TOP_FRACTION, tie: Column | None = None, parts: int | None = None,
 ) -> DataFrame:
-    """The floor(n * fraction) rows with the highest score.
-
-    The score at the cut is found on the counts per distinct score. Everything above it is in; rows
-    at the cut are dealt in the order of a card hash, which splits evenly however many tie.
-    """
-    ranks = value_ranks(scored, "score")
-    k = F.floor(F.col("n_ranked") * F.lit(fraction))
-    above = F.col("n_ranked") - F.col("below") - F.col("ties")
-    cut = materialize(ranks.select("score", "ties", k.alias("k"), above.alias("above")).filter(
-        (F.col("above") < F.col("k")) & (F.col("k") <= F.col("above") + F.col("ties"))
-    ).select(F.col("score").alias("cut_score"), (F.col("k") - F.col("above")).alias("room")), "cut")
-    cut_score, room = cut.select("cut_score").scalar(), cut.select("room").scalar()
-    over = scored.filter(F.col("score") > cut_score)
-    tied = scored.filter(F.col("score") == cut_score).withColumn(
-        "_tie", card_hash() if tie is None else tie)
-    placed = uniform_position(tied, [], "_tie", HASH_SPAN, ["card_no"], "_place")
-    return over.unionByName(
-        placed.filter(F.col("_place") <= room).drop("_tie", "_place"))
+    """The floor(n * fraction) rows with the highest score; rows of one score go by a card hash, then by card."""
+    rows = scored.filter(F.col("score").isNotNull()).withColumn("_tie", card_hash() if tie is None else tie)
+    return first_rows(rows, [F.desc("score"), F.asc("_tie"), F.asc("card_no")], fraction, parts).drop("_tie")
 
 
 def top_fraction_f1(
@@ -93,11 +76,11 @@ def top_fraction_f1(
 
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve of the labelled rows from the rank sum of the positives, ties counted half."""
-    ranks = value_ranks(scored.filter(F.col("label").isNotNull()), "score", positives=F.col("label") == 1)
-    totals = ranks.agg(
-        F.sum("positives").cast("double").alias("pos"),
-        F.sum("ties").cast("double").alias("n"),
-        F.sum(F.col("positives") * F.col("avg_rank")).alias("rank_sum"),
+    known = scored.filter(F.col("label").isNotNull() & F.col("score").isNotNull()).select("card_no", "score", "label")
+    totals = average_ranks(known, "score", spread_by=["card_no"]).agg(
+        F.count_if(F.col("label") == 1).cast("double").alias("pos"),
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.sum(F.when(F.col("label") == 1, F.col("avg_rank"))).alias("rank_sum"),
     )
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     return totals.select(

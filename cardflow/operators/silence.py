@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from cardflow.constants import SILENCE_BINS, SILENCE_CAP_DAYS
 from cardflow.functions.exprs import at_least_zero, iso_weekday, safe_div, seconds_between, sum0
-from cardflow.operators import skew
-from cardflow.operators.ranks import average_rank_share
+from cardflow.operators.ranks import average_rank_share, quantiles
 
 DAY = 86400
 
@@ -77,19 +76,13 @@ def silence_interactions(base: DataFrame) -> DataFrame:
 
 
 def with_quantile_bin(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
-    """Adds the right-closed quantile bin of `value`; equal edges merge, as only the grouping matters.
-
-    The edges come from counts per distinct value, and reach the rows as one scalar.
-    """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    steps = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = counts.agg(F.percentile(F.col(value), steps, F.col("_c"))).scalar()
-    below = F.size(F.filter("_edges", lambda edge: edge < F.col(value).cast("double")))
-    return df.withColumn("_edges", edges).withColumn(
-        name, F.greatest(below, F.lit(1))).drop("_edges")
+    """Adds the right-closed quantile bin of `value`; equal edges merge, as only the grouping matters."""
+    edges = F.lit(quantiles(df, value, [i / bins for i in range(bins + 1)])).cast("array<double>")
+    below = F.size(F.filter(edges, lambda edge: edge < F.col(value).cast("double")))
+    return df.withColumn(name, F.greatest(below, F.lit(1)))
 
 
-def silence_percentiles(base: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+def silence_percentiles(base: DataFrame, parts: int | None = None) -> DataFrame:
     """Percentile of silence among cards of like activity, and of activity among like silence.
 
     The four rankings go through one long table, ranked by (measure, bin).
@@ -109,8 +102,7 @@ def silence_percentiles(base: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> D
     ])
     long = binned.select("card_no", F.explode(entries).alias("e")).select(
         "card_no", "e.measure", "e.bin", "e.value")
-    ranked = average_rank_share(
-        long, "value", "pct", ["measure", "bin"], ["card_no"], heavy_rows)
+    ranked = average_rank_share(long, "value", "pct", ["measure", "bin"], ["card_no"], parts)
     return ranked.groupBy("card_no").agg(*[
         F.max(F.when(F.col("measure") == name, F.col("pct"))).alias(name) for name in wanted
     ])

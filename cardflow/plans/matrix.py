@@ -207,10 +207,10 @@ def inflow_features(parts: list[Part], heavy_rows: int = skew.HEAVY_ROWS) -> Dat
     return degrees.join(detail, "card_no", "full")
 
 
-def silence_features(base: DataFrame, heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
+def silence_features(base: DataFrame) -> DataFrame:
     """The silence columns under their matrix names."""
     joined = base.join(silence.silence_interactions(base), "card_no").join(
-        silence.silence_percentiles(base, heavy_rows), "card_no", "left")
+        silence.silence_percentiles(base), "card_no", "left")
     return joined.select("card_no", *[F.col(c).alias(f"S_{c}") for c in K.SILENCE_COLUMNS])
 
 
@@ -311,7 +311,7 @@ def build_matrix(
         by_card(card_features(data, parts, settings), "features"),
         materialize(exposure_features(by_account, by_name, roles, settings), "exposure"),
         by_card(inflow_features(parts, heavy), "inflow"),
-        by_card(silence_features(quiet_base, heavy), "silence_features"),
+        by_card(silence_features(quiet_base), "silence_features"),
         by_card(account, "account"),
         settings, kind)
 

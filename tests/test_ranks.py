@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardflow.operators import ranking
 from cardflow.operators.folds import HASH_SPAN, card_hash, stratified_folds
-from cardflow.operators.ranks import average_rank_share, nearest_quantile, uniform_position
+from cardflow.operators.ranks import average_rank_share, in_ranges, nearest_quantile, quantiles, uniform_position
 
 
 @pytest.fixture(scope="module")
@@ -23,11 +23,11 @@ def values(spark):
     return pd.DataFrame(rows, columns=["card_no", "grp", "v"])
 
 
-@pytest.mark.parametrize("heavy_rows", [2_000_000, 20])
-def test_average_rank_share(spark, values, heavy_rows):
+@pytest.mark.parametrize("parts", [None, 1, 20])
+def test_average_rank_share(spark, values, parts):
     df = spark.createDataFrame(values, "card_no string, grp string, v double").withColumn(
         "v", F.nanvl("v", F.lit(None)))
-    got = average_rank_share(df, "v", "pct", ["grp"], ["card_no"], heavy_rows)
+    got = average_rank_share(df, "v", "pct", ["grp"], ["card_no"], parts)
     frame = values.copy()
     frame["pct"] = frame.groupby("grp")["v"].rank(pct=True)
     want = spark.createDataFrame(frame, "card_no string, grp string, v double, pct double")
@@ -41,6 +41,33 @@ def test_global_rank_of_single_value(spark):
     assert [r["rank"] for r in ranking.rank_normalise(df).collect()] == [0.75, 0.75]
 
 
+@pytest.mark.parametrize("parts", [1, 9, 40])
+def test_one_value_over_many_ranges(spark, parts):
+    rows = [(str(i), "a" if i % 4 else None, 5.0 if i % 3 else float(i % 11)) for i in range(900)]
+    df = spark.createDataFrame(rows, "card_no string, grp string, v double")
+    whole = pd.Series([v for _, _, v in rows]).rank(pct=True)
+    got = {r.card_no: r.pct for r in average_rank_share(df, "v", "pct", None, None, parts).collect()}
+    assert got == pytest.approx({c: p for (c, _, _), p in zip(rows, whole, strict=True)})
+    if parts > 2:
+        ranges = in_ranges(df, ["v", "card_no"], parts).filter("v = 5").groupBy("_part").count()
+        assert ranges.count() > 2
+    # Rows of an unknown group have no rank; the group's own rows are ranked among themselves.
+    by_group = {r.card_no: r.pct for r in average_rank_share(df, "v", "pct", ["grp"], None, parts).collect()}
+    inside = pd.DataFrame(rows, columns=["c", "g", "v"]).groupby("g").v.rank(pct=True)
+    assert all(by_group[c] is None if g is None else by_group[c] == pytest.approx(inside[i]) for i, (c, g, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_quantiles_equal_exact_percentiles(spark, values, parts):
+    fractions = [0, 0.1, 0.25, 1 / 3, 0.5, 0.9, 1]
+    known = values.v.dropna()
+    df = spark.createDataFrame(values, "card_no string, grp string, v double").withColumn("v", F.nanvl("v", F.lit(None)))
+    assert quantiles(df, "v", fractions, parts) == pytest.approx([known.quantile(f) for f in fractions], rel=1e-12)
+    ties = spark.createDataFrame([(3,)] * 50 + [(4,)], "v int")
+    assert quantiles(ties, "v", [0, 0.5, 1], parts) == [3, 3, 4]
+    assert quantiles(ties.filter("v > 9"), "v", [0.5], parts) == []
+
+
 def test_nearest_quantile(spark, values):
     frame = values.assign(v=values.v.abs()).dropna()
     df = spark.createDataFrame(frame, "card_no string, grp string, v double")
