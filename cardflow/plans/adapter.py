@@ -86,10 +86,13 @@ class CardData:
     target: DataFrame
 
 
+# The given tables that `card_data` reads.
+SOURCES = ("lineitem", "orders", "customer", "supplier")
+
+
 def card_data(spark: SparkSession, sf_dir: str) -> CardData:
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    lineitem, orders, customer, supplier = (
-        table("lineitem"), table("orders"), table("customer"), table("supplier"))
+    lineitem, orders, customer, supplier = map(table, SOURCES)
     sold = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     # One card in five is to be predicted, the others are labelled.
     listed = customer.selectExpr("c_custkey as id", "c_acctbal as held").unionByName(

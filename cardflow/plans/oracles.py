@@ -6,6 +6,7 @@ from cardflow.constants import (
     ACCOUNT_VARIANTS, CHANNEL_CODES, EXPOSURE_STATS, FREQUENCY_COLUMNS, LAST_ROW_CHANNELS,
     NAME_VARIANTS, SILENCE_COLUMNS,
 )
+from cardflow.sources.sinks import ANCHOR_NOTE
 
 # Limits that fit the adapter data; the registry uses the same.
 ACCOUNT_LIMIT = 30
@@ -689,6 +690,14 @@ rows as (
   select 'train' as side, fold, count(*) as n from stratified_folds group by 2
   union all select 'target', k, (select count(*) from target) from range(5) r(k))
 select side, family, seed, fold, n as n_rows, n as n_cards, 0 as outside, 0 as met from rows, recipe"""),
+    "anchor_roundtrip": ([], f"select max(cast(tms as date)) as anchor_date, '{ANCHOR_NOTE}' as note from txn"),
+    "manifest_roundtrip": (["top_codes"], """
+select row_number() over (order by n_rows desc, code) - 1 as pos, code as name from top_codes"""),
+    "reuse_roundtrip": (["card_anchor"], "select *, 1 as times_made from card_anchor"),
+    "sketch_counts": ([], """
+select 'card' as side, card_no as key, count(distinct coalesce(cntrprt_card_no, '~')) as n_exact, 1 as near from txn group by 2
+union all
+select 'counterparty', cntrprt_card_no, count(distinct card_no), 1 from txn where cntrprt_card_no is not null group by 2"""),
     "lenient_parse": ([], """
 select l_orderkey, l_linenumber, try_strptime(ts_text, '%Y-%m-%d %H:%M:%S') as tms,
   cast(try_strptime(dt_text, '%Y-%m-%d') as date) as stm_dt

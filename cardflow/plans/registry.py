@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 from cardflow.constants import CHANNEL_CODES, MAX_CHANNEL_CODES, MAX_SUMMARY_CODES, TOP_SUMMARY_CODES
 from cardflow.operators import (
     accounts, codes, counterparty, daily, edges, exposure, flow, folds, ranking, sequence,
-    silence, static,
+    silence, sketches, static,
 )
 from cardflow.operators.timeline import enrich, heavy_cards
 from cardflow.plans import matrix, oracles, scoring
-from cardflow.plans.adapter import CardData, card_data
+from cardflow.plans.adapter import SOURCES, CardData, card_data
 from cardflow.sources import readers, sinks
 from cardflow.sources.store import materialize, materialize_once, shared_folder
 
@@ -63,6 +63,11 @@ class Inputs:
     def data(self) -> CardData:
         return card_data(self.spark, self.sf_dir)
 
+    @property
+    def tables(self) -> list[str]:
+        """The parquet tables the card data come from."""
+        return [f"{self.sf_dir}/{name}.parquet" for name in SOURCES]
+
     @property
     def txn(self) -> DataFrame:
         return self.data.txn
@@ -282,6 +287,56 @@ def _scores_roundtrip(i: Inputs) -> DataFrame:
     return i.spark.read.schema("card_no string, score double").option("header", True).csv(path)
 
 
+def _anchor_roundtrip(i: Inputs) -> DataFrame:
+    path = f"{shared_folder(i.spark)}/cardflow/anchor-{uuid.uuid4().hex}"
+    sinks.write_anchor(silence.anchor_date(i.txn), path, sinks.ANCHOR_NOTE)
+    return i.spark.read.schema("anchor_date date, note string").json(path)
+
+
+def _manifest_roundtrip(i: Inputs) -> DataFrame:
+    """The most frequent codes of the data as a column manifest, read back and compared in order."""
+    path = f"{shared_folder(i.spark)}/cardflow/manifest-{uuid.uuid4().hex}"
+    names = codes.code_list(codes.top_codes(i.summary, TOP_SUMMARY_CODES))
+    sinks.write_manifest(i.spark, names, path)
+    sinks.check_manifest(names, sinks.read_manifest(i.spark, path))
+    return i.spark.read.parquet(path)
+
+
+def _reuse_roundtrip(i: Inputs) -> DataFrame:
+    """Card anchors made once under the fingerprint of the tables; the second asking reads what the first has written."""
+    made: list[str] = []
+
+    def make() -> DataFrame:
+        made.append("made")
+        return flow.card_anchor(i.txn, i.data.train, i.data.target)
+
+    key = {"run": uuid.uuid4().hex}
+    materialize_once(make, i.spark, "card-anchor", key, i.tables)
+    again = materialize_once(make, i.spark, "card-anchor", key, i.tables)
+    return again.withColumn("times_made", F.lit(len(made)))
+
+
+def _sketch_counts(i: Inputs) -> DataFrame:
+    """Distinct counterparties of a card and cards of a counterparty: exact, and whether merged batch sketches come near.
+
+    The two halves of the year are sketched and stored apart, as two batches would be.
+    """
+    rows = i.written.select("card_no", "cntrprt_card_no", F.month("stm_dt") <= 6)
+    rows = rows.toDF("card_no", "cntrprt_card_no", "first_half")
+    sides = {"card": ("card_no", "cntrprt_card_no"), "counterparty": ("cntrprt_card_no", "card_no")}
+    found = []
+    for side, (key, value) in sides.items():
+        path = f"{shared_folder(i.spark)}/cardflow/sketches-{side}-{uuid.uuid4().hex}"
+        known = rows.filter(F.col(key).isNotNull())
+        for batch, part in (("first", known.filter("first_half")), ("second", known.filter("first_half IS NULL OR NOT first_half"))):
+            sketches.store_batch(sketches.distinct_sketches(part, key, {"n": value}), path, batch)
+        exact = known.groupBy(key, value).agg(F.count(F.lit(1))).groupBy(key).agg(F.count(F.lit(1)).alias("n_exact"))
+        near = F.abs(F.col("n") - F.col("n_exact")) <= F.ceil(F.col("n_exact") * sketches.BOUND)
+        found.append(sketches.estimates(sketches.stored(i.spark, path, key), key).join(exact, key, "full").select(
+            F.lit(side).alias("side"), F.col(key).alias("key"), "n_exact", F.coalesce(near, F.lit(False)).cast("int").alias("near")))
+    return found[0].unionByName(found[1])
+
+
 def _vectors_roundtrip(i: Inputs) -> DataFrame:
     path = f"{shared_folder(i.spark)}/cardflow/score-vectors-{uuid.uuid4().hex}"
     sinks.write_score_vectors(i.scores, path)
@@ -314,8 +369,8 @@ def _crossfit(i: Inputs) -> DataFrame:
 
     Fitted once per application: `crossfit_coverage` reads what `crossfit_scores` wrote.
     """
-    key = {"tables": i.sf_dir, "application": i.spark.sparkContext.applicationId}
-    return materialize_once(lambda: scoring.cross_fit(i.matrix), i.spark, "crossfit", key)
+    key = {"application": i.spark.sparkContext.applicationId}
+    return materialize_once(lambda: scoring.cross_fit(i.matrix), i.spark, "crossfit", key, i.tables)
 
 
 def _crossfit_coverage(i: Inputs) -> DataFrame:
@@ -427,6 +482,10 @@ _BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {
     "output_check": lambda i: ranking.check_output(
         ranking.ranked_output(ranking.hard_rule(i.blend, i.quiet), i.data.target), i.data.target),
     "duplicate_keys": lambda i: matrix.duplicate_keys(i.txn, ["card_no", "stm_dt"]),
+    "anchor_roundtrip": _anchor_roundtrip,
+    "manifest_roundtrip": _manifest_roundtrip,
+    "reuse_roundtrip": _reuse_roundtrip,
+    "sketch_counts": _sketch_counts,
     "scores_csv_roundtrip": _scores_roundtrip,
     "score_vectors_roundtrip": _vectors_roundtrip,
     "csv_transactions": _csv_transactions,

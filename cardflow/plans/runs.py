@@ -27,7 +27,6 @@ READERS = {
 }
 # Tables with one row per key; a doubled key would double cards in the joins.
 UNIQUE = {"card": ["card_no"], "cst": ["cst_id"], "train": ["card_no"], "target": ["card_no"]}
-ANCHOR_NOTE = "silence is counted to this day; use the same one for every later batch"
 
 
 @dataclass(frozen=True)
@@ -83,6 +82,18 @@ def read_settings(spark: SparkSession, path: str) -> matrix.Settings:
         anchor=datetime.date.fromisoformat(anchor) if anchor else None)
 
 
+def sealed(spark: SparkSession, folder: str) -> dict[str, str]:
+    """What `train` has frozen in the folder, as texts: settings, anchor, columns, and folds by a sum that no order changes."""
+    dealt = readers.read_table(spark, f"{folder}/folds").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("card_no", "label", "fold").cast("decimal(20,0)")).alias("sum")).first()
+    return {
+        "settings": spark.read.text(f"{folder}/settings").first()[0],
+        "anchor": str(sinks.read_anchor(spark, f"{folder}/anchor")),
+        "columns": json.dumps(sinks.read_manifest(spark, f"{folder}/manifest")),
+        "folds": f"{dealt['n']} {dealt['sum']}",
+    }
+
+
 def train(
     spark: SparkSession, paths: Paths, folder: str, settings: matrix.Settings | None = None,
     recipes: list[crossfit.Recipe] = crossfit.DEFAULT_RECIPES,
@@ -96,7 +107,9 @@ def train(
         built = matrix.build_matrix(data, dealt, settings)
         write_settings(spark, settings, f"{folder}/settings")
         sinks.write_manifest(spark, built.columns, f"{folder}/manifest")
-        sinks.write_anchor(silence.anchor_date(data.txn), f"{folder}/anchor", ANCHOR_NOTE)
+        anchor = spark.createDataFrame([(settings.anchor,)], "anchor_date date")
+        sinks.write_anchor(anchor, f"{folder}/anchor", sinks.ANCHOR_NOTE)
+        sinks.write_seal(spark, sealed(spark, folder), f"{folder}/seal")
         scores = scoring.cross_fit(built, recipes, settings.n_folds, f"{folder}/models")
         sinks.write_score_vectors(scores, f"{folder}/scores")
         return scoring.offline_figures(scores, data.train).first().asDict()
@@ -109,11 +122,14 @@ def predict(
     """Score the target list with the models of `folder` and write the CSV of scores in its order.
 
     The batch may bring other transactions and another target list; folds, settings and columns are the trained
-    ones. Raises if the columns differ from the manifest or a target card is missing, extra or doubled.
+    ones. Raises if they are not what `train` sealed, the columns differ from the manifest or a target card is missing, extra or doubled.
     """
     with scratch(spark):
         data = ingest(spark, paths, f"{out}-work")
+        sinks.check_seal(spark, sealed(spark, folder), f"{folder}/seal")
         settings = read_settings(spark, f"{folder}/settings")
+        if settings.anchor != sinks.read_anchor(spark, f"{folder}/anchor"):
+            raise ValueError("the anchor differs from the one in the settings")
         built = matrix.build_matrix(data, readers.read_table(spark, f"{folder}/folds"), settings)
         sinks.check_manifest(built.columns, sinks.read_manifest(spark, f"{folder}/manifest"))
         used = scoring.with_columns_of(built, recipes)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ANCHOR_NOTE = "silence is counted to this day; use the same one for every later batch"
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -29,6 +36,32 @@ def write_anchor(anchor: DataFrame, path: str, note: str) -> None:
     )
 
 
+def read_anchor(spark: SparkSession, path: str) -> datetime.date:
+    return spark.read.schema("anchor_date date, note string").json(path).first()["anchor_date"]
+
+
+def _checksum(parts: dict[str, str]) -> str:
+    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+
+
+def write_seal(spark: SparkSession, parts: dict[str, str], path: str) -> None:
+    """Binds what a run has frozen: a digest of every part and one over all of them, as one JSON line."""
+    digests = {name: hashlib.sha256(text.encode()).hexdigest() for name, text in parts.items()}
+    line = json.dumps({"parts": digests, "checksum": _checksum(digests)}, sort_keys=True)
+    spark.createDataFrame([(line,)], "seal string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def check_seal(spark: SparkSession, parts: dict[str, str], path: str) -> None:
+    """Raises if the seal or any part of it is not what was written."""
+    sealed = json.loads(spark.read.text(path).first()[0])
+    if sealed["checksum"] != _checksum(sealed["parts"]):
+        raise ValueError("the seal of the run has been changed")
+    digests = {name: hashlib.sha256(text.encode()).hexdigest() for name, text in parts.items()}
+    changed = sorted(n for n in digests.keys() | sealed["parts"].keys() if digests.get(n) != sealed["parts"].get(n))
+    if changed:
+        raise ValueError(f"changed since the run was sealed: {', '.join(changed)}")
+
+
 def write_manifest(spark: SparkSession, columns: list[str], path: str) -> None:
     rows = [(i, c) for i, c in enumerate(columns)]
     spark.createDataFrame(rows, "pos int, name string").write.mode("overwrite").parquet(path)

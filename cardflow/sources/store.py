@@ -49,12 +49,30 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     return spark.read.parquet(path)
 
 
+def fingerprint(spark: SparkSession, tables: Sequence[str]) -> str:
+    """Names, sizes and times of all files of the parquet tables, and their schemas, as one digest.
+
+    Reads no rows: what changes under a path changes the digest.
+    """
+    digest = hashlib.sha256()
+    for table in tables:
+        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+        system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found, files = system.listFiles(hadoop_path, True), []
+        while found.hasNext():
+            file = found.next()
+            files.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+        schema = spark.read.parquet(table).schema.json()
+        digest.update(json.dumps([table, sorted(files), schema]).encode())
+    return digest.hexdigest()
+
+
 def materialize_once(
-    make: Callable[[], DataFrame], spark: SparkSession, name: str, parameters: dict
+    make: Callable[[], DataFrame], spark: SparkSession, name: str, parameters: dict, inputs: Sequence[str] = ()
 ) -> DataFrame:
-    """As `materialize`, under a path keyed by `name` and `parameters`: a table finished earlier under the
-    same key is read, and `make` is not called. Such tables stay."""
-    text = json.dumps(parameters, sort_keys=True, default=str)
+    """As `materialize`, under a path keyed by `name`, `parameters` and the `fingerprint` of the `inputs`: a table
+    finished earlier under the same key is read, and `make` is not called. Such tables stay."""
+    text = json.dumps([parameters, fingerprint(spark, inputs)], sort_keys=True, default=str)
     path = f"{shared_folder(spark)}/cardflow/{name}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
     if not _exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)

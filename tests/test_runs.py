@@ -1,5 +1,6 @@
 """From CSV files to models and scores, and a second batch with frozen state."""
 
+import dataclasses
 import pathlib
 
 import pytest
@@ -72,3 +73,18 @@ def test_doubled_keys_and_incomplete_outputs_raise(spark, paths, data, tmp_path)
     some = data.target.limit(3).withColumn("score", F.lit(0.5))
     with pytest.raises(ValueError, match="not the target list"):
         runs.require_complete(some, data.target)
+
+
+def test_a_fixed_anchor_is_kept_and_a_changed_run_is_refused(spark, paths, trained, tmp_path):
+    import datetime
+    import shutil
+
+    copy = str(tmp_path / "copy")
+    shutil.copytree(trained[0], copy)
+    settings = runs.read_settings(spark, f"{copy}/settings")
+    assert sinks.read_anchor(spark, f"{copy}/anchor") == settings.anchor
+    runs.write_settings(spark, dataclasses.replace(settings, anchor=datetime.date(2030, 1, 1)), f"{copy}/settings")
+    with pytest.raises(ValueError, match="changed since the run was sealed: settings"):
+        runs.predict(spark, paths, copy, str(tmp_path / "refused"), RECIPES)
+    fixed = runs.frozen(runs.stored(spark, trained[0]), matrix.Settings(anchor=datetime.date(2030, 1, 1)))
+    assert fixed.anchor == datetime.date(2030, 1, 1)

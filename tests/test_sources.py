@@ -137,3 +137,38 @@ def test_scratch_leaves_nothing(spark, tmp_path, monkeypatch):
     assert not list((tmp_path / "cardflow").iterdir())
     assert {t.name for t in spark.catalog.listTables()} == before
 
+
+
+def test_reuse_ends_when_an_input_changes(spark, tmp_path):
+    source, made = str(tmp_path / "input"), []
+
+    def write(n, mode="overwrite"):
+        spark.range(n).selectExpr("id AS x").write.mode(mode).parquet(source)
+
+    def total():
+        def make():
+            made.append(1)
+            return spark.read.parquet(source).selectExpr("sum(x) AS s")
+
+        return store.materialize_once(make, spark, "total", {"of": "x"}, [source]).first().s
+
+    write(10)
+    assert (total(), total(), len(made)) == (45, 45, 1)
+    write(10, "append")
+    assert (total(), total(), len(made)) == (90, 90, 2)
+    write(20)
+    assert (total(), len(made)) == (190, 3)
+
+
+def test_a_seal_tells_which_part_has_changed(spark, tmp_path):
+    path, parts = str(tmp_path / "seal"), {"anchor": "2025-12-31", "columns": "[1, 2]"}
+    sinks.write_seal(spark, parts, path)
+    sinks.check_seal(spark, parts, path)
+    with pytest.raises(ValueError, match="changed since the run was sealed: anchor"):
+        sinks.check_seal(spark, parts | {"anchor": "2026-01-01"}, path)
+    with pytest.raises(ValueError, match="folds"):
+        sinks.check_seal(spark, parts | {"folds": "x"}, path)
+    line = spark.read.text(path).first()[0].replace('"checksum": "', '"checksum": "0')
+    spark.createDataFrame([(line,)], "seal string").coalesce(1).write.mode("overwrite").text(path)
+    with pytest.raises(ValueError, match="the seal of the run"):
+        sinks.check_seal(spark, parts, path)
