@@ -2,12 +2,14 @@
 
 Counts come from all training documents, and every word in them gets a class. The number of classes grows with the number
 of distinct words. The commonest words seed the classes by exchange clustering: starting from classes dealt by frequency,
-each word in turn moves to the class that most raises the likelihood of the class bigrams. Every other word then joins, in
-tasks, the class under which the classes before and after all of its occurrences are likeliest; neighbours that are no
-seeds count there as one open class. Transitions and emissions are counted after that, over all tokens with their own
-classes. Words never counted share one more class, and the end of a text has its own, which is also the class before the
-first word. Emissions add `EMIT` to every known count; unknown words get one such share. Class transitions mix relative
-frequencies with `MIX` of the class's own frequency.
+each word in turn moves to the class that most raises the likelihood of the class bigrams. All other words move in sweeps
+run by tasks: a word goes to the class under which the classes before and after all of its occurrences are likeliest,
+given the transitions of the seeds. The first sweep moves the `SWEPT` commonest words and knows the seeds' classes, the
+second moves every word and knows the classes of all swept ones; other neighbours count as one open class. Transitions
+and emissions are counted after that, over all tokens with their own classes. Words never counted share one more class,
+and the end of a text has its own, which is also the class before the first word. Emissions add `EMIT` to every known
+count; unknown words get one such share. Class transitions mix relative frequencies with `MIX` of the class's own
+frequency.
 
 Null and empty texts are just the end. Without training tokens every event has probability one in its vocabulary.
 """
@@ -41,8 +43,12 @@ WEIGHED = 4_096
 SHIFT = 40
 # Words whose counts every task holds; others are looked up by a join.
 HELD = 200_000
+# Words whose classes the last sweep knows.
+SWEPT = 200_000
 # Distinct entries a task gathers before it passes them on.
 GATHERED = 400_000
+# Weights of classes are whole multiples of this share of a decimal power.
+FINE = 1 << 16
 EMIT = 0.5
 MIX = 0.1
 # The end of a text as a key among the words: no word has a space.
@@ -78,7 +84,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
-    """(a, b, n): neighbours by number; words without one share the number after the last, END has the one after that."""
+    """(pair, n): neighbours a, b as a * (words + 2) + b; words without a number share the one after the last, then comes END."""
     held = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,10 +99,9 @@ def pair_counts(docs: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
                     row.append(end)
                 at = np.array(row, np.int64)
                 pairs, n = np.unique(at[:-1] * width + at[1:], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs // width), pa.array(pairs % width), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
-    return docs.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -155,10 +160,16 @@ class Words(NamedTuple):
     numbers: dict[bytes, int]  # the commonest words
     counts: np.ndarray  # of each number
     own: np.ndarray  # class of each number, of unknown words and of END
+    emission: np.ndarray  # per class: count of its words, and of its distinct words
     tokens: int
     distinct: int
     end: int  # count of END
 
+    def divisor(self) -> np.ndarray:
+        """log10 of each class's total, with `EMIT` for every word of it; unknown words have one share."""
+        unknown = np.arange(len(self.emission)) == len(self.emission) - 2
+        return np.log10(EMIT * (self.emission[:, 1] + unknown).clip(1) + self.emission[:, 0])
+
 
 class ClassModel(NamedTuple):
     numbers: dict[bytes, int]  # the commonest words
@@ -205,63 +216,98 @@ def smoothed(table: np.ndarray, rest: int | None = None) -> np.ndarray:
     return (1 - MIX) * np.divide(table, rows, out=np.tile(share, (size, 1)), where=rows > 0) + MIX * share
 
 
-def contexts(docs: DataFrame, numbers: dict[bytes, int], own: np.ndarray) -> DataFrame:
-    """(word, around) of all words without a number: how often each class stands before (0 ..) and after (size ..) it."""
+def contexts(docs: DataFrame, numbers: dict[bytes, int], own: np.ndarray, fixed: int, others: bool) -> DataFrame:
+    """(word, around): how often each class stands before (0 ..) and after (size ..) a word.
+
+    `own` has the class of every number, then of words without one and of END. Words numbered below `fixed` get no row, nor,
+    unless `others`, do words without a number.
+    """
     held = docs.sparkSession.sparkContext.broadcast((numbers, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, classes = held.value
         rest, end, size = len(number), len(number) + 1, int(classes[-1]) + 1
+        width, numbered = 2 * size, np.array([*number, b"", b""], object)
         for batch in batches:
             for part in bounded(batch, 0, COUNTED):
-                others: dict[bytes, int] = {}
+                new: dict[bytes, int] = {}
                 row: list[int] = [end]
                 for text in part.column(0).to_pylist():
-                    for w in words_of(text):
-                        at = number.get(w)
-                        row.append(end + 1 + others.setdefault(w, len(others)) if at is None else at)
+                    if others:
+                        for w in words_of(text):
+                            at = number.get(w)
+                            row.append(end + 1 + new.setdefault(w, len(new)) if at is None else at)
+                    else:
+                        row += [number.get(w, rest) for w in words_of(text)]
                     row.append(end)
-                if not others:
-                    continue
                 at = np.array(row, np.int64)
                 around = classes[np.where(at > end, rest, at)]
-                where = np.flatnonzero(at > end)
-                word = (at[where] - end - 1) * (2 * size)
+                where = np.flatnonzero((at >= fixed) & (at != rest) & (at != end))
+                if not len(where):
+                    continue
+                word = at[where] * width
                 keys, n = np.unique(np.concatenate([word + around[where - 1], word + size + around[where + 1]]), return_counts=True)
-                offsets = np.searchsorted(keys, np.arange(len(others) + 1) * (2 * size)).astype(np.int32)
+                used, starts = np.unique(keys // width, return_index=True)
+                names = np.concatenate([numbered, np.array([*new, b""], object)])[used]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(others), pa.binary()).cast(pa.string()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array((keys % (2 * size) << SHIFT) + n))],
+                    [pa.array(names, pa.binary()).cast(pa.string()),
+                     pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.array((keys % width << SHIFT) + n))],
                     names=["word", "around"])
 
     return docs.select("text").mapInArrow(run, "word string, around array<long>")
 
 
+class Chooser:
+    """The likeliest class of a word given the classes around it. Weights are whole numbers, so sums are exact and the first of equals wins."""
+
+    def __init__(self, table: np.ndarray):
+        size, moves = len(table), np.rint(np.log10(smoothed(table)) * FINE)
+        self.size = size
+        self.weights = np.concatenate([moves, moves.T])[:, : size - 2]
+        self.mass = np.rint(np.log10(table.sum(axis=0)[: size - 2] + 1) * FINE)
+        # Class of a word seen once, by the classes before and after it; rows are made when first asked for.
+        self.single = np.full((size, size), -1, np.int32)
+
+    def of_single(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        for c in np.unique(before[self.single[before, 0] < 0]).tolist():
+            self.single[c] = np.argmax(self.weights[self.size :] + (self.weights[c] - self.mass), axis=1)
+        return self.single[before, after]
+
+    def choose(self, starts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Times and class of each word, whose entries begin at `starts` (one more at the end) and are sorted by key."""
+        words = len(starts) - 1
+        times = np.add.reduceat(np.where(keys < self.size, n, 0), starts[:-1])
+        best = np.empty(words, np.int32)
+        once = times == 1
+        best[once] = self.of_single(keys[starts[:-1][once]], keys[starts[:-1][once] + 1] - self.size)
+        more = np.flatnonzero(~once)
+        lengths = np.diff(starts)[more]
+        ends = np.cumsum(lengths)
+        at = 0
+        while at < len(more):
+            before = ends[at] - lengths[at]
+            to = max(at + 1, int(np.searchsorted(ends, before + WEIGHED, side="right")))
+            firsts = ends[at:to] - lengths[at:to] - before
+            own = np.arange(ends[to - 1] - before) + np.repeat(starts[more[at:to]] - firsts, lengths[at:to])
+            sums = np.add.reduceat(self.weights[keys[own]] * n[own, None], firsts, axis=0)
+            best[more[at:to]] = np.argmax(sums - times[more[at:to], None] * self.mass, axis=1)
+            at = to
+        return times, best
+
+
 def best_classes(around: DataFrame, table: np.ndarray) -> DataFrame:
     """(word, n, class) of all words of `contexts`, given the transition counts of the seeds' classes.
 
     A word's rows come one after the other, so a task holds the batch and the sums of its last word.
     """
-    size = len(table)
-    moves = np.log10(smoothed(table))
-    weights = np.concatenate([moves, moves.T])[:, : size - 2]
-    held = around.sparkSession.sparkContext.broadcast((weights, np.log10(table.sum(axis=0)[: size - 2] + 1)))
+    held = around.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, mass = held.value
-        width = len(weights)
+        chooser = Chooser(held.value)
+        width = 2 * chooser.size
 
         def choose(words: list[str], keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            starts = np.searchsorted(keys, np.arange(len(words) + 1) * width)
-            times = np.add.reduceat(np.where(keys % width < width // 2, n, 0), starts[:-1])
-            best, at = np.zeros(len(words), np.int32), 0
-            while at < len(words):
-                to = max(at + 1, int(np.searchsorted(starts, starts[at] + WEIGHED, side="right")) - 1)
-                own = slice(starts[at], starts[to])
-                sums = np.add.reduceat(weights[keys[own] % width] * n[own, None], starts[at:to] - starts[at], axis=0)
-                # Rounded, so that equal classes stay equal: the first wins.
-                best[at:to] = np.argmax(np.round(sums - times[at:to, None] * mass, 9), axis=1)
-                at = to
+            times, best = chooser.choose(np.searchsorted(keys, np.arange(len(words) + 1) * width), keys % width, n)
             return pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.string()), pa.array(times.astype(np.int64)), pa.array(best)], names=["word", "n", "class"])
 
@@ -289,130 +335,159 @@ def best_classes(around: DataFrame, table: np.ndarray) -> DataFrame:
     return around.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n long, class int")
 
 
+def commonest(vocabulary: DataFrame, limit: int) -> tuple[Column, dict[bytes, int]]:
+    """Which rows hold the words of the highest levels, `limit` words at most, and their counts, highest first."""
+    least = common_level(vocabulary, limit)
+    common = F.lit(False) if least is None else level() >= least
+    top = vocabulary.filter(common & (F.col("word") != END)).toArrow()
+    counts = {w.encode(): n for w, n in zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)}
+    return common, {w: counts[w] for w in sorted(counts, key=lambda w: (-counts[w], w))}
+
+
+def assign(own: np.ndarray, numbers: dict[bytes, int], chosen: DataFrame) -> None:
+    """Put the classes of the chosen words, all of which have numbers, where their numbers say."""
+    came = chosen.select("word", "class").toArrow()
+    for w, c in zip(came.column("word").to_pylist(), came.column("class").to_pylist(), strict=True):
+        own[numbers[w.encode()]] = c
+
+
 def classify(docs: DataFrame, clustered: int | None = None, classes: int | None = None, held: int = HELD) -> Words:
-    """A class for every word of `docs`; to the driver come `held` words and pairs of the seeds at most."""
+    """A class for every word of `docs`; to the driver come `held` and `SWEPT` words and pairs of the seeds at most."""
     spark = docs.sparkSession
     vocabulary = materialize(word_counts(docs), "vocabulary")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     end = int(vocabulary.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0)
     classes = classes or max(CLASSES, int(distinct**GROWTH))
     clustered = clustered or max(CLUSTERED, SEEDS_PER_CLASS * classes)
-    least = common_level(vocabulary, held)
-    common = F.lit(False) if least is None else level() >= least
-    top = vocabulary.filter(common & (F.col("word") != END)).toArrow()
-    counts = {w.encode(): n for w, n in zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)}
-    words = sorted(counts, key=lambda w: (-counts[w], w))
-    seeds = {w: i for i, w in enumerate(words[:clustered])}
+    _, swept = commonest(vocabulary, SWEPT)
+    common, counts = commonest(vocabulary, held)
+    seeds = {w: i for i, w in enumerate([*swept][:clustered])}
     pairs = pair_counts(docs, seeds).toArrow()
-    a, b, n = (pairs.column(c).to_numpy() for c in ("a", "b", "n"))
+    a, b = np.divmod(pairs.column("pair").to_numpy(), len(seeds) + 2)
+    n = pairs.column("n").to_numpy()
     order = np.lexsort((b, a))
     a, b, n = a[order], b[order], n[order].astype(float)
     own = exchange(a, b, n, len(seeds), min(classes, max(1, len(seeds))), SWEEPS)
     size = int(own[-1]) + 1
     table = np.zeros((size, size))
     np.add.at(table, (own[a], own[b]), n)
-    chosen = spark.createDataFrame(
-        [(w.decode(), counts[w], int(own[i])) for w, i in seeds.items()], "word string, n long, class int")
-    known = materialize(best_classes(contexts(docs, seeds, own), table).unionByName(chosen), "classes")
-    top = known.filter(common).select("word", "class").toArrow()
-    class_of = dict(zip(top.column("word").to_pylist(), top.column("class").to_pylist(), strict=True))
-    return Words(
-        known, {w: i for i, w in enumerate(words)}, np.array([counts[w] for w in words], np.int64),
-        np.array([*(class_of[w.decode()] for w in words), size - 2, size - 1], np.int64), tokens, distinct, end)
+
+    def empty(words: int) -> np.ndarray:
+        return np.append(np.full(words + 1, size - 2), size - 1)
+
+    numbers, around = {w: i for i, w in enumerate(swept)}, empty(len(swept))
+    around[: len(seeds)] = own[:-2]
+    assign(around, numbers, best_classes(contexts(docs, numbers, around, len(seeds), False), table))
+    chosen = spark.createDataFrame([(w.decode(), swept[w], int(own[i])) for w, i in seeds.items()], "word string, n long, class int")
+    known = materialize(best_classes(contexts(docs, numbers, around, len(seeds), True), table).unionByName(chosen), "classes")
+    numbers, of_held = {w: i for i, w in enumerate(counts)}, empty(len(counts))
+    assign(of_held, numbers, known.filter(common))
+    emission = np.zeros((size, 2))
+    for r in known.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        emission[r["class"]] = r["n"], r["words"]
+    return Words(known, numbers, np.array([*counts.values()], np.int64), of_held, emission, tokens, distinct, end)
 
 
 class Placed(NamedTuple):
     rows: DataFrame  # place, doc_id, learned, n_tokens, n_held, base, emitted, moves (between held words, as class * size + class)
-    tails: DataFrame  # place, learned, times, n, class, moves: of all other words
+    tails: DataFrame  # place, learned, emits, n, class, before, after: occurrences of all other words and their moves
 
 
 def place(docs: DataFrame, words: Words, learned: Column) -> Placed:
-    """All class moves of every row. Moves between held words are found where the row is; others by joins on the words."""
-    sent = docs.sparkSession.sparkContext.broadcast((words.numbers, words.counts, words.own))
+    """All class moves of every row. Moves between held words are found where the row is; others by joins on the words.
+
+    A tail row has up to two moves; `size * size` stands for none.
+    """
+    of_held = np.log10(words.counts + EMIT) - words.divisor()[words.own[:-2]]
+    sent = docs.sparkSession.sparkContext.broadcast((words.numbers, words.counts, words.own, of_held))
     base_total = math.log10(words.tokens + 0.5 * (words.distinct + 1))
     end_count, size = words.end, int(words.own[-1]) + 1
-    tail = T.StructType([T.StructField("word", T.StringType()), T.StructField("times", T.IntegerType()),
-                         T.StructField("around", T.ArrayType(T.IntegerType()))])
+    tail = T.StructType([T.StructField("word", T.StringType()), T.StructField("left", T.IntegerType()),
+                         T.StructField("right", T.IntegerType())])
     link = T.StructType([T.StructField("first", T.StringType()), T.StructField("second", T.StringType())])
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_held", T.LongType()), T.StructField("base", T.DoubleType()),
-              T.StructField("emitted", T.ArrayType(T.IntegerType())), T.StructField("moves", T.ArrayType(T.IntegerType())),
+              T.StructField("emitted", T.DoubleType()), T.StructField("moves", T.ArrayType(T.IntegerType())),
               T.StructField("tail", T.ArrayType(tail)), T.StructField("links", T.ArrayType(link))]
+    state: list = []
 
-    def lists(each: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each).astype(np.int32) if each else [], pa.int32()))
+    def lists(chosen: np.ndarray, bounds: np.ndarray, values: pa.Array) -> pa.Array:
+        """Values of the chosen places, one list per row."""
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(chosen)])[bounds].astype(np.int32)), values)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        numbers, counts, own = sent.value
-        unheld, end = len(numbers), len(numbers) + 1
-        class_of = own.copy()
-        class_of[unheld] = -1
-        n_of = np.concatenate([counts, [0, end_count]])
-        lengths, known, base, emitted, moves, tails, links = [], [], [], [], [], [], []
+        if not state:
+            numbers, counts, own, emit = sent.value
+            state.extend([
+                numbers | {END.encode(): len(numbers) + 1}, np.append(own[:-2], [-1, own[-1]]), np.append(emit, [0, 0]),
+                np.append(np.log10(counts + 0.5), [0, math.log10(end_count + 0.5)]),
+                np.append(np.ones(len(numbers), np.int64), [0, end_count > 0])])
+        numbers, class_of, emit, base, known = state
+        unheld, flat, bounds = len(numbers) - 1, [], [0]
         for text in texts.to_pylist():
-            tokens = words_of(text)
-            at = np.array([end, *(numbers.get(w, unheld) for w in tokens), end])
-            c = class_of[at]
-            both = (c[:-1] >= 0) & (c[1:] >= 0)
-            inside = at[1:-1][at[1:-1] != unheld]
-            lengths.append(len(tokens) + 1)
-            known.append(len(inside) + (end_count > 0))
-            base.append(float(np.log10(n_of[inside] + 0.5).sum() + math.log10(end_count + 0.5) - (len(tokens) + 1) * base_total))
-            emitted.append(inside)
-            moves.append((c[:-1] * size + c[1:])[both])
-            around: dict[bytes, list[int]] = {}
-            linked = []
-            for i in np.flatnonzero(at == unheld).tolist():
-                own_around = around.setdefault(tokens[i - 1], [0])
-                own_around[0] += 1
-                if c[i - 1] >= 0:
-                    own_around.append(int(c[i - 1]))
-                if c[i + 1] >= 0:
-                    own_around.append(size + int(c[i + 1]))
-                else:
-                    linked.append({"first": tokens[i - 1].decode(), "second": tokens[i].decode()})
-            tails.append([{"word": w.decode(), "times": x[0], "around": x[1:]} for w, x in around.items()])
-            links.append(linked)
-        arrow = [pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32()), ("around", pa.list_(pa.int32()))])),
-                 pa.list_(pa.struct([("first", pa.string()), ("second", pa.string())]))]
-        return [pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), lists(emitted), lists(moves),
-                pa.array(tails, arrow[0]), pa.array(links, arrow[1])]
+            flat += words_of(text)
+            flat.append(END.encode())
+            bounds.append(len(flat))
+        # Every text stands between two ends: place i of `at` comes before place i of `flat`.
+        at = np.array([unheld + 1, *(numbers.get(w, unheld) for w in flat)])
+        c, tokens, bounds = class_of[at], at[1:], np.array(bounds)
+        first, second = c[:-1], c[1:]
+        inside, outside = (first >= 0) & (second >= 0), tokens == unheld
+        following = np.append(second[1:], -1)
+        linked = outside & (following < 0)
+        where, links = np.flatnonzero(outside), np.flatnonzero(linked)
+
+        def sums(values: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(values[tokens], bounds[:-1]) if len(tokens) else values[:0]
+
+        def strings(places: np.ndarray) -> pa.Array:
+            return pa.array([flat[i] for i in places.tolist()], pa.binary()).cast(pa.string())
+
+        return [
+            pa.array(np.diff(bounds)), pa.array(sums(known)), pa.array(sums(base) - np.diff(bounds) * base_total), pa.array(sums(emit)),
+            lists(inside, bounds, pa.array((first * size + second)[inside].astype(np.int32))),
+            lists(outside, bounds, pa.StructArray.from_arrays(
+                [strings(where), pa.array(first[where].astype(np.int32)), pa.array(following[where].astype(np.int32))], names=["word", "left", "right"])),
+            lists(linked, bounds, pa.StructArray.from_arrays([strings(links), strings(links + 1)], names=["first", "second"]))]
 
     rows = materialize(
         extend(docs.select("doc_id", "text", learned.alias("learned")), fields, compute).drop("text")
         .withColumn("place", F.monotonically_increasing_id()), "placed")
-    table, rest, wide = words.table, F.lit(size - 2), F.lit(size)
+    table, rest, wide, none = words.table, F.lit(size - 2), F.lit(size), F.lit(size * size)
     single = rows.select("place", "learned", F.explode("tail").alias("each")).select("place", "learned", "each.*")
     found = single.join(table, "word", "left").withColumn("class", F.coalesce("class", rest))
-    turned = F.transform("around", lambda x: F.when(x < wide, x * wide + F.col("class")).otherwise(F.col("class") * wide + x - wide))
     joined = rows.select("place", "learned", F.explode("links").alias("each")).select("place", "learned", "each.*")
     for side in ("first", "second"):
         joined = joined.join(table.select(F.col("word").alias(side), F.col("class").alias(f"{side}_class")), side, "left")
     code = F.coalesce("first_class", rest) * wide + F.coalesce("second_class", rest)
-    tails = found.select("place", "learned", "times", F.coalesce("n", F.lit(0)).alias("n"), "class", turned.alias("moves")).unionByName(
-        joined.select("place", "learned", F.lit(0).alias("times"), F.lit(0).cast("long").alias("n"), rest.alias("class"), F.array(code).alias("moves")))
+    tails = found.select(
+        "place", "learned", F.lit(True).alias("emits"), F.coalesce("n", F.lit(0)).alias("n"), "class",
+        F.when(F.col("left") >= 0, F.col("left") * wide + F.col("class")).otherwise(none).alias("before"),
+        F.when(F.col("right") >= 0, F.col("class") * wide + F.col("right")).otherwise(none).alias("after"),
+    ).unionByName(joined.select(
+        "place", "learned", F.lit(False).alias("emits"), F.lit(0).cast("long").alias("n"), rest.alias("class"),
+        code.alias("before"), none.alias("after")))
     return Placed(rows.drop("tail", "links"), materialize(tails, "tails"))
 
 
 def fit(placed: Placed, words: Words) -> ClassModel:
-    """Transitions and emissions over all tokens of the rows to learn from, each with its own class."""
+    """Transitions over all tokens of the rows to learn from, each with its own class."""
     size = int(words.own[-1]) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = np.zeros(size * size, np.int64)
+        counted = np.zeros(size * size + 1, np.int64)
         for batch in batches:
-            counted += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size * size)
-        at = np.flatnonzero(counted)
+            for column in batch.columns:
+                values = column.flatten() if pa.types.is_list(column.type) else column
+                counted += np.bincount(values.to_numpy(), minlength=size * size + 1)
+        at = np.flatnonzero(counted[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counted[at])], names=["move", "n"])
 
-    moves = placed.rows.filter("learned").select("moves").unionByName(placed.tails.filter("learned").select("moves"))
-    counts = moves.mapInArrow(run, "move long, n long").groupBy("move").agg(F.sum("n").alias("n")).toArrow()
+    counts = [rows.filter("learned").select(*columns).mapInArrow(run, "move long, n long")
+              for rows, columns in ((placed.rows, ["moves"]), (placed.tails, ["before", "after"]))]
+    counts = counts[0].unionByName(counts[1]).groupBy("move").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(size * size)
     table[counts.column("move").to_numpy()] = counts.column("n").to_numpy()
-    emission = np.zeros((size, 2))
-    for r in words.table.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
-        emission[r["class"]] = r["n"], r["words"]
-    return ClassModel(words.numbers, words.own, np.log10(smoothed(table.reshape(size, size), size - 2)), emission,
+    return ClassModel(words.numbers, words.own, np.log10(smoothed(table.reshape(size, size), size - 2)), words.emission,
                       words.tokens, words.distinct)
 
 
@@ -425,37 +500,35 @@ def learn(docs: DataFrame, clustered: int | None = None, classes: int | None = N
 def score(placed: Placed, learned: Learned) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts."""
     words, model = learned
-    size = len(model.transition)
-    divisor = np.log10(EMIT * (model.emission[:, 1] + (np.arange(size) == size - 2)).clip(1) + model.emission[:, 0])
-    of_held = np.log10(words.counts + EMIT) - divisor[words.own[:-2]]
-    sent = placed.rows.sparkSession.sparkContext.broadcast((model.transition.ravel(), of_held, divisor))
-
-    def sums(values: np.ndarray, lists: pa.ListArray) -> np.ndarray:
-        ends = np.concatenate([[0], np.cumsum(values[lists.flatten().to_numpy()])])
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return ends[offsets[1:]] - ends[offsets[:-1]]
+    sent = placed.rows.sparkSession.sparkContext.broadcast((np.append(model.transition.ravel(), 0), words.divisor()))
 
     def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transition, emitted, _ = sent.value
+        transition, _ = sent.value
         for batch in batches:
-            total = sums(transition, batch.column("moves")) + sums(emitted, batch.column("emitted"))
-            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("doc_id"), batch.column("n_tokens"),
-                                              batch.column("n_held"), batch.column("base"), pa.array(total)],
-                                             names=["place", "doc_id", "n_tokens", "n_held", "base", "model"])
+            moves = batch.column("moves")
+            ends = np.concatenate([[0], np.cumsum(transition[moves.flatten().to_numpy()])])
+            offsets = moves.offsets.to_numpy() - moves.offsets[0].as_py()
+            total = ends[offsets[1:]] - ends[offsets[:-1]] + batch.column("emitted").to_numpy()
+            kept = ["place", "doc_id", "n_tokens", "n_held", "base"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(total)], names=[*kept, "model"])
 
     def of_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transition, _, each = sent.value
+        transition, divisor = sent.value
         for batch in batches:
-            times, n, own = (batch.column(c).to_numpy() for c in ("times", "n", "class"))
-            total = sums(transition, batch.column("moves")) + times * (np.log10(n + EMIT) - each[own])
+            n, own, before, after = (batch.column(c).to_numpy() for c in ("n", "class", "before", "after"))
+            emits = batch.column("emits").to_numpy(zero_copy_only=False)
+            total = transition[before] + transition[after] + emits * (np.log10(n + EMIT) - divisor[own])
+            # Summed by row before the shuffle, as far as a batch has several occurrences of one.
+            places, back = np.unique(batch.column("place").to_numpy(), return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("place"), pa.array(times.astype(np.int64) * (n > 0)), pa.array(times * np.log10(n + 0.5)), pa.array(total)],
+                [pa.array(places), pa.array(np.bincount(back, emits & (n > 0)).astype(np.int64)),
+                 pa.array(np.bincount(back, emits * np.log10(n + 0.5))), pa.array(np.bincount(back, total))],
                 names=["place", "known_tail", "base_tail", "model_tail"])
 
     kind = placed.rows.schema["doc_id"].dataType.simpleString()
     rows = placed.rows.select("place", "doc_id", "n_tokens", "n_held", "base", "emitted", "moves").mapInArrow(
         of_rows, f"place long, doc_id {kind}, n_tokens long, n_held long, base double, model double")
-    tails = placed.tails.select("place", "times", "n", "class", "moves").mapInArrow(
+    tails = placed.tails.select("place", "emits", "n", "class", "before", "after").mapInArrow(
         of_tails, "place long, known_tail long, base_tail double, model_tail double").groupBy("place").agg(
         *(F.sum(c).alias(c) for c in ("known_tail", "base_tail", "model_tail")))
     none = F.lit(0)

@@ -134,3 +134,55 @@ def test_empty_table_and_no_training_rows(spark):
     docs = spark.createDataFrame([(only_held_out, "a b"), (only_held_out, None)], "doc_id long, text string")
     found = as_rows(brown.score_corpus(docs), "n_tokens", "n_known", "train_tokens", "base_score")
     assert [r[:3] for r in found] == [(1, 0, 0), (3, 0, 0)] and all(abs(r[3]) < 1e-12 for r in found)
+
+
+def test_chooser_is_a_plain_argmax():
+    rng = np.random.default_rng(5)
+    table = rng.integers(0, 50, (9, 9)).astype(float)
+    chooser = brown.Chooser(table)
+    moves, mass = np.rint(np.log10(brown.smoothed(table)) * brown.FINE), np.rint(np.log10(table.sum(axis=0) + 1) * brown.FINE)
+    lists = []
+    for _ in range(300):
+        times = int(rng.choice([1, 1, 2, 7]))
+        lists.append((Counter(rng.integers(0, 9, times).tolist()), Counter(rng.integers(0, 9, times).tolist())))
+    keys = [np.array([*sorted(before), *(9 + c for c in sorted(after))]) for before, after in lists]
+    n = [np.array([*(before[c] for c in sorted(before)), *(after[c] for c in sorted(after))]) for before, after in lists]
+    starts = np.cumsum([0, *map(len, keys)])
+    got_times, got = chooser.choose(starts, np.concatenate(keys), np.concatenate(n))
+    for i, (before, after) in enumerate(lists):
+        times = sum(before.values())
+        gains = [sum(x * moves[b, c] for b, x in before.items()) + sum(x * moves[c, a] for a, x in after.items()) - times * mass[c]
+                 for c in range(7)]
+        assert got_times[i] == times and got[i] == gains.index(max(gains))
+
+
+def test_score_equals_a_plain_evaluation(spark):
+    docs, pairs = both(spark)
+    counts = Counter(t for doc, text in pairs if not out(doc) for t in tokens(text))
+    rows = docs.select("doc_id", "text")
+    inside = ~brown.held_out(rows["doc_id"])
+    for held in (brown.HELD, 40):
+        words = brown.classify(rows.filter(inside), 30, 5, held)
+        own = {r["word"]: r["class"] for r in words.table.collect()} | {"END OF TEXT": 6}
+        table = np.zeros((7, 7))
+        for doc, text in pairs:
+            if not out(doc):
+                row = [6, *(own[t] for t in tokens(text))]
+                np.add.at(table, (row[:-1], row[1:]), 1)
+        move = brown.smoothed(table, 5)
+        mass, kinds = np.zeros(7), np.zeros(7)
+        for w, n in counts.items():
+            mass[own[w]] += n
+            kinds[own[w]] += 1
+        expected = []
+        for doc, text in pairs:
+            total, before = 0.0, 6
+            for t in tokens(text):
+                c = own.get(t, 5)
+                share = 1 if t == "END OF TEXT" else (counts[t] + 0.5) / (mass[c] + 0.5 * kinds[c]) if t in own else 1
+                total += math.log10(move[before, c]) + math.log10(share)
+                before = c
+            expected.append((repr(doc), total))
+        found = sorted((repr(r["doc_id"]), r["score"]) for r in brown.score_corpus(docs, 30, 5, held).collect())
+        for a, b in zip(found, sorted(expected), strict=True):
+            assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9)
