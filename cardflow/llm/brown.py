@@ -39,6 +39,8 @@ SWEEPS = 5
 # Text bytes whose contexts a task counts at once, and the entries it weighs at once.
 COUNTED = 8 << 20
 WEIGHED = 4_096
+# Classes around a word from which on its list is multiplied as a full row.
+FULL = 48
 # A context and its count in one number.
 SHIFT = 40
 # Words whose counts every task holds; others are looked up by a join.
@@ -280,18 +282,25 @@ class Chooser:
         best = np.empty(words, np.int32)
         once = times == 1
         best[once] = self.of_single(keys[starts[:-1][once]], keys[starts[:-1][once] + 1] - self.size)
-        more = np.flatnonzero(~once)
-        lengths = np.diff(starts)[more]
-        ends = np.cumsum(lengths)
-        at = 0
-        while at < len(more):
-            before = ends[at] - lengths[at]
-            to = max(at + 1, int(np.searchsorted(ends, before + WEIGHED, side="right")))
-            firsts = ends[at:to] - lengths[at:to] - before
-            own = np.arange(ends[to - 1] - before) + np.repeat(starts[more[at:to]] - firsts, lengths[at:to])
-            sums = np.add.reduceat(self.weights[keys[own]] * n[own, None], firsts, axis=0)
-            best[more[at:to]] = np.argmax(sums - times[more[at:to], None] * self.mass, axis=1)
-            at = to
+        lengths = np.diff(starts)
+        # Long lists are multiplied as full rows, short ones entry by entry: the sums are the same.
+        for full, more in ((True, np.flatnonzero(~once & (lengths >= FULL))), (False, np.flatnonzero(~once & (lengths < FULL)))):
+            ends = np.cumsum(lengths[more])
+            at = 0
+            while at < len(more):
+                before = ends[at] - lengths[more[at]]
+                to = max(at + 1, int(np.searchsorted(ends, before + (16 if full else 1) * WEIGHED, side="right")))
+                some = more[at:to]
+                firsts = ends[at:to] - lengths[some] - before
+                own = np.arange(ends[to - 1] - before) + np.repeat(starts[some] - firsts, lengths[some])
+                if full:
+                    rows = np.zeros((len(some), len(self.weights)))
+                    rows[np.repeat(np.arange(len(some)), lengths[some]), keys[own]] = n[own]
+                    sums = rows @ self.weights
+                else:
+                    sums = np.add.reduceat(self.weights[keys[own]] * n[own, None], firsts, axis=0)
+                best[some] = np.argmax(sums - times[some, None] * self.mass, axis=1)
+                at = to
         return times, best
 
 

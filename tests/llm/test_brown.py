@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from llm_cases import as_rows, both, empty
 
 from cardflow.llm import brown
@@ -136,7 +137,9 @@ def test_empty_table_and_no_training_rows(spark):
     assert [r[:3] for r in found] == [(1, 0, 0), (3, 0, 0)] and all(abs(r[3]) < 1e-12 for r in found)
 
 
-def test_chooser_is_a_plain_argmax():
+@pytest.mark.parametrize("full", [1, 6, 1000])
+def test_chooser_is_a_plain_argmax(monkeypatch, full):
+    monkeypatch.setattr(brown, "FULL", full)
     rng = np.random.default_rng(5)
     table = rng.integers(0, 50, (9, 9)).astype(float)
     chooser = brown.Chooser(table)
