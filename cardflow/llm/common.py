@@ -23,6 +23,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(docs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """`docs` without its columns of these names, in any case."""
+    gone = {name.lower() for name in names}
+    return docs.drop(*(c for c in docs.columns if c.lower() in gone))
+
+
 def bounded(batch: pa.RecordBatch, texts: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` text bytes each, at least one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False)
@@ -41,8 +47,10 @@ def extend(
 ) -> DataFrame:
     """All columns of `docs` and more that `compute` makes from an Arrow array of texts.
 
-    Rows stay where they are: no shuffle, and memory is bounded by `limit` or the longest text.
+    Rows stay where they are: no shuffle, and memory is bounded by `limit` or the longest text. As with `withColumn`, columns
+    of `docs` that are called like new ones give way to them.
     """
+    docs = without(docs, [f.name for f in fields])
     index = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *fields])
     names = schema.fieldNames()
