@@ -10,7 +10,8 @@ Deduplicating reads a document's lines against the filters: a line the filters d
 needs no exact lookup. What they know is settled by the exact table.
 
 Documents are told apart by doc_id: rows with the same id count as one document, a null id as one that
-comes after all others. A null or empty text is one empty line.
+comes after all others. Whole-number ids are ordered by value, ids of other types by their text. What a document loses is kept
+per row, so rows without an id, however many, never meet in one list. A null or empty text is one empty line.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardflow.llm import cuckoo
-from cardflow.llm.common import bounded, fresh
+from cardflow.llm.common import bounded, fresh, without
 from cardflow.sources.store import materialize
 
 MIN_CHARS = 10
@@ -41,8 +42,12 @@ LAST = (1 << 63) - 1
 PAIR = struct.Struct("<qq")
 
 
-def owner(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(LAST).cast("long"))
+def owner(docs: DataFrame) -> tuple[Column, str]:
+    """What orders the documents, and its type: a null id comes last."""
+    doc_id = F.col("doc_id")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return F.coalesce(doc_id.cast("long"), F.lit(LAST).cast("long")), "long"
+    return F.coalesce(F.concat(F.lit("0"), doc_id.cast("string")), F.lit("1")), "string"
 
 
 def key_of(line: str) -> tuple[int, int] | None:
@@ -62,23 +67,28 @@ def _halves(keys: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_keys(docs: DataFrame, known: Broadcast | None = None, shards: int = 1) -> DataFrame:
-    """(doc, a, b): the distinct keys of every row; with `known` (joined filters, their lengths and offsets in
-    buckets), only keys that the filter of their shard holds."""
+    """(doc, mark, a, b): the distinct keys of every row, `mark` being a hash of its text; with `known` (joined filters, their
+    lengths and offsets in buckets), only keys that the filter of their shard holds."""
+    doc_of, kind = owner(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded(batch, 1):
-                found = [list(keys_of(t)) for t in part.column(1).to_pylist()]
+            for part in bounded(batch, 2):
+                found = [list(keys_of(t)) for t in part.column(2).to_pylist()]
                 a, b = _halves([k for keys in found for k in keys])
-                doc = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(k) for k in found])
+                row = np.repeat(np.arange(len(found)), [len(k) for k in found])
                 if known is not None:
                     flat, lengths, offsets = known.value
                     shard = a % shards
                     held = cuckoo.contains(
                         flat, a.view(np.uint64), b.view(np.uint64), (lengths - 1)[shard].astype(np.uint64), offsets[shard])
-                    doc, a, b = doc[held], a[held], b[held]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a), pa.array(b)], names=["doc", "a", "b"])
+                    row, a, b = row[held], a[held], b[held]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(a), pa.array(b)],
+                    names=["doc", "mark", "a", "b"])
 
-    return docs.select(owner(F.col("doc_id")).alias("doc"), "text").mapInArrow(run, "doc long, a long, b long")
+    return docs.select(doc_of.alias("doc"), F.xxhash64("text").alias("mark"), "text").mapInArrow(
+        run, f"doc {kind}, mark long, a long, b long")
 
 
 def references(postings: DataFrame) -> DataFrame:
@@ -116,7 +126,7 @@ def build_filters(shared: DataFrame, shards: int) -> DataFrame:
 
 def create(docs: DataFrame) -> LineIndex:
     """Insert documents into an empty index."""
-    postings = materialize(line_keys(docs), "postings")
+    postings = materialize(line_keys(docs).drop("mark"), "postings")
     refs = materialize(references(postings), "refs")
     shards = max(1, -(-refs.filter("least <> most").count() // SHARD_KEYS))
     filters = materialize(build_filters(refs.filter("least <> most"), shards), "filters")
@@ -156,19 +166,19 @@ def _changed(index: LineIndex, postings: DataFrame, touched: DataFrame) -> LineI
 
 def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
     """The index with more documents."""
-    added = materialize(line_keys(docs), "postings")
+    added = materialize(line_keys(docs).drop("mark"), "postings")
     return _changed(index, index.postings.unionByName(added), added.select("a", "b").distinct())
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     """The index without the documents of a doc_id column."""
-    gone = doc_ids.select(owner(F.col("doc_id")).alias("doc")).distinct()
+    gone = doc_ids.select(owner(doc_ids)[0].alias("doc")).distinct()
     touched = materialize(index.postings.join(gone, "doc", "left_semi").select("a", "b").distinct(), "touched")
     return _changed(index, materialize(index.postings.join(gone, "doc", "left_anti"), "postings"), touched)
 
 
 def suspects(docs: DataFrame, index: LineIndex, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """(doc, a, b): lines the filters know, or all lines where the filters are too large to hold."""
+    """(doc, mark, a, b): lines the filters know, or all lines where the filters are too large to hold."""
     size = index.filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
     if size > filter_bytes:
         return line_keys(docs)
@@ -181,13 +191,18 @@ def suspects(docs: DataFrame, index: LineIndex, filter_bytes: int = FILTER_BYTES
 
 
 def dedup(docs: DataFrame, index: LineIndex, lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
-    """All columns of `docs`, `text` without the lines that an earlier document holds, and line counts."""
+    """All columns of `docs`, `text` without the lines that an earlier document holds, and line counts.
+
+    Columns of `docs` that are called like the counts give way to them.
+    """
+    docs = without(docs, [lines, dropped])
     held_first = index.shared().select("a", "b", "least")
     lost = suspects(docs, index).join(held_first, ["a", "b"]).filter("doc <> least")
-    lists = materialize(lost.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("lost")), "lost-lines")
-    doc, gone = fresh(docs, "doc"), fresh(docs, "lost")
-    joined = docs.withColumn(doc, owner(F.col("doc_id"))).join(
-        lists.select(F.col("doc").alias(doc), F.col("lost").alias(gone)), doc, "left").drop(doc)
+    # Per text of a document: a list is no longer than the text, even where many rows have no id.
+    lists = materialize(lost.groupBy("doc", "mark").agg(F.collect_set(F.struct("a", "b")).alias("lost")), "lost-lines")
+    doc, mark, gone = fresh(docs, "doc"), fresh(docs, "mark"), fresh(docs, "lost")
+    joined = docs.withColumns({doc: owner(docs)[0], mark: F.xxhash64("text")}).join(
+        lists.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("lost").alias(gone)), [doc, mark], "left")
     text, index_of_lost = docs.columns.index("text"), len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(dropped, T.LongType())])
     names = schema.fieldNames()

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 from llm_cases import as_rows, both, empty, frame
+from pyspark.sql import functions as F
 
 from cardflow.llm import cuckoo, line_dedup
 
@@ -32,8 +33,6 @@ COLUMNS = ("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def result(docs, index):
-    from pyspark.sql import functions as F
-
     kept = line_dedup.dedup(docs, index)
     return as_rows(kept.withColumn("kept_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), *COLUMNS)
 
@@ -47,6 +46,30 @@ def test_equals_plain_counting(spark):
         tuple(r) for r in line_dedup.suspects(docs, index, filter_bytes=-1).collect()}
 
 
+def test_ids_of_other_types_and_rows_without_one(spark):
+    """Text ids are ordered as text; rows without an id are one document, the last, with a list of lost lines per row."""
+    docs, pairs = both(spark)
+    named = docs.selectExpr("CAST(doc_id AS string) AS doc_id", "text")
+    want = brute([("~" if i is None else str(i), t) for i, t in pairs])
+    got = line_dedup.dedup_corpus(named).na.fill("~", ["doc_id"])
+    assert as_rows(got, *COLUMNS) == want
+    index = line_dedup.create(named.limit(0))
+    index = line_dedup.delete(line_dedup.insert(index, named), named.filter("doc_id = '0'").select("doc_id"))
+    assert index.shared().count() > 0
+    nameless = docs.selectExpr("CAST(NULL AS int) AS doc_id", "text")
+    first = docs.filter("doc_id = 1001").selectExpr("CAST(1 AS int) AS doc_id", "text")
+    rows = nameless.unionByName(first).persist()
+    assert as_rows(line_dedup.dedup_corpus(rows), *COLUMNS) == brute([tuple(r) for r in rows.collect()])
+    rows.unpersist()
+
+
+def test_columns_of_the_same_names_give_way(spark):
+    docs = frame(spark).withColumn("N_Lines", F.lit("x")).withColumn("mark", F.lit("x"))
+    found = line_dedup.dedup(docs, line_dedup.create(docs))
+    assert found.columns == [*[c for c in docs.columns if c != "N_Lines"], "n_lines", "n_dropped"]
+    assert {r["mark"] for r in found.collect()} == {"x"} and dict(found.dtypes)["n_lines"] == "bigint"
+
+
 def test_insert_and_delete_are_reversible(spark):
     docs, pairs = both(spark)
     docs = docs.persist()
