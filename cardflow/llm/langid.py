@@ -97,7 +97,8 @@ def fitting_rows(labelled: DataFrame, fit_rows: int) -> tuple[DataFrame, dict[st
         keys.join(sizes.select("lang", "different"), "lang").filter(drawn)
         .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= fit_rows)
         .groupBy("lang").agg(F.max("key").alias("limit")))
-    picked = rows.join(limits, "lang").filter(F.col("key") <= F.col("limit")).dropDuplicates(["lang", "key"])
+    # One row per language, as many as the masks at the driver have bits; texts stay where they are until picked.
+    picked = rows.join(F.broadcast(materialize(limits, "language-limits")), "lang").filter(F.col("key") <= F.col("limit")).dropDuplicates(["lang", "key"])
     return picked.select("lang", "text"), {r["lang"]: r["n"] for r in sizes.collect()}
 
 
