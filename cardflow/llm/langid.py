@@ -90,14 +90,15 @@ def fitting_rows(labelled: DataFrame, fit_rows: int) -> tuple[DataFrame, dict[st
     """
     rows = labelled.withColumn("key", F.xxhash64("doc_id", "text", F.lit("language")))
     keys = materialize(rows.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")), "language-keys")
-    sizes = keys.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"))
+    sizes = materialize(keys.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")), "language-sizes")
     drawn = (F.col("key") / float(1 << 63) + 1) / 2 <= (4 * fit_rows + 100) / F.col("different")
     order = Window.partitionBy("lang").orderBy("key")
     limits = (
-        keys.join(sizes.select("lang", "different"), "lang").filter(drawn)
+        keys.join(F.broadcast(sizes.select("lang", "different")), "lang").filter(drawn)
         .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= fit_rows)
         .groupBy("lang").agg(F.max("key").alias("limit")))
-    # One row per language, as many as the masks at the driver have bits; texts stay where they are until picked.
+    # Both broadcast tables have one row per language, as many as the masks at the driver have bits: keys and texts stay where
+    # they are until drawn or picked.
     picked = rows.join(F.broadcast(materialize(limits, "language-limits")), "lang").filter(F.col("key") <= F.col("limit")).dropDuplicates(["lang", "key"])
     return picked.select("lang", "text"), {r["lang"]: r["n"] for r in sizes.collect()}
 
