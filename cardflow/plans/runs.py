@@ -19,7 +19,7 @@ from cardflow.operators.timeline import enrich
 from cardflow.plans import matrix, scoring
 from cardflow.plans.adapter import CardData
 from cardflow.sources import readers, sinks
-from cardflow.sources.store import scratch
+from cardflow.sources.store import materialize, scratch
 
 READERS = {
     "txn": readers.read_transactions, "card": readers.read_cards, "cst": readers.read_customers,
@@ -68,6 +68,20 @@ def frozen(data: CardData, settings: matrix.Settings) -> matrix.Settings:
     return replace(settings, **lists, anchor=settings.anchor or silence.anchor_date(data.txn).first()[0])
 
 
+def completed(batch: DataFrame, trained: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The batch's transactions, and from the training log those of train cards that the batch does not name.
+
+    Exposure counts the train cards of a counterparty over the log. A batch that brings target cards alone would
+    find none of them and score every card as unexposed. A card the batch names is taken from the batch only.
+    """
+    absent = materialize(
+        dealt.select("card_no").distinct().join(batch.select("card_no").distinct(), "card_no", "left_anti"), "absent-cards")
+    if absent.isEmpty():
+        return batch
+    # Read by many blocks of the matrix.
+    return materialize(batch.unionByName(trained.join(absent, "card_no", "left_semi")), "completed-log")
+
+
 def write_settings(spark: SparkSession, settings: matrix.Settings, path: str) -> None:
     text = json.dumps(asdict(settings), default=str)
     spark.createDataFrame([(text,)], "settings string").coalesce(1).write.mode("overwrite").text(path)
@@ -122,7 +136,7 @@ def predict(
     """Score the target list with the models of `folder` and write the CSV of scores in its order.
 
     The batch may bring other transactions and another target list; folds, settings and columns are the trained
-    ones. Raises if they are not what `train` sealed, the columns differ from the manifest or a target card is missing, extra or doubled.
+    ones. Train cards that the batch does not name keep their transactions of the training log. Raises if they are not what `train` sealed, the columns differ from the manifest or a target card is missing, extra or doubled.
     """
     with scratch(spark):
         data = ingest(spark, paths, f"{out}-work")
@@ -130,7 +144,9 @@ def predict(
         settings = read_settings(spark, f"{folder}/settings")
         if settings.anchor != sinks.read_anchor(spark, f"{folder}/anchor"):
             raise ValueError("the anchor differs from the one in the settings")
-        built = matrix.build_matrix(data, readers.read_table(spark, f"{folder}/folds"), settings)
+        dealt = readers.read_table(spark, f"{folder}/folds")
+        data = replace(data, txn=completed(data.txn, stored(spark, folder).txn, dealt))
+        built = matrix.build_matrix(data, dealt, settings)
         sinks.check_manifest(built.columns, sinks.read_manifest(spark, f"{folder}/manifest"))
         used = scoring.with_columns_of(built, recipes)
         rows = crossfit.vectors(built.train().limit(0), built.target(), used, built.columns)

@@ -66,6 +66,17 @@ def test_a_second_batch_keeps_anchor_and_columns(spark, paths, trained, data, tm
     assert scores_of(spark, out).count() == half.count()
 
 
+def test_a_batch_without_the_train_cards_takes_their_rows_from_training(spark, data):
+    dealt = data.train.select("card_no", F.lit(0).alias("fold"))
+    batch = data.txn.join(data.target, "card_no", "left_semi").drop("row_order")
+    log = data.txn.drop("row_order")
+    got = runs.completed(batch, log, dealt)
+    wanted = log.join(data.train.select("card_no").union(data.target.select("card_no")).distinct(), "card_no", "left_semi")
+    assert got.count() > batch.count()
+    assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
+    assert runs.completed(log, log.limit(0), dealt.join(log, "card_no", "left_semi")) is log
+
+
 def test_doubled_keys_and_incomplete_outputs_raise(spark, paths, data, tmp_path):
     doubled = runs.Paths(**{**vars(paths), "card": _written(data.card.unionAll(data.card.limit(1)), "run-doubled")})
     with pytest.raises(ValueError, match="card has 2 rows"):
