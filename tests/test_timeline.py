@@ -119,3 +119,16 @@ def test_tail_limits_before_the_shuffle(hot_txn):
 
 def test_schemas_name_all_columns():
     assert len(schemas.TXN) == 19
+
+
+def test_tasks_follow_the_rows(spark, data, monkeypatch):
+    """Twice the rows take twice the tasks, whatever the number of shuffle partitions, and give the same values."""
+    from cardflow.operators import accounts, timeline
+
+    n = data.txn.count()
+    whole = enrich(data.txn), accounts.balance_consistency(data.txn)
+    monkeypatch.setattr(timeline, "ROWS_PER_TASK", -(-n // 40))
+    assert timeline.task_count(spark, 2 * n) == 2 * timeline.task_count(spark, n) == 80
+    cut = enrich(data.txn), accounts.balance_consistency(data.txn)
+    for few, many in zip(whole, cut):
+        assert many.rdd.getNumPartitions() == 40 and same(few, many)
