@@ -174,3 +174,14 @@ def test_scores_to_ranked_output(built, data):
     assert ruled.count() > 0 and ruled.filter("score <> 1.0").count() == 0
     figures = scoring.offline_figures(scores, data.train, 0.1).first()
     assert figures.k == int(data.train.count() * 0.1) and 0 <= figures.f1 <= 1
+
+
+@pytest.mark.parametrize("name", ["inflow_detail", "card_ratios"])
+def test_rows_of_several_blocks_are_written_once(spark, name):
+    """Blocks of a card's own rows start from rows written bucketed by card: nothing is joined to orders or shuffled again."""
+    from conftest import SMALL
+
+    from cardflow.plans.registry import Inputs, _BUILDERS
+
+    plan = plan_of(_BUILDERS[name](Inputs(spark, SMALL)))
+    assert shuffles(plan) == 0 and "l_orderkey" not in plan
