@@ -172,3 +172,13 @@ def test_a_seal_tells_which_part_has_changed(spark, tmp_path):
     spark.createDataFrame([(line,)], "seal string").coalesce(1).write.mode("overwrite").text(path)
     with pytest.raises(ValueError, match="the seal of the run"):
         sinks.check_seal(spark, parts, path)
+
+
+def test_round_trip_files_are_compressed(spark, data):
+    """The text of the whole log is the largest thing that the CSV queries write."""
+    import os
+
+    from cardflow.plans.registry import _written
+
+    path = _written(data.target, "target-csv").removeprefix("file:")
+    assert {f.split(".", 1)[1] for f in os.listdir(path) if f.startswith("part-")} == {"csv.gz"}
