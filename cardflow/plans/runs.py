@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardflow.operators import codes, crossfit, folds, ranking, silence
-from cardflow.operators.timeline import enrich
 from cardflow.plans import matrix, scoring
 from cardflow.plans.adapter import CardData
 from cardflow.sources import readers, sinks
@@ -152,7 +151,7 @@ def predict(
         rows = crossfit.vectors(built.train().limit(0), built.target(), used, built.columns)
         models = crossfit.load(spark, f"{folder}/models", used, settings.n_folds)
         scores = crossfit.score(rows, models, used, built.columns, settings.n_folds, ("target",))
-        quiet = silence.silence_base(enrich(data.txn), settings.anchor)
+        quiet = silence.silence_of_rows(data.txn, settings.anchor)
         scored = scoring.predict(scores, quiet, data.target)
         require_complete(scored, data.target)
         sinks.write_scores_csv(scored, out)
