@@ -4,7 +4,7 @@ from comparing import same
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from cardflow.operators import silence
+from cardflow.operators import exposure, silence
 from cardflow.operators.timeline import enrich
 from cardflow.plans.registry import _BUILDERS, Inputs
 from cardflow.sources.store import materialize
@@ -30,3 +30,11 @@ def test_silence_of_rows_equals_enriched(spark, data):
     assert wanted.filter("card_no is null").count() == 1 and wanted.filter("sil_days is null").count() > 0
     for heavy_rows in (20, 10**6):
         assert same(silence.silence_of_rows(txn, heavy_rows=heavy_rows), wanted)
+
+
+def test_exposure_reads_rows_written_once(spark):
+    """Account and name edges come from one bucketed copy of the transactions; counts of all folds move unexpanded."""
+    made = executed(Inputs(spark, SMALL).matched(exposure.TARGET))
+    assert "Generate explode" in made and "lineitem" not in made
+    below = made[made.index("Generate explode"):]
+    assert "REPARTITION_BY_COL" in below and "partial_" not in below[:below.index("REPARTITION_BY_COL")]
