@@ -30,8 +30,9 @@ def without(docs: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def bounded(batch: pa.RecordBatch, texts: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `limit` text bytes each, at least one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False)
+    """Slices of a batch with about `limit` text bytes (or list entries) each, at least one row."""
+    length = pc.list_value_length if pa.types.is_list(batch.column(texts).type) else pc.binary_length
+    sizes = pc.fill_null(length(batch.column(texts)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import as_rows, both, empty
 
@@ -189,3 +190,46 @@ def test_score_equals_a_plain_evaluation(spark):
         found = sorted((repr(r["doc_id"]), r["score"]) for r in brown.score_corpus(docs, 30, 5, held).collect())
         for a, b in zip(found, sorted(expected), strict=True):
             assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9)
+
+
+def test_texts_are_read_twice(spark):
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('a b ', id % 7, ' c', id) AS text")
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    assert brown.score_corpus(docs.mapInArrow(counting, docs.schema), 4, 2).count() == 500
+    assert 500 <= read.value <= 2 * 500
+
+
+def test_words_end_at_ascii_space_only():
+    texts = [None, "", " ", "A b\x0bC\x0c\r\nd\te ", "\x00\x1c \x1fÄ\u00a0É\u2003x\x85 \u0130", "  x", "y"]
+    words, bounds = brown.split(pa.array(texts))
+    assert [words.slice(a, b - a).to_pylist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [tokens(t)[:-1] for t in texts]
+    sliced, bounds = brown.split(pa.array(texts).slice(3, 2))
+    assert sliced.to_pylist() == tokens(texts[3])[:-1] + tokens(texts[4])[:-1] and bounds[0] == 0 and bounds[-1] == len(sliced)
+
+
+@pytest.mark.parametrize("step", [1, 3, 100])
+def test_stretches_join_up(monkeypatch, step):
+    monkeypatch.setattr(brown, "STRETCH", step)
+    lists = pa.array([[1, 9], [2, 3, 9], [4, 9], [9]], pa.list_(pa.int32())).slice(1)
+    found = [np.concatenate(x).tolist() for x in zip(*brown.stretches(lists, 9), strict=True)]
+    assert found == [[9, 2, 3, 9, 4, 9], [2, 3, 9, 4, 9, 9], [3, 9, 4, 9, 9, 9]]
+
+
+def test_words_without_a_number_get_the_same_class(spark, monkeypatch):
+    monkeypatch.setattr(brown, "SWEPT", 40)
+    docs, _ = both(spark)
+    found = {}
+    for held in (brown.HELD, 40, 15):
+        words = brown.classify(docs.select("doc_id", "text"), 30, 5, held)
+        rows = sorted((r["doc_id"] is None, str(r["doc_id"]), r["score"]) for r in brown.score_corpus(docs, 30, 5, held).collect())
+        found[held] = words.rare.count(), sorted(map(tuple, words.table.collect())), rows
+    assert found[brown.HELD][0] == 0 < found[40][0]
+    for held in (40, 15):
+        assert found[held][1] == found[brown.HELD][1]
+        assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-9) for a, b in zip(found[held][2], found[brown.HELD][2], strict=True))
