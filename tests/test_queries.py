@@ -48,3 +48,24 @@ def test_both_engines_round_halves_alike(spark):
 
     sql = f"select p, {_r('p / 640', 'x')}, {_r('-p / 3200', 'y')} from range(1, 3200) r(p)"
     assert differences(shares, duckdb.connect(), sql) == []
+
+
+def test_cards_that_only_take_in_have_no_outgoing_exposure(spark, tmp_path):
+    """Their edges belong to no outgoing variant: no row of their own in `exposure_ref`, nulls beside the others in `exposure_all`."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    for name in ("customer", "supplier", "part", "orders", "events", "region", "nation"):
+        os.symlink(f"{SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+    lines, orders = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("lineitem", "orders"))
+    taking = orders.filter("o_custkey % 20 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("R").alias("_taken"))
+    lines.join(taking, "l_orderkey", "left").withColumn("l_returnflag", F.coalesce("_taken", "l_returnflag")).drop(
+        "_taken").coalesce(1).write.parquet(str(tmp_path / "lines"))
+    [part] = (tmp_path / "lines").glob("part-*.parquet")
+    os.symlink(part, tmp_path / "lineitem.parquet")
+    con, found = duck(str(tmp_path)), {}
+    for name in ("exposure_ref", "exposure_all"):
+        found[name] = QUERIES[name](spark, str(tmp_path))
+        assert differences(found[name], con, ORACLES[name]) == []
+    assert 0 < found["exposure_ref"].count() < found["exposure_all"].count()
