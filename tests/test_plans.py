@@ -185,3 +185,42 @@ def test_rows_of_several_blocks_are_written_once(spark, name):
 
     plan = plan_of(_BUILDERS[name](Inputs(spark, SMALL)))
     assert shuffles(plan) == 0 and "l_orderkey" not in plan
+
+
+def test_buckets_follow_the_rows(spark):
+    """Beyond the rows of one task, a bucket does not grow with the table."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert matrix.buckets_of(spark, 1000) == bucket_count(spark, 1000)
+    assert matrix.buckets_of(spark, 400_000 * partitions + 1) == 2 * partitions
+    assert matrix.buckets_of(spark, 400_000 * partitions * 50) == 64 * partitions
+
+
+def test_card_columns_are_made_finite_once_per_card(spark, built):
+    """Above the join with the fold copies stands only the choice of columns."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "5000")
+    try:
+        plan = plan_of(built.rows)
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "isnan" in plan and "isnan" not in plan[:plan.index("Join")]
+
+
+def test_medians_hash_no_rows_by_value(enriched):
+    for block in (sequence.gap_stats(enriched), sequence.fast_in_out(enriched)):
+        plan = plan_of(block)
+        assert plan.count("HashAggregate") == 2 and plan.count("Sort ") == 1
+
+
+def test_rounding_clear_of_halves_needs_no_decimals(spark):
+    """The short way and the two roundings of decimals give the same doubles, on halves, large numbers and odd values too."""
+    from cardflow.plans.registry import _rounded
+
+    rows = spark.range(0, 100_000).selectExpr(
+        "rand(1) as a", "randn(2) * exp(rand(3) * 40 - 20) as b", "id / 640 as c", "-id / 3200 as d", "(id - 50000) * 5e-7 as e",
+        "case id % 4 when 0 then double('NaN') when 1 then double('-Infinity') when 2 then -0e0 end as f", "id * 50e0 as g",
+        "round(rand(5) * 1000, 6) + 5e-7 as h", "-1e-9 * id as i", "if(id % 2 = 0, 0.1234565, 0.1234564995) * 1e0 as j")
+    for digits in (4, 6):
+        wrong = [
+            F.count_if(~_rounded(F.col(c), digits).cast("string").eqNullSafe(F.round(F.round(c, 9), digits).cast("string"))).alias(c)
+            for c in rows.columns]
+        assert set(rows.agg(*wrong).first()) == {0}
